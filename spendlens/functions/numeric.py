@@ -1,7 +1,8 @@
 """Rounding, safe ratios and exact means.
 
-Money and rates are decimals. Ratios are taken as doubles and come back to
-decimals in ``rnd``, so a rounded figure is exact and compares exactly.
+Money and rates are decimals. Means stay decimals to twenty places, so a mean
+that equals a threshold compares as equal; a mean taken as a double may miss it
+(0.54 / 3 > 0.18). Other ratios are doubles and come back to decimals in ``rnd``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def exact(value: float | int | str) -> Column:
 
 def rnd(value: Column | str, digits: int) -> Column:
     """Round half away from zero to ``digits`` places; the result is a decimal."""
-    return F.round(as_column(value).cast("double").cast(ROUNDING_TYPE), digits)
+    return F.round(as_column(value).cast(ROUNDING_TYPE), digits)
 
 
 def sdiv(numerator: Column | str, denominator: Column | str) -> Column:
@@ -40,13 +41,21 @@ def pct(numerator: Column | str, denominator: Column | str, digits: int = 2) ->
 
 
 def mean(value: Column | str) -> Column:
-    """Mean of the non-NULL values, from an exact sum.
+    """Mean of the non-NULL values as a decimal with twenty places, from an exact sum.
 
     ``avg`` over a decimal keeps only four digits beyond the input scale, which
     rounds once before ``rnd`` rounds again.
     """
     column = as_column(value)
-    return sdiv(F.sum(column), F.count(column))
+    total = F.sum(column).cast("decimal(28,10)")
+    return total / F.nullif(F.count(column), F.lit(0)).cast("decimal(18,0)")
+
+
+def money_ratio(numerator: Column | str, denominator: Column | str) -> Column:
+    """Ratio of two amounts with cents as a decimal with eighteen places; NULL for a zero denominator."""
+    top = as_column(numerator).cast("decimal(20,2)")
+    bottom = as_column(denominator).cast("decimal(20,2)")
+    return top / F.nullif(bottom, F.lit(0).cast("decimal(20,2)"))
 
 
 def mean_to(value: Column | str, digits: int) -> Column:

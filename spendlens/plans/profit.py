@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ladders
-from ..functions.numeric import exact, mean, mean_to, pct, rnd, sdiv, sum_to, sum_where
+from ..functions.numeric import exact, mean, mean_to, money_ratio, pct, rnd, sdiv, sum_to, sum_where
 from .common import campaigns, highest_first, lowest_first, spend_total
 
 MARGIN_HEALTH = ("Danger — Thin Margin", "Moderate — Monitor", "Healthy Margin")
@@ -114,7 +114,7 @@ def _product_margins(facts: DataFrame) -> DataFrame:
         _total("gross", "total_gross_revenue"),
         _total("net", "total_net_revenue"),
         _total("margin", "total_contribution_margin"),
-        sdiv(F.sum("contribution_margin"), F.sum("net_revenue")).alias("_margin"),
+        money_ratio(F.sum("contribution_margin"), F.sum("net_revenue")).alias("_margin"),
     )
 
 
@@ -142,7 +142,7 @@ def contribution_per_spend(
     per_platform = facts.groupBy("platform").agg(
         _total("margin", "total_contribution_margin"),
         spend_total(),
-        sdiv(F.sum("contribution_margin"), F.sum("spend")).alias("_return"),
+        money_ratio(F.sum("contribution_margin"), F.sum("spend")).alias("_return"),
     )
     return per_platform.select(
         "platform",
