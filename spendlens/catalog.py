@@ -20,7 +20,7 @@ from .functions.calendar import calendar
 from .operators import clean, master, model
 from .plans import attention, awareness, decision, efficiency, interest, kpis, profit, trends
 from .plans.common import with_total
-from .schemas import FLAT, PLATFORMS, PRODUCTS, RAW
+from .schemas import PLATFORMS, PRODUCTS, RAW
 from .session import shared_path
 from .sources import bound, files
 
@@ -46,9 +46,12 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema])
 
 
-def register(name: str, build: Query) -> None:
+def register(name: str, build: Query, wide: bool = False) -> None:
+    """``wide`` marks queries that hand on (nearly) all columns of each row."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set(HUGE_METHOD, "8000")
+        if wide:
+            spark.conf.set(HUGE_METHOD, "8000")
         return present(build(spark, sf_dir))
 
     run.__name__ = name
@@ -59,8 +62,8 @@ def on_facts(name: str, question: Callable[[DataFrame], DataFrame]) -> None:
     register(name, lambda spark, sf_dir: question(bound.facts(spark, sf_dir)))
 
 
-def on_raw(name: str, step: Callable[[DataFrame], DataFrame]) -> None:
-    register(name, lambda spark, sf_dir: step(bound.raw(spark, sf_dir)))
+def on_raw(name: str, step: Callable[[DataFrame], DataFrame], wide: bool = False) -> None:
+    register(name, lambda spark, sf_dir: step(bound.raw(spark, sf_dir)), wide)
 
 
 def unique_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def unique_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star(spark: SparkSession, sf_dir: str) -> model.Star:
-    flat = bound.flat(spark, sf_dir).select(*FLAT.fieldNames())
+    flat = bound.flat(spark, sf_dir)
     dates = model.dim_date_over(bound.calendar_span(spark, sf_dir))
     return model.normalise(flat, dates=dates, with_ids=False)
 
@@ -111,15 +114,15 @@ def _shared_traps(facts: DataFrame) -> DataFrame:
     return traps.select("*", part).drop("_all")
 
 
-register("S1_load_raw", _load_raw)
+register("S1_load_raw", _load_raw, wide=True)
 register(
     "S2_scan",
     lambda spark, sf_dir: files.scan(spark, f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     ),
 )
-register("S3_snapshot", _snapshot)
-register("S4_publish_master", _publish)
+register("S3_snapshot", _snapshot, wide=True)
+register("S4_publish_master", _publish, wide=True)
 on_facts("S5_shared_traps", _shared_traps)
 on_facts(
     "S6_preview",
@@ -170,12 +173,12 @@ for _id, _column in {
         lambda spark, sf_dir, column=_column: clean.enrich(unique_raw(spark, sf_dir)).select("row_id", column),
     )
 register("C15_check_identities", lambda spark, sf_dir: clean.check_identities(unique_raw(spark, sf_dir)))
-on_raw("C_clean_pipeline", clean.clean)
+on_raw("C_clean_pipeline", clean.clean, wide=True)
 
 # --- modelling and integrity ---------------------------------------------
 
 register("M1_ad_creative", lambda spark, sf_dir: star(spark, sf_dir).creative)
-register("M1_ad_performance", lambda spark, sf_dir: star(spark, sf_dir).performance)
+register("M1_ad_performance", lambda spark, sf_dir: star(spark, sf_dir).performance, wide=True)
 register("M1_revenue", lambda spark, sf_dir: star(spark, sf_dir).revenue)
 register("M2_dim_date", lambda spark, sf_dir: model.dim_date_over(bound.calendar_span(spark, sf_dir)))
 register("M3_products_dim", lambda spark, sf_dir: star(spark, sf_dir).products)
@@ -224,8 +227,8 @@ register("M8_reconcile", _reconcile)
 
 # --- master data sets ----------------------------------------------------
 
-register("V1_performance_master", lambda spark, sf_dir: master.performance_master(star(spark, sf_dir)))
-register("V2_profitability_master", lambda spark, sf_dir: master.profitability_master(star(spark, sf_dir)))
+register("V1_performance_master", lambda spark, sf_dir: master.performance_master(star(spark, sf_dir)), wide=True)
+register("V2_profitability_master", lambda spark, sf_dir: master.profitability_master(star(spark, sf_dir)), wide=True)
 on_facts(
     "V3_scalability_decision",
     lambda f: f.select(

@@ -25,17 +25,18 @@ def calendar(day: str = "date") -> list[Column]:
     Weeks are ISO weeks; ``year_quarter`` and ``year_month`` sort in time order
     as text; Saturday and Sunday are the weekend.
     """
-    d = F.col(day)
-    quarter_label = F.concat(F.lit("Q"), F.quarter(d).cast("string"))
     return [
-        F.date_format(d, "EEEE").alias("day_of_week"),
-        F.weekofyear(d).alias("week_number"),
-        F.month(d).alias("month_number"),
-        F.date_format(d, "MMMM").alias("month_name"),
-        F.quarter(d).alias("quarter"),
-        quarter_label.alias("quarter_label"),
-        F.year(d).alias("year"),
-        F.concat_ws("-", F.year(d).cast("string"), quarter_label).alias("year_quarter"),
-        F.date_format(d, "yyyy-MM").alias("year_month"),
-        F.dayofweek(d).isin(1, 7).alias("is_weekend"),
+        F.expr(f"{sql} as {name}")
+        for name, sql in {
+            "day_of_week": f"date_format({day}, 'EEEE')",
+            "week_number": f"weekofyear({day})",
+            "month_number": f"month({day})",
+            "month_name": f"date_format({day}, 'MMMM')",
+            "quarter": f"quarter({day})",
+            "quarter_label": f"concat('Q', quarter({day}))",
+            "year": f"year({day})",
+            "year_quarter": f"concat(year({day}), '-Q', quarter({day}))",
+            "year_month": f"date_format({day}, 'yyyy-MM')",
+            "is_weekend": f"dayofweek({day}) in (1, 7)",
+        }.items()
     ]

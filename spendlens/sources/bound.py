@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ladders
 from ..functions.calendar import calendar
 from ..functions.text import DUPLICATE_TAG
-from ..schemas import CALCULATED_COLUMNS, FLAT, PLATFORMS, PRODUCTS, RAW, RAW_COLUMNS
+from ..schemas import CALCULATED_COLUMNS, PLATFORMS, PRODUCTS, RAW, RAW_COLUMNS
 
 # Categories and the per-platform and per-product parameters.
 HOOK_TYPES = ("Question", "Bold Statement", "Story", "Shock", "Tutorial")
@@ -40,14 +40,14 @@ def _kind(name: str) -> T.DecimalType:
     return CALCULATED_COLUMNS[name] if name in CALCULATED_COLUMNS else RAW_COLUMNS[name][0]
 
 
-def _fixed(units: str, name: str) -> Column:
+def _fixed(name: str, units: str) -> str:
     """Integer count of the last decimal place -> the decimal column ``name``."""
     kind = _kind(name)
     unit = f"{10 ** -kind.scale:.{kind.scale}f}BD"
-    return F.expr(f"cast(cast({units} as decimal({kind.precision},0)) * {unit} as {kind.simpleString()})").alias(name)
+    return f"cast(cast({units} as decimal({kind.precision},0)) * {unit} as {kind.simpleString()}) as {name}"
 
 
-def _ratio(top: str, bottom: str, name: str) -> Column:
+def _ratio(name: str, top: str, bottom: str) -> str:
     """Rounded quotient of two non-negative integers, in integer arithmetic.
 
     Rounds half up at ten places and then at the places of ``name``, which is
@@ -55,116 +55,129 @@ def _ratio(top: str, bottom: str, name: str) -> Column:
     """
     scale = _kind(name).scale
     tens = f"(({top}) * {2 * 10**10} + ({bottom})) div nullif(2 * ({bottom}), 0)"
-    return _fixed(f"(({tens} + {5 * 10 ** (9 - scale)}) div {10 ** (10 - scale)})", name)
-
-
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        "l_orderkey as ok",
-        "cast(l_linenumber as bigint) as ln",
-        "l_partkey as pk",
-        "l_suppkey as sk",
-        "cast(l_quantity as bigint) as q",
-        "cast(round(l_discount * 100) as bigint) as dc",
-        "cast(round(l_tax * 100) as bigint) as tx",
-    )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
-        "o_orderkey", "cast(o_orderdate as date) as dt", "cast(substr(o_orderpriority, 1, 1) as int) as pr"
+    return _fixed(name, f"(({tens} + {5 * 10 ** (9 - scale)}) div {10 ** (10 - scale)})")
+
+
+# Integer figures of each campaign, each step from the one before. TAGS
+# stands for the column ``tag``, which the messy layer explodes into copies.
+_FIGURES = f"""
+with lines as (
+  select TAGS, l_orderkey as ok, cast(l_linenumber as bigint) as ln, l_partkey as pk, l_suppkey as sk,
+         cast(l_quantity as bigint) as q, cast(round(l_discount * 100) as bigint) as dc,
+         cast(round(l_tax * 100) as bigint) as tx
+  from {{lineitem}}
+), dated as (
+  select o_orderkey, cast(o_orderdate as date) as dt, cast(substr(o_orderpriority, 1, 1) as int) as pr
+  from {{orders}}
+), base as (
+  select *, pk % 8 as pi, sk % 4 as pf, 2000 + q * 1000 + (pk % 97) * 10 as impressions,
+         100 + (ok * 7 + pk) % 500 as fr, 5 + (pk * 3 + ok) % 96 as ft, (pk * 5 + ok) % 53 = 0 as masked,
+         if(quarter(dt) = 4, 12000L, 6000L) as fixed_c
+  from lines join dated on ok = o_orderkey
+), rates as (
+  select *, {_nth(CPM_CENTS, 'pf')} + tx * 10 as cpm_c, {_nth(CLICK_RATES, 'pf')} + (pk % 7) * 15 as click_rate,
+         {_nth(PURCHASE_RATES, 'pf')} + (sk % 5) * 20 - ft * 2 as purchase_rate, 2600 - ft * 15 + (pk % 11) * 30 as hf,
+         cast({_nth(PRICE_CENTS, 'pi')} as bigint) as price_c,
+         {_nth(tuple(p * c // 10000 for p, c in zip(PRICE_CENTS, COST_BASIS_POINTS)), 'pi')} as cost_c
+  from base
+), volumes as (
+  select *, (impressions * 100) div fr as reach, (impressions * click_rate) div 10000 as clicks,
+         (impressions * cpm_c) div 1000 as spend_c
+  from rates
+), bought as (
+  select *, (clicks * purchase_rate) div 10000 as purchases from volumes
+), earned as (
+  select *, purchases * price_c as gross_c, (purchases * price_c * dc) div 200 as disc_c,
+         (purchases * price_c * tx) div 100 as refund_c
+  from bought
+), kept as (
+  select *, gross_c - disc_c - refund_c as net_c from earned
+), figures as (
+  select *, net_c - cost_c * purchases as margin_c from kept
+)
+"""
+
+_TYPED = [
+    "concat('C', ok, '-', ln, '-', pk, '-', sk, '-', q) as row_id",
+    "dt as date",
+    f"{_nth(PLATFORMS, 'pf')} as platform",
+    "concat('CMP-', ok) as campaign_id",
+    f"concat({_nth(PLATFORMS, 'pf')}, '_P', pi, '_', dt) as campaign_name",
+    "concat('CR-', lpad(cast(pk % 50 + 1 as string), 3, '0')) as ad_id",
+    f"{_nth(PRODUCTS, 'pi')} as product",
+    f"{_nth(HOOK_TYPES, 'pr - 1')} as hook_type",
+    f"{_nth(CREATIVE_ANGLES, 'ok % 5')} as creative_angle",
+    f"{_nth(COPY_TONES, 'pk % 5')} as copy_tone",
+    f"{_nth(AD_FORMATS, '(ok + ln) % 5')} as ad_format",
+    "cast(ln % 2 as int) as has_ugc",
+    _fixed("selling_price", "price_c"),
+    _fixed("product_cost", "cost_c"),
+    _ratio("gross_margin_pct", "price_c - cost_c", "price_c"),
+    _fixed("fixed_cost_allocation", "fixed_c"),
+    "impressions",
+    "reach",
+    _fixed("frequency", "fr"),
+    _fixed("fatigue_score", "ft"),
+    _fixed("frequency_at_fatigue", "fr"),
+    _fixed("creative_score", "105 - ft"),
+    _fixed("hook_rate", "if(masked, null, hf)"),
+    _fixed("hold_rate_3s", "(hf * 41) div 100"),
+    _fixed("completion_rate", "if(masked, null, (hf * 15) div 100)"),
+    _fixed("cpm", "cpm_c * 100"),
+    _fixed("spend", "spend_c"),
+    "clicks",
+    _ratio("ctr", "clicks", "impressions"),
+    _ratio("cpc", "spend_c", "100 * clicks"),
+    "purchases",
+    _ratio("cvr", "purchases", "clicks"),
+    _ratio("cpa", "spend_c", "100 * purchases"),
+    _fixed("gross_revenue", "gross_c"),
+    _fixed("discount_amount", "disc_c"),
+    _fixed("refund_amount", "refund_c"),
+    _fixed("net_revenue", "net_c"),
+    _ratio("roas", "net_c", "spend_c"),
+    _ratio("breakeven_roas", "price_c", "price_c - cost_c"),
+    _fixed("contribution_margin", "margin_c"),
+    _fixed("net_profit", "margin_c - fixed_c"),
+    _ratio("funnel_dropoff_rate", "purchases", "impressions"),
+]
+
+
+def _recased(name: str, values: Sequence[str], index: str, lower_at: int, upper_at: int) -> str:
+    value = _nth(values, index)
+    return (
+        f"case when tag = '' and pk % 10 = {lower_at} then lower({value}) "
+        f"when tag = '' and pk % 10 = {upper_at} then upper({value}) else {value} end as {name}"
     )
-    return lines.join(orders, F.col("ok") == F.col("o_orderkey")).drop("o_orderkey")
 
 
-def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer figures of each campaign, in dependency order."""
-    base = _order_lines(spark, sf_dir).selectExpr(
-        "*",
-        "pk % 8 as pi",
-        "sk % 4 as pf",
-        "2000 + q * 1000 + (pk % 97) * 10 as impressions",
-        "100 + (ok * 7 + pk) % 500 as fr",
-        "5 + (pk * 3 + ok) % 96 as ft",
-        "(pk * 5 + ok) % 53 = 0 as masked",
-        "cast(if(quarter(dt) = 4, 12000, 6000) as bigint) as fixed_c",
-    )
-    rates = base.selectExpr(
-        "*",
-        f"{_nth(CPM_CENTS, 'pf')} + tx * 10 as cpm_c",
-        f"{_nth(CLICK_RATES, 'pf')} + (pk % 7) * 15 as click_rate",
-        f"{_nth(PURCHASE_RATES, 'pf')} + (sk % 5) * 20 - ft * 2 as purchase_rate",
-        "2600 - ft * 15 + (pk % 11) * 30 as hf",
-        f"cast({_nth(PRICE_CENTS, 'pi')} as bigint) as price_c",
-        f"cast(({_nth(PRICE_CENTS, 'pi')} * {_nth(COST_BASIS_POINTS, 'pi')}) div 10000 as bigint) as cost_c",
-    )
-    volumes = rates.selectExpr(
-        "*",
-        "(impressions * 100) div fr as reach",
-        "(impressions * click_rate) div 10000 as clicks",
-        "(impressions * cpm_c) div 1000 as spend_c",
-    )
-    return (
-        volumes.selectExpr("*", "(clicks * purchase_rate) div 10000 as purchases")
-        .selectExpr(
-            "*",
-            "purchases * price_c as gross_c",
-            "(purchases * price_c * dc) div 200 as disc_c",
-            "(purchases * price_c * tx) div 100 as refund_c",
-        )
-        .selectExpr("*", "gross_c - disc_c - refund_c as net_c")
-        .selectExpr("*", "net_c - cost_c * purchases as margin_c")
+_MESSY = {
+    "row_id": "concat('C', ok, '-', ln, '-', pk, '-', sk, '-', q, tag) as row_id",
+    "platform": _recased("platform", PLATFORMS, "pf", 0, 1),
+    "product": _recased("product", PRODUCTS, "pi", 2, 3),
+    "campaign_name": f"concat({_nth(PLATFORMS, 'pf')}, '_P', pi, '_', dt, if(tag = '', case pk % 20 "
+    "when 0 then '_v2' when 1 then '_test' when 2 then '_copy' else '' end, '')) as campaign_name",
+}
+_ONE_COPY = "'' as tag"
+_COPIES = f"explode(if((l_orderkey + l_partkey) % 100 = 0, array('', '{DUPLICATE_TAG}'), array(''))) as tag"
+
+
+def _name(item: str) -> str:
+    return item.rsplit(" ", 1)[-1]
+
+
+def _select(spark: SparkSession, sf_dir: str, tags: str, columns: Sequence[str]) -> DataFrame:
+    figures = _FIGURES.replace("TAGS", tags)
+    return spark.sql(
+        f"{figures}\nselect {', '.join(columns)}\nfrom figures",
+        lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+        orders=spark.read.parquet(f"{sf_dir}/orders.parquet"),
     )
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean flat table: 38 raw plus 6 calculated columns, and ``_pk``/``_ok`` for the messy layer."""
-    f = _figures(spark, sf_dir)
-    platform, product = F.expr(_nth(PLATFORMS, "pf")), F.expr(_nth(PRODUCTS, "pi"))
-    typed = f.select(
-        F.expr("concat('C', ok, '-', ln, '-', pk, '-', sk, '-', q)").alias("row_id"),
-        F.col("dt").alias("date"),
-        platform.alias("platform"),
-        F.expr("concat('CMP-', ok)").alias("campaign_id"),
-        F.concat(platform, F.expr("concat('_P', pi, '_', dt)")).alias("campaign_name"),
-        F.expr("concat('CR-', lpad(cast(pk % 50 + 1 as string), 3, '0'))").alias("ad_id"),
-        product.alias("product"),
-        F.expr(_nth(HOOK_TYPES, "pr - 1")).alias("hook_type"),
-        F.expr(_nth(CREATIVE_ANGLES, "ok % 5")).alias("creative_angle"),
-        F.expr(_nth(COPY_TONES, "pk % 5")).alias("copy_tone"),
-        F.expr(_nth(AD_FORMATS, "(ok + ln) % 5")).alias("ad_format"),
-        F.expr("cast(ln % 2 as int)").alias("has_ugc"),
-        _fixed("price_c", "selling_price"),
-        _fixed("cost_c", "product_cost"),
-        _ratio("price_c - cost_c", "price_c", "gross_margin_pct"),
-        _fixed("fixed_c", "fixed_cost_allocation"),
-        "impressions",
-        "reach",
-        _fixed("fr", "frequency"),
-        _fixed("ft", "fatigue_score"),
-        _fixed("fr", "frequency_at_fatigue"),
-        _fixed("105 - ft", "creative_score"),
-        _fixed("if(masked, null, hf)", "hook_rate"),
-        _fixed("(hf * 41) div 100", "hold_rate_3s"),
-        _fixed("if(masked, null, (hf * 15) div 100)", "completion_rate"),
-        _fixed("cpm_c * 100", "cpm"),
-        _fixed("spend_c", "spend"),
-        "clicks",
-        _ratio("clicks", "impressions", "ctr"),
-        _ratio("spend_c", "100 * clicks", "cpc"),
-        "purchases",
-        _ratio("purchases", "clicks", "cvr"),
-        _ratio("spend_c", "100 * purchases", "cpa"),
-        _fixed("gross_c", "gross_revenue"),
-        _fixed("disc_c", "discount_amount"),
-        _fixed("refund_c", "refund_amount"),
-        _fixed("net_c", "net_revenue"),
-        _ratio("net_c", "spend_c", "roas"),
-        _ratio("price_c", "price_c - cost_c", "breakeven_roas"),
-        _fixed("margin_c", "contribution_margin"),
-        _fixed("margin_c - fixed_c", "net_profit"),
-        _ratio("purchases", "impressions", "funnel_dropoff_rate"),
-        F.col("pk").alias("_pk"),
-        F.col("ok").alias("_ok"),
-    )
-    return typed.select(
+    """The clean flat table: 38 raw plus 6 calculated columns."""
+    return _select(spark, sf_dir, _ONE_COPY, _TYPED).select(
         "*",
         *ladders.fatigue_status("fatigue_score").columns("fatigue_status"),
         *ladders.performance_category("roas", "breakeven_roas").columns("performance_category"),
@@ -173,39 +186,17 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat table with the calendar attributes of ``date``: the input of every question."""
-    return flat(spark, sf_dir).select(*FLAT.fieldNames(), *calendar("date"))
+    return flat(spark, sf_dir).select("*", *calendar("date"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messy 38-column export: odd casing, name suffixes and tagged duplicate rows.
 
     A duplicate is a second, clean-looking copy of a row under a tagged id; both
-    copies come from one pass over the campaigns.
+    copies come from one pass over the line items.
     """
-    copies = flat(spark, sf_dir).withColumn(
-        "_tag", F.explode(F.expr(f"if((_ok + _pk) % 100 = 0, array('', '{DUPLICATE_TAG}'), array(''))"))
-    )
-    first = F.col("_tag") == ""
-    tenth = F.col("_pk") % 10
-
-    def recased(name: str, lower_at: int, upper_at: int) -> Column:
-        return (
-            F.when(first & (tenth == lower_at), F.lower(name))
-            .when(first & (tenth == upper_at), F.upper(name))
-            .otherwise(F.col(name))
-            .alias(name)
-        )
-
-    suffix = F.when(first, F.expr("element_at(array('_v2', '_test', '_copy'), cast(_pk % 20 as int) + 1)"))
-    messy = {
-        "row_id": F.concat("row_id", "_tag").alias("row_id"),
-        "platform": recased("platform", 0, 1),
-        "product": recased("product", 2, 3),
-        "campaign_name": F.concat("campaign_name", F.coalesce(F.when(F.col("_pk") % 20 < 3, suffix), F.lit(""))).alias(
-            "campaign_name"
-        ),
-    }
-    return copies.select(*[messy.get(name, F.col(name)) for name in RAW.fieldNames()])
+    typed = {_name(item): item for item in _TYPED}
+    return _select(spark, sf_dir, _COPIES, [_MESSY.get(n, typed[n]) for n in RAW.fieldNames()])
 
 
 def calendar_span(spark: SparkSession, sf_dir: str) -> DataFrame:
