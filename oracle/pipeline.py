@@ -101,6 +101,17 @@ def _violated() -> str:
     )
 
 
+# The five tables and their inner joins, as the views read them.
+_STAR = (
+    f"WITH ad_creative AS ({_take(_CREATIVE)}), ad_performance AS ({_take(_PERFORMANCE)}), "
+    f"revenue AS ({_take(_REVENUE)}), "
+    f"products AS (SELECT DISTINCT product, {', '.join(_PRODUCT)} FROM facts), "
+    f"dim_date AS (SELECT DISTINCT date, {', '.join(_CALENDAR_NAMES)} FROM facts) "
+)
+_JOINED = (
+    "FROM revenue JOIN ad_performance USING (row_id) JOIN ad_creative USING (row_id) "
+    "JOIN products USING (product) JOIN dim_date USING (date)"
+)
 _PERFORMANCE_MASTER = [
     "row_id", "campaign_id", "campaign_name", "ad_id", "date", *_CALENDAR_NAMES, *_CATEGORIES, *_PRODUCT,
     *_PERFORMANCE[1:], "gross_revenue", "net_revenue", "roas", "breakeven_roas", "performance_category",
@@ -257,7 +268,7 @@ PIPELINE: dict[str, str] = {
         "selling_price product_cost gross_margin_pct",
     ),
     "M4_assign_ids": on_facts(
-        "SELECT 'P' || lpad(cast(row_number() OVER (ORDER BY row_id) AS varchar), 6, '0') AS performance_id, row_id, "
+        "SELECT 'P' || lpad(cast(row_number() OVER (ORDER BY row_id, spend) AS varchar), 6, '0') AS performance_id, row_id, "
         "spend FROM facts",
         "spend",
     ),
@@ -277,28 +288,30 @@ PIPELINE: dict[str, str] = {
     ),
     "M6_view_fanout": on_raw(
         "SELECT k AS row_id, count(*) AS cnt FROM facts c JOIN (SELECT replace(row_id, '_dup', '') AS k FROM raw) p "
-        "ON c.row_id = p.k GROUP BY k HAVING count(*) > 1"
+        "ON c.row_id = p.k JOIN facts r ON r.row_id = c.row_id GROUP BY k HAVING count(*) > 1"
     ),
     "M7_keep_first": on_raw(
-        "SELECT arg_min(row_id, row_id) AS performance_id, replace(row_id, '_dup', '') AS row_id, "
-        "arg_min(spend, row_id) AS spend FROM raw GROUP BY 2",
+        "SELECT performance_id, row_id, spend FROM (SELECT row_id AS performance_id, "
+        "replace(row_id, '_dup', '') AS row_id, spend FROM raw) "
+        "QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY performance_id, spend) = 1",
         "spend",
-    ).replace("GROUP BY 2", "GROUP BY replace(row_id, '_dup', '')"),
+    ),
     "M8_reconcile": on_raw(
-        "SELECT 'raw' AS source, count(*) AS row_count FROM raw UNION ALL "
+        f"{_STAR} SELECT 'raw' AS source, count(*) AS row_count FROM raw UNION ALL "
         f"SELECT 'raw_without_dups', count(*) FROM ({_CLEAN}) UNION ALL "
-        "SELECT 'ad_creative', count(*) FROM facts UNION ALL SELECT 'ad_performance', count(*) FROM facts UNION ALL "
-        "SELECT 'revenue', count(*) FROM facts UNION ALL SELECT 'vw_performance_master', count(*) FROM facts"
+        "SELECT 'ad_creative', count(*) FROM ad_creative UNION ALL "
+        "SELECT 'ad_performance', count(*) FROM ad_performance UNION ALL SELECT 'revenue', count(*) FROM revenue "
+        f"UNION ALL SELECT 'vw_performance_master', count(*) {_JOINED}"
     ),
     # masters
     "V1_performance_master": on_facts(
-        f"SELECT {', '.join(_PERFORMANCE_MASTER)}, {_DECISION} AS scalability_decision, "
-        f"{_COMBINATION} AS creative_combination FROM facts",
+        f"{_STAR} SELECT {', '.join(_PERFORMANCE_MASTER)}, {_DECISION} AS scalability_decision, "
+        f"{_COMBINATION} AS creative_combination {_JOINED}",
         **plain(_PERFORMANCE_MASTER),
     ),
     "V2_profitability_master": on_facts(
-        f"SELECT {', '.join(_PROFIT_MASTER)}, {_LEAK_LIST}, {_GAP} AS roas_vs_breakeven_gap, "
-        f"{_PROFIT_STATUS} AS profit_status, {_ADVICE} AS ceo_recommendation FROM facts",
+        f"{_STAR} SELECT {', '.join(_PROFIT_MASTER)}, {_LEAK_LIST}, {_GAP} AS roas_vs_breakeven_gap, "
+        f"{_PROFIT_STATUS} AS profit_status, {_ADVICE} AS ceo_recommendation {_JOINED}",
         plain(_PROFIT_MASTER)["doubles"] + " " + " ".join(_LEAKS) + " roas_vs_breakeven_gap",
         texts="date",
     ),
