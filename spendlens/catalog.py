@@ -134,11 +134,11 @@ on_facts(
 # --- cleaning ------------------------------------------------------------
 
 on_raw("C1_profile_dates", clean.profile_dates)
-on_raw("C1_profile_ranges", clean.profile_ranges)
+on_raw("C1_profile_ranges", clean.profile_ranges, wide=True)
 on_raw("C1_profile_categories", clean.profile_categories)
 on_raw("C2_count_tagged_dups", clean.count_tagged_dups)
 on_raw("C3_drop_tagged_dups", lambda r: clean.drop_tagged_dups(r).select("row_id", "spend"))
-on_raw("C4_null_audit", lambda r: clean.null_audit(r, RAW.fieldNames()))
+on_raw("C4_null_audit", lambda r: clean.null_audit(r, RAW.fieldNames()), wide=True)
 on_raw(
     "C5_standardise",
     lambda r: clean.standardise(

@@ -59,7 +59,10 @@ def _ratio(name: str, top: str, bottom: str) -> str:
 
 
 # Integer figures of each campaign, each step from the one before. TAGS
-# stands for the column ``tag``, which the messy layer explodes into copies.
+# stands for the column ``tag``, which the messy layer explodes into copies. Both
+# join sides grow with the data, so neither is ever broadcast; the narrow rows are
+# shuffled before the figures are computed, and adaptive execution splits an order
+# that holds very many lines.
 _FIGURES = f"""
 with lines as (
   select TAGS, l_orderkey as ok, cast(l_linenumber as bigint) as ln, l_partkey as pk, l_suppkey as sk,
@@ -70,7 +73,7 @@ with lines as (
   select o_orderkey, cast(o_orderdate as date) as dt, cast(substr(o_orderpriority, 1, 1) as int) as pr
   from {{orders}}
 ), base as (
-  select *, pk % 8 as pi, sk % 4 as pf, 2000 + q * 1000 + (pk % 97) * 10 as impressions,
+  select /*+ merge(dated) */ *, pk % 8 as pi, sk % 4 as pf, 2000 + q * 1000 + (pk % 97) * 10 as impressions,
          100 + (ok * 7 + pk) % 500 as fr, 5 + (pk * 3 + ok) % 96 as ft, (pk * 5 + ok) % 53 = 0 as masked,
          if(quarter(dt) = 4, 12000L, 6000L) as fixed_c
   from lines join dated on ok = o_orderkey
