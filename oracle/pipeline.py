@@ -301,7 +301,7 @@ PIPELINE: dict[str, str] = {
         f"SELECT 'raw_without_dups', count(*) FROM ({_CLEAN}) UNION ALL "
         "SELECT 'ad_creative', count(*) FROM ad_creative UNION ALL "
         "SELECT 'ad_performance', count(*) FROM ad_performance UNION ALL SELECT 'revenue', count(*) FROM revenue "
-        f"UNION ALL SELECT 'vw_performance_master', count(*) {_JOINED}"
+        f"UNION ALL SELECT 'performance_master', count(*) {_JOINED}"
     ),
     # masters
     "V1_performance_master": on_facts(

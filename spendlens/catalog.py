@@ -20,7 +20,8 @@ from .functions.calendar import calendar
 from .operators import clean, master, model
 from .plans import attention, awareness, decision, efficiency, interest, kpis, profit, trends
 from .plans.common import with_total
-from .schemas import PLATFORMS, PRODUCTS, RAW
+from .labels import PLATFORMS, PRODUCTS
+from .schemas import RAW
 from .session import shared_path
 from .sources import bound, files
 
@@ -213,7 +214,7 @@ def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ad_creative": whole.creative,
             "ad_performance": whole.performance,
             "revenue": whole.revenue,
-            "vw_performance_master": master.performance_master(whole),
+            "performance_master": master.performance_master(whole),
         }
     )
 

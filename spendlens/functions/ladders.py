@@ -13,28 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import as_column, exact
-
-# Label texts of the published decisions.
-SCALABILITY = ("Scale", "Monitor", "Optimise", "Kill")
-RECOMMENDATION = ("Double Down", "Maintain", "Optimise", "Deprioritise")
-PROFIT_STATUS = ("Profitable", "Break-Even", "Loss")
-FATIGUE_STATUS = ("Low Fatigue", "Medium Fatigue", "High Fatigue")
-FATIGUE_BANDS = (
-    "1. Low (0-2)",
-    "2. Low-Mid (2-4)",
-    "3. Mid (4-6)",
-    "4. High (6-8)",
-    "5. Critical (8-10)",
+from ..labels import (
+    FATIGUE_BANDS,
+    FATIGUE_STATUS,
+    PERFORMANCE_CATEGORIES,
+    PROFIT_STATUS,
+    RECOMMENDATION,
+    SCALABILITY,
 )
-PERFORMANCE_CATEGORIES = (
-    "Extreme Winner",
-    "Genuine Winner",
-    "Break-Even",
-    "Illusion",
-    "Obvious Loser",
-)
-LOSS_CATEGORIES = ("Illusion", "Obvious Loser")
+from .numeric import as_column, exact
 
 
 @dataclass(frozen=True)

@@ -8,11 +8,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..labels import DUPLICATE_TAG, NAME_SUFFIXES
 from .numeric import as_column
 
-DUPLICATE_TAG = "_dup"
-NAME_SUFFIXES = ("_v2", "_test", "_copy")
-
 
 def is_tagged(row_id: Column | str, tag: str = DUPLICATE_TAG, exact_like: bool = False) -> Column:
     """Does the id end with ``tag``?

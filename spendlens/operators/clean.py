@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import ladders
 from ..functions.numeric import as_column, mean, rnd, sdiv
 from ..functions.text import canonical, is_tagged, spelling_key, spellings, without_suffix
+from ..labels import PLATFORMS, PRODUCTS
 from ..schemas import (
     CALCULATED_COLUMNS,
     CATEGORY_COLUMNS,
     NUMERIC_COLUMNS,
-    PLATFORMS,
-    PRODUCTS,
     RAW_COLUMNS,
 )
 

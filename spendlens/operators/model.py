@@ -83,7 +83,8 @@ def assign_ids(df: DataFrame, id_column: str, prefix: str, order_by: Sequence[st
     inside their partition; the size of each partition then gives where its
     numbers start. Rows equal in ``order_by`` are told apart by all their other
     columns, so a value shared by many rows is spread over several partitions.
-    Numbers of more than ``width`` digits are written in full.
+    Numbers of more than ``width`` digits are written in full. The written rows
+    stay in the shared folder, which the owner of the folder cleans.
     """
     rest = [c for c in df.columns if c not in order_by]
     ordered = df.orderBy(*order_by, *rest)

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ladders import Ladder
 from ..functions.numeric import mean_to, pct, rnd, sdiv
+from ..labels import SPEND_VERDICTS
 from .common import campaigns, highest_first, roas_pair, spend_total, with_total
 
-SPEND_VERDICTS = ("Spend Justified", "Spend Not Justified")
-
 
 def avg_roas_by_platform(facts: DataFrame) -> DataFrame:
     """Q1. Mean ROAS per platform."""

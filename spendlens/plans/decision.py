@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ladders
-from ..functions.ladders import LOSS_CATEGORIES, PERFORMANCE_CATEGORIES, RECOMMENDATION, position_in
+from ..functions.ladders import position_in
 from ..functions.numeric import mean_to, pct, sum_to, sum_where
+from ..labels import LOSS_CATEGORIES, PERFORMANCE_CATEGORIES, RECOMMENDATION
 from .common import campaigns, highest_first, roas_pair, spend_total, with_total
 
 

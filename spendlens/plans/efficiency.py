@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..functions.numeric import mean, mean_to, rnd
+from ..labels import FATIGUE_BANDS, QUARTER_STATUS, SCALABILITY
 from .common import (
     campaigns,
     change_along_chunks,
@@ -16,10 +17,8 @@ from .common import (
     spend_total,
 )
 
-QUARTER_STATUS = ("Profitable", "Below Breakeven")
 
-
-def fatigue_bands(facts: DataFrame, edges=(2, 4, 6, 8), labels=ladders.FATIGUE_BANDS, per_ad: bool = False) -> DataFrame:
+def fatigue_bands(facts: DataFrame, edges=(2, 4, 6, 8), labels=FATIGUE_BANDS, per_ad: bool = False) -> DataFrame:
     """Q11. Means per fatigue band of each ad, and the step in mean ROAS to the row before.
 
     The row before is the previous one of the platform in the order band,
@@ -47,7 +46,7 @@ def fatigue_bands(facts: DataFrame, edges=(2, 4, 6, 8), labels=ladders.FATIGUE_B
     return stepped.orderBy("platform", "fatigue_band", "product", "ad_id")
 
 
-def scalability_matrix(facts: DataFrame, labels=ladders.SCALABILITY, flag_nulls: bool = False) -> DataFrame:
+def scalability_matrix(facts: DataFrame, labels=SCALABILITY, flag_nulls: bool = False) -> DataFrame:
     """Q12. Scale, monitor, optimise or kill, decided on unrounded means."""
     grain = ("platform", "product", "ad_id", "hook_type", "fatigue_status")
     grouped = facts.groupBy(*grain).agg(

@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ladders import Ladder
 from ..functions.numeric import exact, mean_to, pct, rnd, sdiv, sum_to
+from ..labels import CLICK_TRAP, FUNNEL_DIAGNOSES
 from .common import CREATIVE_GRAIN, campaigns, highest_first, lowest_first, roas_pair, spend_total
 
-FUNNEL_DIAGNOSES = (
-    "Traffic Problem — low CTR before click",
-    "Conversion Problem — low CVR after click",
-    "Funnel Healthy",
-)
-CLICK_TRAP = "Click Trap attracting wrong audience"
-
 
 def click_quality(facts: DataFrame) -> DataFrame:
     """Q7. Clicks per platform: mean of the click-through rates next to the blended rate."""

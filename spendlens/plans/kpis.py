@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ladders
 from ..functions.numeric import exact, mean, mean_to, pct, rnd, sdiv, sum_to
 from ..operators.clean import breakeven_roas
-from ..schemas import PLATFORMS
+from ..labels import PLATFORMS
 from .common import campaigns, with_total
 
 SLICERS = {
@@ -39,30 +39,29 @@ def slice_by(df: DataFrame, **choices) -> DataFrame:
 
 
 # One aggregate per measure; trends take their measure from here too.
-def measures() -> dict[str, Column]:
-    return {
-        "campaigns": F.count("*"),
-        "total_spend": sum_to("spend"),
-        "gross_revenue": sum_to("gross_revenue"),
-        "net_revenue": sum_to("net_revenue"),
-        "total_purchases": F.sum("purchases"),
-        "avg_fatigue_score": mean_to("fatigue_score", 2),
-        "cost_per_unique_reach": rnd(sdiv(F.sum("spend"), F.sum("reach")), 4),
-        "hook_rate": mean_to("hook_rate", 4),
-        "hold_rate": mean_to("hold_rate_3s", 4),
-        "completion_rate": mean_to("completion_rate", 4),
-        "ctr": rnd(sdiv(F.sum("clicks"), F.sum("impressions")), 4),
-        "cvr": rnd(sdiv(F.sum("purchases"), F.sum("clicks")), 4),
-        "mean_roas": mean_to("roas", 4),
-        "net_blended_roas": rnd(sdiv(F.sum("net_revenue"), F.sum("spend")), 4),
-        "gross_blended_roas": rnd(sdiv(F.sum("gross_revenue"), F.sum("spend")), 4),
-        "breakeven_roas": mean_to("breakeven_roas", 4),
-    }
+MEASURES: dict[str, Callable[[], Column]] = {
+    "campaigns": lambda: F.count("*"),
+    "total_spend": lambda: sum_to("spend"),
+    "gross_revenue": lambda: sum_to("gross_revenue"),
+    "net_revenue": lambda: sum_to("net_revenue"),
+    "total_purchases": lambda: F.sum("purchases"),
+    "avg_fatigue_score": lambda: mean_to("fatigue_score", 2),
+    "cost_per_unique_reach": lambda: rnd(sdiv(F.sum("spend"), F.sum("reach")), 4),
+    "hook_rate": lambda: mean_to("hook_rate", 4),
+    "hold_rate": lambda: mean_to("hold_rate_3s", 4),
+    "completion_rate": lambda: mean_to("completion_rate", 4),
+    "ctr": lambda: rnd(sdiv(F.sum("clicks"), F.sum("impressions")), 4),
+    "cvr": lambda: rnd(sdiv(F.sum("purchases"), F.sum("clicks")), 4),
+    "mean_roas": lambda: mean_to("roas", 4),
+    "net_blended_roas": lambda: rnd(sdiv(F.sum("net_revenue"), F.sum("spend")), 4),
+    "gross_blended_roas": lambda: rnd(sdiv(F.sum("gross_revenue"), F.sum("spend")), 4),
+    "breakeven_roas": lambda: mean_to("breakeven_roas", 4),
+}
 
 
 def kpis(df: DataFrame, by: Sequence[str] = (), filters: dict | None = None) -> DataFrame:
     """K1. Headline figures; ROAS three ways, since the published one is neither ratio of totals."""
-    figures = [column.alias(name) for name, column in measures().items()]
+    figures = [build().alias(name) for name, build in MEASURES.items()]
     return slice_by(df, **(filters or {})).groupBy(*by).agg(*figures)
 
 

@@ -9,22 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..functions.numeric import exact, mean, mean_to, money_ratio, pct, rnd, sdiv, sum_to, sum_where
+from ..labels import BREAKEVEN_VERDICTS, MARGIN_HEALTH, MARGIN_VERDICTS, PLATFORM_EFFICIENCY, PROFIT_STATUS
 from .common import campaigns, highest_first, lowest_first, spend_total
 
-MARGIN_HEALTH = ("Danger — Thin Margin", "Moderate — Monitor", "Healthy Margin")
-MARGIN_VERDICTS = (
-    "Margin Illusion — thin margin warning",
-    "Moderate Margin — monitor closely",
-    "Healthy Margin",
-)
-PLATFORM_EFFICIENCY = ("Efficient Platform", "Moderate Platform", "Inefficient Platform")
-BREAKEVEN_VERDICTS = (
-    "Genuinely Profitable",
-    "Barely Breaking Even",
-    "Illusion — Losing Money",
-    "Obvious Loss",
-)
-
 # Waterfall columns of the revenue table -> base of their total's name.
 WATERFALL = {
     "gross": "gross_revenue",
@@ -171,7 +158,7 @@ def margin_illusion(
     )
 
 
-def true_profit_by_quarter(facts: DataFrame, labels=ladders.PROFIT_STATUS, flag_nulls: bool = False) -> DataFrame:
+def true_profit_by_quarter(facts: DataFrame, labels=PROFIT_STATUS, flag_nulls: bool = False) -> DataFrame:
     """Q21. The waterfall from gross revenue to net profit."""
     grouped = facts.groupBy("product", "year_quarter").agg(
         _total("gross", "total_gross_revenue"),

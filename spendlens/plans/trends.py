@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean, mean_to, rnd, sdiv
-from .kpis import measures
+from .kpis import MEASURES
 
 
 def _change_columns(previous: Column, digits: int) -> list[Column]:
@@ -28,7 +28,7 @@ def mom(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
     whose predecessor is zero a percentage.
     """
     month = F.trunc("date", "month").alias("month")
-    per_month = df.groupBy(*by, month).agg(measures()[measure].alias("value"))
+    per_month = df.groupBy(*by, month).agg(MEASURES[measure]().alias("value"))
     order = Window.partitionBy(*by).orderBy("month")
     following = F.coalesce(F.lead("month").over(order), F.add_months("month", 1))
     spine = per_month.withColumn("_until", F.add_months(following, -1)).select(
@@ -45,7 +45,7 @@ def mom(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
 
 def yoy(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
     """T2. A measure year by year with the change to the year before, if there is one."""
-    per_year = df.groupBy(*by, "year").agg(measures()[measure].alias("value"))
+    per_year = df.groupBy(*by, "year").agg(MEASURES[measure]().alias("value"))
     order = Window.partitionBy(*by).orderBy("year")
     adjacent = F.lag("year").over(order) == F.col("year") - 1
     previous = F.when(adjacent, F.lag("value").over(order))

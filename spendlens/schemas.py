@@ -131,16 +131,3 @@ REVENUE_COLUMNS = (
     "performance_category",
 )
 PRODUCT_COLUMNS = ("product", "selling_price", "product_cost", "gross_margin_pct")
-
-# Canonical spellings.
-PLATFORMS = ("Meta", "TikTok", "YouTube", "Google")
-PRODUCTS = (
-    "Whey Protein",
-    "Creatine",
-    "Pre-Workout",
-    "Protein Bars",
-    "Resistance Bands",
-    "Foam Roller",
-    "Dumbbells",
-    "Yoga Mat",
-)

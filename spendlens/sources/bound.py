@@ -15,14 +15,10 @@ from pyspark.sql import types as T
 
 from ..functions import ladders
 from ..functions.calendar import calendar
-from ..functions.text import DUPLICATE_TAG
-from ..schemas import CALCULATED_COLUMNS, PLATFORMS, PRODUCTS, RAW, RAW_COLUMNS
-
-# Categories and the per-platform and per-product parameters.
-HOOK_TYPES = ("Question", "Bold Statement", "Story", "Shock", "Tutorial")
-CREATIVE_ANGLES = ("Pain Point", "Transformation", "Social Proof", "Educational", "Lifestyle")
-COPY_TONES = ("Motivational", "Clinical", "Casual", "Urgent", "Empathetic")
-AD_FORMATS = ("Video", "Image", "Carousel", "Story", "Reel")
+from ..labels import AD_FORMATS, COPY_TONES, CREATIVE_ANGLES, DUPLICATE_TAG, HOOK_TYPES, PLATFORMS, PRODUCTS
+from ..schemas import CALCULATED_COLUMNS, RAW, RAW_COLUMNS
+
+# The per-platform and per-product parameters.
 CLICK_RATES = (180, 350, 120, 150)
 CPM_CENTS = (1100, 860, 1590, 1250)
 PURCHASE_RATES = (700, 220, 500, 1300)

@@ -47,6 +47,17 @@ def snapshot(df: DataFrame, path: str, version: int) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
+def store_bucketed(df: DataFrame, table: str, path: str, key: str = "row_id", buckets: int = 200) -> DataFrame:
+    """Save as a table hashed and sorted by ``key``.
+
+    Tables stored with the same key and number of buckets join on the key
+    without a shuffle. Each task writes one bucket, so there is one file per bucket.
+    """
+    writer = df.repartition(buckets, key).write.mode("errorifexists").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def publish_master(df: DataFrame, path: str, by: tuple[str, ...] = ("year", "quarter")) -> DataFrame:
     """Write the curated data set partitioned by the slicer columns.
 

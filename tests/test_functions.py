@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions import ladders
 from spendlens.functions.numeric import exact, mean, mean_to, money_ratio, pct, rnd, sdiv
+from spendlens.labels import PERFORMANCE_CATEGORIES
 from spendlens.functions.text import canonical, is_tagged, spellings, without_suffix
 
 
@@ -102,7 +103,7 @@ def test_category_status_band_and_profit_edges(spark):
         "r string, b string",
     ).select(F.col("r").cast("decimal(10,4)"), F.col("b").cast("decimal(10,4)"))
     got = values(df.select(ladders.performance_category("r", "b").label.alias("l")), "l")
-    assert got == [*ladders.PERFORMANCE_CATEGORIES, "Obvious Loser"]
+    assert got == [*PERFORMANCE_CATEGORIES, "Obvious Loser"]
 
     scores = spark.createDataFrame([(D(s),) for s in ("0.5", "1.9", "2.0", "3.9", "4.0", "6.9", "7.0", "8.0")], "s decimal(5,1)")
     status = values(scores.select(ladders.fatigue_status("s").label.alias("l")), "l")

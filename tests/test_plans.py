@@ -7,7 +7,7 @@ import pytest
 from spendlens.catalog import QUERIES
 from spendlens.operators import model
 from spendlens.plans import awareness, efficiency
-from spendlens.sources import bound
+from spendlens.sources import bound, files
 
 from conftest import SF
 
@@ -77,3 +77,14 @@ def test_dimensions_are_broadcast(spark, no_broadcast):
     star = model.normalise(bound.flat(spark, SF), with_ids=False)
     text = plan(star.facts())
     assert text.count("BroadcastHashJoin") == 2
+
+
+def test_bucketed_children_join_without_a_shuffle(spark, no_broadcast, tmp_path):
+    star = model.normalise(bound.flat(spark, SF), with_ids=False)
+    tables = {
+        name: files.store_bucketed(frame, f"bucketed_{name}", str(tmp_path / name), buckets=4)
+        for name, frame in {"c": star.creative, "p": star.performance, "r": star.revenue}.items()
+    }
+    stored = model.Star(tables["c"], tables["p"], tables["r"], star.products, star.dates)
+    joined = stored.facts("row_id", "platform", "spend", "roas")
+    assert "Exchange" not in plan(joined) and joined.count() == 6000
