@@ -23,11 +23,11 @@ def spark(tmp_path_factory):
 def facts(spark):
     from spendlens.sources import bound
 
-    return bound.facts(spark, SF).persist()
+    return bound.facts(spark, SF)
 
 
 @pytest.fixture(scope="session")
 def raw(spark):
     from spendlens.sources import bound
 
-    return bound.raw(spark, SF).persist()
+    return bound.raw(spark, SF)
