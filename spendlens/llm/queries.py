@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import line_dedup, packing, quality, simhash
+from spendlens.llm import ball_tree, bpe, cross_polytope, html_text, id_coder, line_dedup, lm, packing, quality, simhash
 from spendlens.llm.common import table
 
+#: The vocabulary that op3 and op6 encode with.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
@@ -20,19 +24,72 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, number and checksum of every document's token ids, from files written and read back."""
+    files = id_coder.write_ids(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
+    return id_coder.read_digests(files).withColumnRenamed("id", "doc_id")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    rows = table(spark, sf_dir, "embeddings")
+    return cross_polytope.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language-model score of every document, from counts over all documents."""
+    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's ids and of their decoded text."""
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of lines and a digest of what stays of every document."""
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of highest inner product for every fiftieth."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ball_tree.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op7_line_dedup, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_packing,
+        op3_token_files,
+        op4_nearest,
+        op5_backoff_scores,
+        op6_bpe,
+        op7_line_dedup,
+        op8_main_text,
+        op9_top_k,
+        op10_simhash,
+    )
+}
 
 ORACLE = {
     "op7_line_dedup": r"""
@@ -51,4 +108,51 @@ ORACLE = {
         FROM lines LEFT JOIN shared USING (key)
         GROUP BY doc_id
     """,
+    "op5_backoff_scores": r"""
+        WITH words AS (
+            SELECT doc_id, pos, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), chr(10)) AS before
+            FROM (
+                SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+                FROM (
+                    SELECT doc_id, regexp_extract_all(
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+                    ) AS ws
+                    FROM documents
+                )
+            )
+        ),
+        bigrams AS (SELECT before, w, count(*) AS n2 FROM words GROUP BY before, w HAVING count(*) >= 2),
+        unigrams AS (
+            SELECT w, count(*) AS n1 FROM words GROUP BY w
+            UNION ALL SELECT chr(10), count(*) FROM words WHERE before = chr(10)
+        ),
+        priced AS (
+            SELECT doc_id, CASE
+                WHEN n2 IS NOT NULL THEN round(ln(n2) * 1000000) - round(ln(ub.n1) * 1000000)
+                ELSE round(ln(0.4) * 1000000) + round(ln(uw.n1) * 1000000)
+                     - round(ln((SELECT count(*) FROM words)) * 1000000)
+            END AS micro
+            FROM words LEFT JOIN bigrams USING (before, w)
+            JOIN unigrams ub ON ub.w = before JOIN unigrams uw ON uw.w = words.w
+        )
+        SELECT doc_id, count(micro) AS n_words, CAST(coalesce(sum(micro), 0) AS BIGINT) AS log_micro,
+               sum(micro) / count(micro) / 1000000 AS score
+        FROM documents LEFT JOIN priced USING (doc_id) GROUP BY doc_id
+    """,
+    "op9_top_k": r"""
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER best AS INT) AS rank, vec_id, score
+        FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 5
+    """,
 }
