@@ -18,15 +18,15 @@ from spendlens.llm.bpe import Memo
 from spendlens.llm.common import stored
 
 #: Ids of a block, blocks that are coded side by side, and ids of a chunk, which is one row of a file.
-BLOCK, LANES, CHUNK = 4096, 256, 1 << 20
+BLOCK, LANES, CHUNK = 2048, 1024, 1 << 21
 #: A block: mark, ids, bytes of payload, checksum of the ids; then the payload.
 HEAD = struct.Struct("<4sIII")
 MARK = b"CMR1"
 
 # An id is four symbols of four bits, the highest first. Contexts of order 0 are the symbols before in the id;
-# those of order 1 and 2 add the one or two ids before, hashed into 2**12 places a block.
-SYMBOL, SYMBOLS, PLACES = 16, 4, 12
-STEP = (4, 24, 48)  # what a count rises by, for each order
+# those of order 1 and 2 add the one or two ids before. Each is hashed into 2**10 places a block and order.
+SYMBOL, SYMBOLS, PLACES, ORDERS = 16, 4, 10, 3
+STEP = np.array([[4], [24], [48]])  # what a count rises by, for each order
 _TOP, _BOTTOM, _ALL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
 
 
@@ -34,40 +34,37 @@ class _Mixer:
     """Counts of the symbols in contexts of order 0 to 2, and each order's weight, for blocks side by side."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        low = 1 + 16 + 256 + 4096
-        self.counts = [np.zeros((lanes * n, SYMBOL), np.uint8) for n in (low, 1 << PLACES, 1 << PLACES)]
-        self.size = (low, 1 << PLACES, 1 << PLACES)
-        self.trust = np.full((lanes, SYMBOLS, 3), 1 << 15, np.int64)
-        self.before = np.zeros((2, lanes), np.int64)
+        self.counts = np.zeros((ORDERS * lanes << PLACES, SYMBOL), np.uint8)
+        self.base = (np.arange(ORDERS * lanes) << PLACES).reshape(ORDERS, lanes)
+        self.trust = np.full((SYMBOLS, ORDERS, lanes), 1 << 15, np.int32)
+        self.before = np.zeros((2, lanes), np.uint32)
 
     def frequencies(self, lanes: np.ndarray, place: int, prefix: np.ndarray) -> np.ndarray:
         """Cumulative frequencies of the next symbol: the orders' counts, weighted by how well each has done."""
-        one, two = self.before[0, lanes], self.before[1, lanes]
-        node = (16**place - 1) // 15 + prefix
-        hashed = (one * 0x9E3779B1 + node * 0x85EBCA6B) & 0xFFFFFFFF
-        wider = (hashed + two * 0xC2B2AE35 + 0x27D4EB2F) & 0xFFFFFFFF
-        spread = lambda h: (h * 0x2545F491 & 0xFFFFFFFF) >> (32 - PLACES)
-        self.rows = [lanes * n + at for n, at in zip(self.size, (node, spread(hashed), spread(wider)))]
-        self.held = [c[r] for c, r in zip(self.counts, self.rows)]
-        weight = 1 + (self.trust[lanes, place] >> 14)
-        mixed = sum(h.astype(np.int64) * weight[:, o, None] for o, h in enumerate(self.held)) + 1
+        context = np.empty((ORDERS, len(lanes)), np.uint32)
+        context[0] = ((16**place - 1) // 15 + prefix).astype(np.uint32) * np.uint32(0x85EBCA6B)
+        context[1] = context[0] + (self.before[0, lanes] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        context[2] = context[1] + (self.before[1, lanes] + np.uint32(1)) * np.uint32(0xC2B2AE35)
+        context ^= context >> np.uint32(15)
+        self.rows = self.base[:, lanes] + (context * np.uint32(0x2545F491) >> np.uint32(32 - PLACES))
+        self.held = self.counts[self.rows]
+        weight = 1 + (self.trust[place][:, lanes] >> 14)
         out = np.zeros((len(lanes), SYMBOL + 1), np.int64)
-        np.cumsum(mixed, axis=1, out=out[:, 1:])
+        np.cumsum((self.held * weight[:, :, None]).sum(axis=0) + 1, axis=1, out=out[:, 1:])
         return out
 
     def learn(self, lanes: np.ndarray, place: int, symbol: np.ndarray) -> None:
-        each = np.arange(len(lanes))
-        for o, (count, rows, held) in enumerate(zip(self.counts, self.rows, self.held)):
-            hit = held[each, symbol].astype(np.int64)
-            share = (hit << 16) // (held.sum(axis=1, dtype=np.int64) + 1)
-            self.trust[lanes, place, o] += (share - self.trust[lanes, place, o]) >> 5
-            full = hit + STEP[o] > 255
-            if full.any():
-                held[full] >>= 1
-                hit = held[each, symbol].astype(np.int64)
-            held[each, symbol] = hit + STEP[o]
-            count[rows] = held
+        each, held = np.arange(len(lanes)), self.held
+        hit = held[:, each, symbol].astype(np.int32)
+        share = (hit << 16) // (held.sum(axis=2, dtype=np.int32) + 1)
+        trust = self.trust[place]
+        trust[:, lanes] += (share - trust[:, lanes]) >> 5
+        full = hit + STEP > 255
+        if full.any():
+            held[full] >>= 1
+            hit = held[:, each, symbol].astype(np.int32)
+        held[:, each, symbol] = hit + STEP
+        self.counts[self.rows] = held
 
     def push(self, lanes: np.ndarray, ids: np.ndarray) -> None:
         self.before[1, lanes] = self.before[0, lanes]
