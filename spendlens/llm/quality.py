@@ -117,18 +117,23 @@ def _fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, l2: float, steps:
 def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights (the last is the intercept, for raw features) and the prior they were fitted with.
 
-    The prior comes from a plain positive-against-unlabelled model fitted on
-    one half and read on the other. Without positives every score is one half.
+    Rows end in a one for the intercept; they are standardised in place. The
+    prior comes from a plain positive-against-unlabelled model fitted on one half
+    and read on the other. Without positives every score is one half.
     """
     if not len(pos) or not len(unl):
         return np.zeros(FEATURES + 1, np.float32), 0.5
-    mean, spread = unl.mean(axis=0), unl.std(axis=0) + 1e-3
-    one = lambda x: np.c_[(x - mean) / spread, np.ones(len(x))].astype(np.float32)
-    p, u = one(pos), one(unl)
-    half = np.r_[p[::2], u[::2]]
-    plain = _fit_plain(half, np.r_[np.ones(len(p[::2])), np.zeros(len(u[::2]))].astype(np.float32), l2, steps)
-    prior = estimate_prior(p[1::2] @ plain, u[1::2] @ plain) if len(p) > 1 and len(u) > 1 else 0.5
-    w = _fit_nnpu(p, u, prior, l2, steps)
+    mean, spread = unl[:, :-1].mean(axis=0), unl[:, :-1].std(axis=0) + 1e-3
+    for side in (pos, unl):
+        side[:, :-1] -= mean
+        side[:, :-1] /= spread
+    prior = 0.5
+    if len(pos) > 1 and len(unl) > 1:
+        half = np.concatenate([pos[::2], unl[::2]])
+        plain = _fit_plain(half, np.arange(len(half)) < len(pos[::2]), l2, steps)
+        del half
+        prior = estimate_prior(pos[1::2] @ plain, unl[1::2] @ plain)
+    w = _fit_nnpu(pos, unl, prior, l2, steps)
     return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()].astype(np.float32), prior
 
 
@@ -139,18 +144,25 @@ def _vectors(batches):
 
 
 def _fitted(batches):
-    sides = {True: [np.empty((0, FEATURES), np.float32)], False: [np.empty((0, FEATURES), np.float32)]}
+    sides: dict[bool, list[bytes]] = {True: [], False: []}
     for batch in batches:
-        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
-        known = batch.column("known").to_numpy(zero_copy_only=False).astype(bool)
-        for side in sides:
-            sides[side].append(x[known == side])
-    weights, prior = fit(np.concatenate(sides[True]), np.concatenate(sides[False]))
-    yield pa.RecordBatch.from_pylist([{"weights": weights.tobytes(), "prior": prior}], schema=pa.schema([("weights", pa.binary()), ("prior", pa.float64())]))
+        for known, x in zip(batch.column("known").to_pylist(), batch.column("x").to_pylist()):
+            sides[known].append(x)
+
+    def matrix(rows: list[bytes]) -> np.ndarray:
+        out = np.ones((len(rows), FEATURES + 1), np.float32)
+        for i in range(len(rows)):
+            out[i, :-1] = np.frombuffer(rows[i], np.float32)
+            rows[i] = b""
+        return out
+
+    weights, prior = fit(matrix(sides[True]), matrix(sides[False]))
+    schema = pa.schema([("weights", pa.binary()), ("prior", pa.float64())])
+    yield pa.RecordBatch.from_pylist([{"weights": weights.tobytes(), "prior": prior}], schema=schema)
 
 
 def train(
-    docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 6000, max_unlabelled: int = 12000
+    docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 5000, max_unlabelled: int = 10000
 ) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample: the trusted ``positives`` (ids) against unlabelled ``docs``.
 
