@@ -208,7 +208,7 @@ def is_held_out(doc_id: Column) -> Column:
 def trusted_positives(labels: DataFrame) -> DataFrame:
     """Ids outside the held-out fold that every label calls good."""
     return (
-        labels.filter(~is_held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+        labels.filter(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").alias("worst"))
         .filter("worst = 1")
