@@ -137,6 +137,7 @@ DASHBOARD: dict[str, str] = {
         "year IN (1996, 1997) AND month_number = 3 AND platform = 'TikTok' AND ad_format = 'Video' "
         "AND fatigue_status = 'Low Fatigue'",
     ),
+    "K2_over_master": _kpis("product", "year = 1997"),
     "K3_category_share": _category_share("performance_category", "performance_category"),
     "K3_decision_share_by_year": _category_share("scalability_decision", _DECISION, "year"),
     "K4_awareness": on_facts(
@@ -202,8 +203,9 @@ DASHBOARD: dict[str, str] = {
             rnd(f"avg(roas) {_only(p)} - avg(breakeven_roas) {_only(p)}", 2) + f" AS gap_{p.lower()}"
             for p in ("Meta", "TikTok", "YouTube", "Google")
         )
-        + " FROM facts GROUP BY product",
-        "gap_meta gap_tiktok gap_youtube gap_google",
+        + ", " + rnd("avg(roas - breakeven_roas) FILTER (WHERE platform NOT IN ('Meta', 'TikTok', 'YouTube', 'Google'))", 2)
+        + " AS gap_other FROM facts GROUP BY product",
+        "gap_meta gap_tiktok gap_youtube gap_google gap_other",
     ),
     "K11_never_break_even_spend": on_facts(
         "SELECT round(sum(if(performance_category IN ('Obvious Loser', 'Illusion'), spend, 0)), 2) AS wasted_spend, "
@@ -217,7 +219,7 @@ DASHBOARD: dict[str, str] = {
         "breakeven_roas",
     ),
     "T1_mom": _mom("total_spend", "platform"),
-    "T1_mom_with_gaps": _mom("mean_roas", "ad_id", "platform = 'TikTok' AND product = 'Creatine'"),
+    "T1_mom_with_gaps": _mom("mean_roas", "ad_id, platform, product"),
     "T2_yoy": _yoy("hook_rate", "platform"),
     "T3_quarter_trend": on_facts(
         "SELECT platform, year_quarter, avg_roas, avg_breakeven, gap, avg_roas - lag(avg_roas) OVER "

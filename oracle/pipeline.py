@@ -30,6 +30,12 @@ def _take(names: list[str], source: str = "facts") -> str:
     return f"SELECT {', '.join(names)} FROM {source}"
 
 
+def _numbered(prefix: str, key: str, names: list[str], source: str = "facts") -> str:
+    """Rows with a generated key in the order of ``row_id``; numbers past six digits are written in full."""
+    number = "row_number() OVER (ORDER BY row_id)"
+    return f"SELECT format('{prefix}{{:06d}}', {number}) AS {key}, {', '.join(names)} FROM {source}"
+
+
 def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
@@ -162,11 +168,13 @@ _FLAT_FROM_RAW = (
 
 PIPELINE: dict[str, str] = {
     # sources and sinks
-    "S1_load_raw": on_raw(_take(RAW_LIST, "raw"), **plain(RAW_LIST)),
-    "S2_scan": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem",
+    "S1_load_raw": on_raw(_take([*RAW_LIST, "cast(NULL AS varchar) AS _bad"], "raw"), **plain(RAW_LIST)),
+    "S2_scan": "SELECT * REPLACE (cast(l_shipdate AS varchar) AS l_shipdate) FROM lineitem",
     "S3_snapshot": on_raw(_FLAT_FROM_RAW, **plain(_FLAT_NAMES)),
     "S4_publish_master": on_facts(
-        "SELECT row_id, platform, year, quarter, roas FROM facts WHERE year = 1997", "roas"
+        f"{_STAR} SELECT {', '.join(_PERFORMANCE_MASTER)}, {_DECISION} AS scalability_decision, "
+        f"{_COMBINATION} AS creative_combination {_JOINED}",
+        **plain(_PERFORMANCE_MASTER),
     ),
     "S5_shared_traps": on_facts(
         f"SELECT *, {rnd('cast(total_spend AS double) / sum(total_spend) OVER () * 100', 4)} AS trap_spend_share_pct "
@@ -247,7 +255,7 @@ PIPELINE: dict[str, str] = {
     "C12_fatigue_status": _calculated("fatigue_status", _FATIGUE),
     "C13_performance_category": _decisions(
         "performance_category",
-        "CASE WHEN roas / breakeven_roas >= 1.5 THEN 'Extreme Winner' WHEN roas >= breakeven_roas * 1.05 THEN "
+        "CASE WHEN roas >= breakeven_roas * 1.5 THEN 'Extreme Winner' WHEN roas >= breakeven_roas * 1.05 THEN "
         "'Genuine Winner' WHEN roas >= breakeven_roas * 0.95 THEN 'Break-Even' WHEN roas >= 1.5 THEN 'Illusion' "
         "ELSE 'Obvious Loser' END",
     ),
@@ -258,8 +266,8 @@ PIPELINE: dict[str, str] = {
     "C_clean_pipeline": on_raw(_FLAT_FROM_RAW, **plain(_FLAT_NAMES)),
     # modelling
     "M1_ad_creative": on_facts(_take(_CREATIVE), **plain(_CREATIVE)),
-    "M1_ad_performance": on_facts(_take(_PERFORMANCE), **plain(_PERFORMANCE)),
-    "M1_revenue": on_facts(_take(_REVENUE), **plain(_REVENUE)),
+    "M1_ad_performance": on_facts(_numbered("P", "performance_id", _PERFORMANCE), **plain(_PERFORMANCE)),
+    "M1_revenue": on_facts(_numbered("R", "revenue_id", _REVENUE), **plain(_REVENUE)),
     "M2_dim_date": "WITH span AS (SELECT min(cast(o_orderdate AS date)) AS a, max(cast(o_orderdate AS date)) AS z "
     "FROM orders), days AS (SELECT cast(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS date) AS day FROM span) "
     f"SELECT cast(day AS varchar) AS date, {calendar('day')} FROM days",
@@ -267,16 +275,21 @@ PIPELINE: dict[str, str] = {
         "SELECT DISTINCT product, selling_price, product_cost, gross_margin_pct FROM facts",
         "selling_price product_cost gross_margin_pct",
     ),
-    "M4_assign_ids": on_facts(
-        "SELECT 'P' || lpad(cast(row_number() OVER (ORDER BY row_id, spend) AS varchar), 6, '0') AS performance_id, row_id, "
-        "spend FROM facts",
-        "spend",
-    ),
-    "M5_orphan_counts": on_facts(
-        _union(
+    "M4_assign_ids": on_facts(_numbered("P", "performance_id", _PERFORMANCE), **plain(_PERFORMANCE)),
+    "M4_revenue_ids": on_facts(_numbered("R", "revenue_id", _REVENUE), **plain(_REVENUE)),
+    "M5_orphan_counts": on_raw(
+        "WITH products AS (SELECT DISTINCT product FROM facts WHERE product <> 'Yoga Mat'), "
+        "dim_date AS (SELECT DISTINCT date FROM facts WHERE year < 1998) "
+        + _union(
             [
-                f"SELECT '{k}' AS foreign_key, cast(0 AS bigint) AS orphan_keys, cast(0 AS bigint) AS orphan_rows"
-                for k in ("ad_creative.product", "ad_creative.date", "ad_performance.row_id", "revenue.row_id")
+                f"SELECT '{child}.{key}' AS foreign_key, count(DISTINCT {key}) AS orphan_keys, count(*) AS orphan_rows "
+                f"FROM {rows} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key})"
+                for child, rows, key, parent in (
+                    ("ad_creative", "facts", "product", "products"),
+                    ("ad_creative", "facts", "date", "dim_date"),
+                    ("ad_performance", "raw", "row_id", "facts"),
+                    ("revenue", "raw", "row_id", "facts"),
+                )
             ]
         )
     ),
@@ -286,22 +299,32 @@ PIPELINE: dict[str, str] = {
     "M6_fanout": on_raw(
         "SELECT replace(row_id, '_dup', '') AS row_id, count(*) AS cnt FROM raw GROUP BY 1 HAVING count(*) > 1"
     ),
+    "M6_fanout_revenue": on_raw(
+        "SELECT replace(row_id, '_dup', '') AS row_id, count(*) AS cnt FROM raw GROUP BY 1 HAVING count(*) > 1"
+    ),
     "M6_view_fanout": on_raw(
         "SELECT k AS row_id, count(*) AS cnt FROM facts c JOIN (SELECT replace(row_id, '_dup', '') AS k FROM raw) p "
         "ON c.row_id = p.k JOIN facts r ON r.row_id = c.row_id GROUP BY k HAVING count(*) > 1"
     ),
     "M7_keep_first": on_raw(
-        "SELECT performance_id, row_id, spend FROM (SELECT row_id AS performance_id, "
-        "replace(row_id, '_dup', '') AS row_id, spend FROM raw) "
-        "QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY performance_id, spend) = 1",
-        "spend",
+        f"WITH enriched AS (SELECT *, {_FATIGUE} AS fatigue_status, "
+        f"{rnd(ratio('purchases', 'impressions'), 6)} AS funnel_dropoff_rate FROM raw), "
+        f"numbered AS ({_numbered('P', 'performance_id', _PERFORMANCE, 'enriched')}), "
+        "kept AS (SELECT * REPLACE (replace(row_id, '_dup', '') AS row_id) FROM numbered) "
+        "SELECT * FROM kept WHERE performance_id IN (SELECT min(performance_id) FROM kept GROUP BY row_id)",
+        **plain(_PERFORMANCE),
     ),
     "M8_reconcile": on_raw(
         f"{_STAR} SELECT 'raw' AS source, count(*) AS row_count FROM raw UNION ALL "
         f"SELECT 'raw_without_dups', count(*) FROM ({_CLEAN}) UNION ALL "
+        f"SELECT 'backup', count(*) FROM ({_CLEAN}) UNION ALL "
         "SELECT 'ad_creative', count(*) FROM ad_creative UNION ALL "
-        "SELECT 'ad_performance', count(*) FROM ad_performance UNION ALL SELECT 'revenue', count(*) FROM revenue "
-        f"UNION ALL SELECT 'performance_master', count(*) {_JOINED}"
+        "SELECT 'ad_performance', count(*) FROM ad_performance UNION ALL "
+        "SELECT 'ad_performance_before_delete', count(*) FROM raw UNION ALL "
+        "SELECT 'ad_performance_after_delete', count(DISTINCT replace(row_id, '_dup', '')) FROM raw UNION ALL "
+        "SELECT 'revenue', count(*) FROM revenue "
+        f"UNION ALL SELECT 'performance_master', count(*) {_JOINED} "
+        f"UNION ALL SELECT 'profitability_master', count(*) {_JOINED}"
     ),
     # masters
     "V1_performance_master": on_facts(

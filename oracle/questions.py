@@ -450,3 +450,5 @@ QUESTIONS: dict[str, str] = {
     ),
     "Q29_total_reach": on_facts("SELECT sum(reach) AS total_reach FROM facts", "", "total_reach"),
 }
+# The same figures, whichever tables they come from.
+QUESTIONS["Q2_over_star"] = QUESTIONS["Q2_reach_by_platform"]

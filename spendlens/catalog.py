@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,40 +20,31 @@ from .functions.text import is_tagged, spellings, without_suffix
 from .functions.calendar import calendar
 from .operators import clean, master, model
 from .plans import attention, awareness, decision, efficiency, interest, kpis, profit, trends
-from .plans.common import with_total
 from .labels import PLATFORMS, PRODUCTS
-from .schemas import RAW
-from .session import shared_path
+from .schemas import PERFORMANCE_COLUMNS, RAW, REVENUE_COLUMNS
+from .session import shared_path, write_through
 from .sources import bound, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-
-# Wide campaign rows generate code above the 8000 bytecodes per method that the
-# JVM compiles; beyond it Spark should use its split projections instead.
-HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
-
+_STORED: dict[tuple[str, str], str] = {}
 
 def present(df: DataFrame) -> DataFrame:
-    """Decimals as doubles and dates as ISO text, for comparison across engines."""
+    """Decimals as doubles, dates and times as ISO text, for comparison across engines."""
 
     def shown(field: T.StructField):
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
             return column.cast("double").alias(field.name)
-        if isinstance(field.dataType, T.DateType):
+        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return column.cast("string").alias(field.name)
         return column
 
     return df.select(*[shown(f) for f in df.schema])
 
 
-def register(name: str, build: Query, wide: bool = False) -> None:
-    """``wide`` marks queries that hand on (nearly) all columns of each row."""
-
+def register(name: str, build: Query) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if wide:
-            spark.conf.set(HUGE_METHOD, "8000")
         return present(build(spark, sf_dir))
 
     run.__name__ = name
@@ -63,30 +55,62 @@ def on_facts(name: str, question: Callable[[DataFrame], DataFrame]) -> None:
     register(name, lambda spark, sf_dir: question(bound.facts(spark, sf_dir)))
 
 
-def on_raw(name: str, step: Callable[[DataFrame], DataFrame], wide: bool = False) -> None:
-    register(name, lambda spark, sf_dir: step(bound.raw(spark, sf_dir)), wide)
+def on_raw(name: str, step: Callable[[DataFrame], DataFrame]) -> None:
+    register(name, lambda spark, sf_dir: step(bound.raw(spark, sf_dir)))
 
 
 def unique_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_tagged_dups(bound.raw(spark, sf_dir))
 
 
+def stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table as stored in the shared folder, written once per session and input folder.
+
+    Parquet keeps columns apart, so each table of the star reads only its own.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    schema = bound.flat(spark, sf_dir).schema
+    if key in _STORED:
+        try:
+            return spark.read.schema(schema).parquet(_STORED[key])
+        except AnalysisException:  # the folder has been cleaned since
+            del _STORED[key]
+    path = shared_path(spark, "flat")
+    bound.flat(spark, sf_dir).write.parquet(path)
+    _STORED[key] = path
+    return spark.read.schema(schema).parquet(path)
+
+
 def star(spark: SparkSession, sf_dir: str) -> model.Star:
-    flat = bound.flat(spark, sf_dir)
     dates = model.dim_date_over(bound.calendar_span(spark, sf_dir))
-    return model.normalise(flat, dates=dates, with_ids=False)
+    return model.normalise(stored_flat(spark, sf_dir), dates=dates, with_ids=False)
+
+
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The performance table with its generated key."""
+    return model.with_performance_id(bound.flat(spark, sf_dir).select(*PERFORMANCE_COLUMNS))
+
+
+def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revenue table with its generated key."""
+    return model.with_revenue_id(bound.flat(spark, sf_dir).select(*REVENUE_COLUMNS))
+
+
+def _untagged(df: DataFrame) -> DataFrame:
+    return df.withColumn("row_id", without_suffix("row_id", ("_dup",)))
 
 
 def performance_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Performance rows in which the tagged duplicates kept their original ``row_id``.
+    """Performance rows, numbered, in which the tagged duplicates kept their original ``row_id``.
 
-    The tagged id serves as the generated key, so the original has the smaller one.
+    Keys are given in the order of the tagged ids, so an original has a smaller key than its copy.
     """
-    return bound.raw(spark, sf_dir).select(
-        F.col("row_id").alias("performance_id"),
-        without_suffix("row_id", ("_dup",)).alias("row_id"),
-        "spend",
-    )
+    rows = clean.enrich(bound.raw(spark, sf_dir)).select(*PERFORMANCE_COLUMNS)
+    return _untagged(model.with_performance_id(rows))
+
+
+def revenue_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _untagged(clean.enrich(bound.raw(spark, sf_dir)).select(*REVENUE_COLUMNS))
 
 
 # --- sources and sinks ---------------------------------------------------
@@ -102,28 +126,23 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.snapshot(clean.clean(bound.raw(spark, sf_dir)), shared_path(spark, "snapshots"), 1)
 
 
-def _publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = master.performance_columns(bound.facts(spark, sf_dir))
-    published = files.publish_master(rows, shared_path(spark, "master"))
-    return kpis.slice_by(published, year=1997).select("row_id", "platform", "year", "quarter", "roas")
+    return files.publish_master(rows, shared_path(spark, "master"))
 
 
 def _shared_traps(facts: DataFrame) -> DataFrame:
-    """One trap table feeds both the listing and its own total."""
-    traps = with_total(attention.attention_traps(facts), "total_spend", "_all")
+    """One trap table, stored once, feeds both the listing and its own total."""
+    traps = write_through(attention.attention_traps(facts), "traps")
+    traps = traps.withColumn("_all", traps.agg(F.sum("total_spend")).scalar())
     part = rnd(sdiv("total_spend", "_all") * 100, 4).alias("trap_spend_share_pct")
     return traps.select("*", part).drop("_all")
 
 
-register("S1_load_raw", _load_raw, wide=True)
-register(
-    "S2_scan",
-    lambda spark, sf_dir: files.scan(spark, f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
-    ),
-)
-register("S3_snapshot", _snapshot, wide=True)
-register("S4_publish_master", _publish, wide=True)
+register("S1_load_raw", _load_raw)
+register("S2_scan", lambda spark, sf_dir: files.scan(spark, f"{sf_dir}/lineitem.parquet"))
+register("S3_snapshot", _snapshot)
+register("S4_publish_master", published)
 on_facts("S5_shared_traps", _shared_traps)
 on_facts(
     "S6_preview",
@@ -135,11 +154,11 @@ on_facts(
 # --- cleaning ------------------------------------------------------------
 
 on_raw("C1_profile_dates", clean.profile_dates)
-on_raw("C1_profile_ranges", clean.profile_ranges, wide=True)
+on_raw("C1_profile_ranges", clean.profile_ranges)
 on_raw("C1_profile_categories", clean.profile_categories)
 on_raw("C2_count_tagged_dups", clean.count_tagged_dups)
 on_raw("C3_drop_tagged_dups", lambda r: clean.drop_tagged_dups(r).select("row_id", "spend"))
-on_raw("C4_null_audit", lambda r: clean.null_audit(r, RAW.fieldNames()), wide=True)
+on_raw("C4_null_audit", lambda r: clean.null_audit(r, RAW.fieldNames()))
 on_raw(
     "C5_standardise",
     lambda r: clean.standardise(
@@ -174,47 +193,66 @@ for _id, _column in {
         lambda spark, sf_dir, column=_column: clean.enrich(unique_raw(spark, sf_dir)).select("row_id", column),
     )
 register("C15_check_identities", lambda spark, sf_dir: clean.check_identities(unique_raw(spark, sf_dir)))
-on_raw("C_clean_pipeline", clean.clean, wide=True)
+on_raw("C_clean_pipeline", clean.clean)
 
 # --- modelling and integrity ---------------------------------------------
 
 register("M1_ad_creative", lambda spark, sf_dir: star(spark, sf_dir).creative)
-register("M1_ad_performance", lambda spark, sf_dir: star(spark, sf_dir).performance, wide=True)
-register("M1_revenue", lambda spark, sf_dir: star(spark, sf_dir).revenue)
+register("M1_ad_performance", performance)
+register("M1_revenue", revenue)
 register("M2_dim_date", lambda spark, sf_dir: model.dim_date_over(bound.calendar_span(spark, sf_dir)))
 register("M3_products_dim", lambda spark, sf_dir: star(spark, sf_dir).products)
-register(
-    "M4_assign_ids",
-    lambda spark, sf_dir: model.assign_ids(
-        bound.facts(spark, sf_dir).select("row_id", "spend"), "performance_id", "P", ["row_id"]
-    ),
-)
-register("M5_orphan_counts", lambda spark, sf_dir: model.orphan_counts(star(spark, sf_dir)))
+register("M4_assign_ids", performance)
+register("M4_revenue_ids", revenue)
+
+
+def _orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star with orphans under every key: children still tagged, dimensions that lack a product and later days."""
+    whole = star(spark, sf_dir)
+    rows = clean.enrich(bound.raw(spark, sf_dir))
+    short = model.Star(
+        whole.creative,
+        rows.select(*PERFORMANCE_COLUMNS),
+        rows.select(*REVENUE_COLUMNS),
+        whole.products.filter(F.col("product") != PRODUCTS[-1]),
+        whole.dates.filter(F.col("year") < 1998),
+    )
+    return model.orphan_counts(short)
+
+
+register("M5_orphan_counts", _orphan_counts)
 register(
     "M5_orphans_of_raw",
-    lambda spark, sf_dir: model.orphans(bound.raw(spark, sf_dir), bound.flat(spark, sf_dir), "row_id"),
+    lambda spark, sf_dir: model.orphans(bound.raw(spark, sf_dir), stored_flat(spark, sf_dir), "row_id"),
 )
-register("M6_fanout", lambda spark, sf_dir: model.fanout(performance_with_repeats(spark, sf_dir), "row_id"))
+register("M6_fanout", lambda spark, sf_dir: model.fanout(_untagged(bound.raw(spark, sf_dir)), "row_id"))
+register("M6_fanout_revenue", lambda spark, sf_dir: model.fanout(revenue_with_repeats(spark, sf_dir), "row_id"))
 
 
 def _view_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = star(spark, sf_dir)
-    repeated = performance_with_repeats(spark, sf_dir)
+    repeated = _untagged(bound.raw(spark, sf_dir).select("row_id"))
     return model.view_fanout(
         model.Star(whole.creative, repeated, whole.revenue, whole.products, whole.dates)
     )
 
 
 def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts along the way: raw, backup, the star, the delete of repeats before and after, both masters."""
     whole = star(spark, sf_dir)
+    before = write_through(performance_with_repeats(spark, sf_dir).select("performance_id", "row_id"), "performance")
     return model.reconcile(
         {
             "raw": bound.raw(spark, sf_dir),
             "raw_without_dups": unique_raw(spark, sf_dir),
+            "backup": _snapshot(spark, sf_dir),
             "ad_creative": whole.creative,
             "ad_performance": whole.performance,
+            "ad_performance_before_delete": before,
+            "ad_performance_after_delete": model.keep_first(before, "row_id", "performance_id"),
             "revenue": whole.revenue,
             "performance_master": master.performance_master(whole),
+            "profitability_master": master.profitability_master(whole),
         }
     )
 
@@ -228,8 +266,8 @@ register("M8_reconcile", _reconcile)
 
 # --- master data sets ----------------------------------------------------
 
-register("V1_performance_master", lambda spark, sf_dir: master.performance_master(star(spark, sf_dir)), wide=True)
-register("V2_profitability_master", lambda spark, sf_dir: master.profitability_master(star(spark, sf_dir)), wide=True)
+register("V1_performance_master", lambda spark, sf_dir: master.performance_master(star(spark, sf_dir)))
+register("V2_profitability_master", lambda spark, sf_dir: master.profitability_master(star(spark, sf_dir)))
 on_facts(
     "V3_scalability_decision",
     lambda f: f.select(
@@ -297,6 +335,8 @@ for _name, _question in {
 }.items():
     on_facts(_name, _question)
 
+register("Q2_over_star", lambda spark, sf_dir: awareness.reach_by_platform(star(spark, sf_dir).facts()))
+
 # --- KPIs and trends -----------------------------------------------------
 
 _SLICE = {
@@ -325,9 +365,7 @@ for _name, _kpi in {
     "K11_never_break_even_spend": decision.wasted_spend,
     "K12_breakeven_table": lambda f: kpis.breakeven_table(model.products_dim(f)),
     "T1_mom": lambda f: trends.mom(f, "total_spend", ["platform"]),
-    "T1_mom_with_gaps": lambda f: trends.mom(
-        kpis.slice_by(f, platform="TikTok", product="Creatine"), "mean_roas", ["ad_id"]
-    ),
+    "T1_mom_with_gaps": lambda f: trends.mom(f, "mean_roas", ["ad_id", "platform", "product"]),
     "T2_yoy": lambda f: trends.yoy(f, "hook_rate", ["platform"]),
     "T3_quarter_trend": trends.quarter_trend,
     "T4_decline_streak": trends.decline_streak,
@@ -336,6 +374,8 @@ for _name, _kpi in {
 }.items():
     on_facts(_name, _kpi)
 
+register("K2_over_master", lambda spark, sf_dir: kpis.kpis(published(spark, sf_dir), ["product"], {"year": 1997}))
+
 # --- scalar functions ----------------------------------------------------
 
 on_facts(

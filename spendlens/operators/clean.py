@@ -85,7 +85,8 @@ def count_tagged_dups(df: DataFrame, exact_like: bool = False) -> DataFrame:
 
 
 def drop_tagged_dups(df: DataFrame, exact_like: bool = False) -> DataFrame:
-    return df.filter(~is_tagged("row_id", exact_like=exact_like))
+    """Rows without the tag; a NULL id has none, so its row stays."""
+    return df.filter(~F.coalesce(is_tagged("row_id", exact_like=exact_like), F.lit(False)))
 
 
 # --- spelling ------------------------------------------------------------
@@ -274,7 +275,10 @@ def check_identities(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """Raw export to clean flat table: duplicates out, spelling fixed, gaps filled, columns added."""
+    """Raw export to clean flat table: duplicates out, spelling fixed, gaps filled, columns added.
+
+    Run ``validate`` and ``unexpected_nulls`` on the result; they only report.
+    """
     unique = drop_tagged_dups(raw)
     spelled = standardise(standardise(unique, "platform", spellings(PLATFORMS)), "product", spellings(PRODUCTS))
     filled = impute_mean(strip_suffix(spelled))

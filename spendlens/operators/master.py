@@ -7,29 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..functions.numeric import pct
-from ..schemas import CREATIVE_COLUMNS, PERFORMANCE_COLUMNS, PRODUCT_COLUMNS
-from ..functions.calendar import CALENDAR_COLUMNS
 from .model import Star
 
+# The columns of the two masters, in view order.
 PERFORMANCE_MASTER = (
-    *("row_id", "campaign_id", "campaign_name", "ad_id", "date"),
-    *("day_of_week", "week_number", "month_number", "month_name", "quarter"),
-    *("quarter_label", "year", "year_quarter", "year_month", "is_weekend"),
-    *CREATIVE_COLUMNS[5:],
-    *PRODUCT_COLUMNS[1:],
-    *PERFORMANCE_COLUMNS[1:],
-    *("gross_revenue", "net_revenue", "roas", "breakeven_roas", "performance_category"),
-)
+    "row_id", "campaign_id", "campaign_name", "ad_id", "date", "day_of_week", "week_number", "month_number",
+    "month_name", "quarter", "quarter_label", "year", "year_quarter", "year_month", "is_weekend", "platform",
+    "product", "hook_type", "creative_angle", "copy_tone", "ad_format", "has_ugc", "selling_price",
+    "product_cost", "gross_margin_pct", "impressions", "reach", "frequency", "fatigue_score", "fatigue_status",
+    "creative_score", "hook_rate", "hold_rate_3s", "completion_rate", "funnel_dropoff_rate", "spend", "cpm",
+    "clicks", "ctr", "cpc", "purchases", "cvr", "cpa", "gross_revenue", "net_revenue", "roas", "breakeven_roas",
+    "performance_category",
+)
 PROFITABILITY_MASTER = (
-    *("row_id", "ad_id", "date"),
-    *("month_name", "month_number", "quarter", "quarter_label", "year", "year_quarter", "year_month"),
-    *("platform", "product"),
-    *PRODUCT_COLUMNS[1:],
-    *("spend", "purchases", "fatigue_score", "fatigue_status"),
-    *("gross_revenue", "discount_amount", "refund_amount", "net_revenue"),
-    *("roas", "breakeven_roas", "contribution_margin", "fixed_cost_allocation", "net_profit"),
+    "row_id", "ad_id", "date", "month_name", "month_number", "quarter", "quarter_label", "year", "year_quarter",
+    "year_month", "platform", "product", "selling_price", "product_cost", "gross_margin_pct", "spend",
+    "purchases", "fatigue_score", "fatigue_status", "gross_revenue", "discount_amount", "refund_amount",
+    "net_revenue", "roas", "breakeven_roas", "contribution_margin", "fixed_cost_allocation", "net_profit",
     "performance_category",
-)
+)
 
 
 def creative_combination(separator: str = " | ", ugc: str = "UGC", no_ugc: str = "Non UGC") -> Column:

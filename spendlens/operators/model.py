@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import CALENDAR_COLUMNS, calendar
+from ..functions.calendar import calendar
 from ..schemas import CREATIVE_COLUMNS, PERFORMANCE_COLUMNS, PRODUCT_COLUMNS, REVENUE_COLUMNS
-from ..session import broadcast_if_small, write_through
+from ..session import write_through
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class Star:
 
         With no columns named, all five are joined. Leaving a child out is the
         same as joining it as long as ``fanout`` and ``orphans`` find nothing.
-        Both children join on ``row_id``, so the parent is shuffled once; the
-        dimensions are broadcast while they are small.
+        Both children join on ``row_id``, so the parent is shuffled once; how the
+        dimensions join is left to adaptive execution, which sees their sizes.
         """
         wanted = set(columns)
         df = self.creative
@@ -42,9 +42,9 @@ class Star:
             if needed(child):
                 df = df.join(child.drop(generated), "row_id")
         if needed(self.products):
-            df = df.join(broadcast_if_small(self.products), "product")
+            df = df.join(self.products, "product")
         if needed(self.dates):
-            df = df.join(broadcast_if_small(self.dates), "date")
+            df = df.join(self.dates, "date")
         return df.select(*columns) if columns else df
 
 
@@ -99,6 +99,14 @@ def assign_ids(df: DataFrame, id_column: str, prefix: str, order_by: Sequence[st
     return numbered.select(F.format_string(f"{prefix}%0{width}d", number).alias(id_column), *df.columns)
 
 
+def with_performance_id(performance: DataFrame) -> DataFrame:
+    return assign_ids(performance, "performance_id", "P", ["row_id"])
+
+
+def with_revenue_id(revenue: DataFrame) -> DataFrame:
+    return assign_ids(revenue, "revenue_id", "R", ["row_id"])
+
+
 def normalise(
     flat: DataFrame, dates: DataFrame | None = None, with_ids: bool = True
 ) -> Star:
@@ -109,8 +117,7 @@ def normalise(
     """
     performance, revenue = flat.select(*PERFORMANCE_COLUMNS), flat.select(*REVENUE_COLUMNS)
     if with_ids:
-        performance = assign_ids(performance, "performance_id", "P", ["row_id"])
-        revenue = assign_ids(revenue, "revenue_id", "R", ["row_id"])
+        performance, revenue = with_performance_id(performance), with_revenue_id(revenue)
     if dates is None:
         dates = dim_date_over(flat.select(F.min("date").alias("first_day"), F.max("date").alias("last_day")))
     return Star(flat.select(*CREATIVE_COLUMNS), performance, revenue, products_dim(flat), dates)
@@ -196,20 +203,3 @@ def reconcile(frames: Mapping[str, DataFrame]) -> DataFrame:
     for one in counts[1:]:
         result = result.unionByName(one)
     return result
-
-
-__all__ = [
-    "CALENDAR_COLUMNS",
-    "Star",
-    "assign_ids",
-    "dim_date",
-    "dim_date_over",
-    "fanout",
-    "keep_first",
-    "normalise",
-    "orphan_counts",
-    "orphans",
-    "products_dim",
-    "reconcile",
-    "view_fanout",
-]

@@ -176,10 +176,14 @@ def roas_by_fatigue(df: DataFrame) -> DataFrame:
 
 
 def breakeven_gap_matrix(df: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
-    """K10. Gap of mean ROAS to mean breakeven: one row per product, one column per platform."""
+    """K10. Gap of mean ROAS to mean breakeven: one row per product, one column per platform.
+
+    Campaigns of any other platform, or of none, share the column ``gap_other``.
+    """
     gap = rnd(mean("roas") - mean("breakeven_roas"), 2)
-    cells = df.groupBy("product").pivot("platform", list(platforms)).agg(gap)
-    return cells.select("product", *[F.col(f"`{p}`").alias(f"gap_{p.lower()}") for p in platforms])
+    listed = F.when(F.col("platform").isin(*platforms), F.col("platform")).otherwise("other")
+    cells = df.withColumn("_listed", listed).groupBy("product").pivot("_listed", [*platforms, "other"]).agg(gap)
+    return cells.select("product", *[F.col(f"`{p}`").alias(f"gap_{p.lower()}") for p in (*platforms, "other")])
 
 
 def breakeven_table(products: DataFrame) -> DataFrame:

@@ -1,18 +1,10 @@
-"""Session defaults, the shared scratch folder and size-checked broadcasts."""
+"""Session defaults and the shared scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest dimension (in rows) that is sent whole to every executor.
-BROADCAST_ROW_LIMIT = 50_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -24,6 +16,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Campaign rows are wide: past 8000 bytecodes a method the JVM compiles no more,
+        # and Spark should use its split projections instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -33,20 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a temporary folder serves local mode; on a cluster that
-    folder would be visible to one machine only, so the call fails instead.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-"))
-    return context.getCheckpointDir().rstrip("/")
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -63,30 +46,3 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep an intermediate result for several actions, and let it go afterwards.
-
-    Meant for aggregates that more than one answer reads. Blocks that do not
-    fit in memory go to disk; blocks of a lost executor are computed again.
-    """
-    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield stored
-    finally:
-        stored.unpersist()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave it alone.
-
-    At most ``max_rows + 1`` rows are looked at. A frame that fits is kept as
-    local rows, so the join does not compute it a second time; a larger one
-    joins by shuffle as the planner sees fit.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -11,23 +11,23 @@ from ..schemas import RAW
 CORRUPT_COLUMN = "_bad"
 
 
-def load_raw(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+def load_raw(spark: SparkSession, path: str) -> DataFrame:
     """Read the 38-column CSV export as it came, with declared types.
 
-    Lines that do not fit the schema are kept apart in ``_bad`` rather than
-    lost; pass ``keep_bad`` to see that column. Every column is read as
-    nullable, since a file can break any rule.
+    A line that does not fit the schema is given whole in a last column
+    ``_bad``, which is NULL for the others: a date or number that could not be
+    read is NULL, but never without a trace. Every column is read as nullable,
+    since a file can break any rule.
     """
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in RAW])
     schema = schema.add(CORRUPT_COLUMN, T.StringType(), True)
-    df = (
+    return (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
         .csv(path)
     )
-    return df if keep_bad else df.drop(CORRUPT_COLUMN)
 
 
 def scan(spark: SparkSession, table_or_path: str) -> DataFrame:
@@ -47,17 +47,6 @@ def snapshot(df: DataFrame, path: str, version: int) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
-def store_bucketed(df: DataFrame, table: str, path: str, key: str = "row_id", buckets: int = 200) -> DataFrame:
-    """Save as a table hashed and sorted by ``key``.
-
-    Tables stored with the same key and number of buckets join on the key
-    without a shuffle. Each task writes one bucket, so there is one file per bucket.
-    """
-    writer = df.repartition(buckets, key).write.mode("errorifexists").option("path", path)
-    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
 def publish_master(df: DataFrame, path: str, by: tuple[str, ...] = ("year", "quarter")) -> DataFrame:
     """Write the curated data set partitioned by the slicer columns.
 

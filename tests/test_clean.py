@@ -101,3 +101,9 @@ def test_each_rule_can_fail(spark, rule):
     found = by(clean.validate(flat_rows(spark, {column: bad[column]}, {})), "rule")
     assert found[rule].broken_rows == 1
     assert sum(r.broken_rows for r in found.values()) == 1
+
+
+def test_rows_without_an_id_are_no_duplicates(spark):
+    rows = flat_rows(spark, {"row_id": "A"}, {"row_id": "B_dup"}).select("row_id", "spend")
+    rows = rows.unionByName(rows.limit(1).withColumn("row_id", F.lit(None).cast("string")))
+    assert sorted(str(r.row_id) for r in clean.drop_tagged_dups(rows).collect()) == ["A", "None"]

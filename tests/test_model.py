@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from hand import flat_rows
 from spendlens.operators import master, model
-from spendlens.session import broadcast_if_small
 
 
 @pytest.fixture()
@@ -115,11 +114,3 @@ def test_masters_have_the_published_columns(star):
 def test_combination_is_null_if_a_part_is(spark):
     rows = flat_rows(spark, {"copy_tone": None}, {"has_ugc": None}).select(master.creative_combination().alias("c"))
     assert [r.c for r in rows.collect()] == [None, "Story | Lifestyle | Casual | Video | Non UGC"]
-
-
-def test_only_small_frames_are_broadcast(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-    assert hinted(broadcast_if_small(spark.range(10), 10))
-    assert not hinted(broadcast_if_small(spark.range(11), 10))

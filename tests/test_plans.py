@@ -5,9 +5,8 @@ import re
 import pytest
 
 from spendlens.catalog import QUERIES
-from spendlens.operators import model
-from spendlens.plans import awareness, efficiency
-from spendlens.sources import bound, files
+from spendlens.plans import awareness, decision, efficiency
+from spendlens.sources import bound
 
 from conftest import SF
 
@@ -58,8 +57,21 @@ def test_only_needed_columns_are_read(spark):
     assert any("l_quantity" in r and "l_discount" not in r and "l_linenumber" not in r for r in read)
 
 
-def test_grand_total_reuses_the_aggregate(spark):
-    assert "ReusedExchange" in final(awareness.spend_verdict(bound.facts(spark, SF)))
+def test_grand_total_costs_no_second_pass(spark):
+    for question in (awareness.spend_verdict, decision.category_spend):
+        assert final(question(bound.facts(spark, SF))).count("Scan parquet") == 2  # orders and lineitem
+
+
+def test_masters_read_the_stored_star(spark):
+    for name in ("V1_performance_master", "V2_profitability_master"):
+        assert plan(QUERIES[name](spark, SF)).count("lineitem.parquet") == 0
+
+
+def test_no_query_changes_the_session(spark):
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    for name in ("V1_performance_master", "S4_publish_master", "C4_null_audit", "M8_reconcile", "M4_assign_ids"):
+        QUERIES[name](spark, SF)
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before
 
 
 def test_long_lag_does_not_gather_a_platform(spark):
@@ -71,20 +83,3 @@ def test_long_lag_does_not_gather_a_platform(spark):
 
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["Q4_scroll_stoppers"](spark, SF))
-
-
-def test_dimensions_are_broadcast(spark, no_broadcast):
-    star = model.normalise(bound.flat(spark, SF), with_ids=False)
-    text = plan(star.facts())
-    assert text.count("BroadcastHashJoin") == 2
-
-
-def test_bucketed_children_join_without_a_shuffle(spark, no_broadcast, tmp_path):
-    star = model.normalise(bound.flat(spark, SF), with_ids=False)
-    tables = {
-        name: files.store_bucketed(frame, f"bucketed_{name}", str(tmp_path / name), buckets=4)
-        for name, frame in {"c": star.creative, "p": star.performance, "r": star.revenue}.items()
-    }
-    stored = model.Star(tables["c"], tables["p"], tables["r"], star.products, star.dates)
-    joined = stored.facts("row_id", "platform", "spend", "roas")
-    assert "Exchange" not in plan(joined) and joined.count() == 6000

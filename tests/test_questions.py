@@ -210,13 +210,3 @@ def test_slicers(spark, choice, n):
     rows = facts_rows(spark, {}, {"date": dt.date(2024, 2, 1)}, {"date": dt.date(2023, 1, 1), "platform": "TikTok"})
     assert kpis.slice_by(rows, **choice).count() == n
     assert kpis.kpis(rows, filters=choice).first().campaigns == n
-
-
-def test_kept_traps_serve_two_actions(spark):
-    from spendlens.session import kept
-
-    with kept(attention.attention_traps(facts_rows(spark, {}, {"ad_id": "CR-002"}))) as traps:
-        assert attention.attention_trap_retention(traps).count() == 2
-        assert attention.attention_trap_spend(traps).first().spend_on_traps == D("20.00")
-        assert traps.storageLevel.useMemory and traps.storageLevel.useDisk
-    assert not traps.storageLevel.useMemory
