@@ -47,16 +47,17 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = F.lit(0).cast("long")
     before = F.concat(F.array(start), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
     seen = keyed.filter(F.size("w") > 0).select("r1", "r2", F.inline(F.arrays_zip(before.alias("a"), F.col("w").alias("b"))))
-    seen = seen.select("r1", "r2", "a", "b", F.xxhash64("a", "b").alias("g"))
+    # Only the two words move; either side of the join hashes them to the bigram's key anew.
+    bigram = F.xxhash64("a", "b")
 
-    bigrams = seen.groupBy("g").agg(F.count("*").alias("n2")).filter(F.col("n2") >= min_count)
+    bigrams = seen.groupBy(bigram.alias("g")).agg(F.count("*").alias("n2")).filter(F.col("n2") >= min_count)
     # Every word is the second of one bigram; the start mark is the first of one in each text.
     words = seen.groupBy(F.col("b").alias("u")).agg(F.count("*").alias("n1"))
     marks = seen.filter(F.col("a") == start).groupBy(F.col("a").alias("u")).agg(F.count("*").alias("n1"))
     unigrams = words.unionByName(marks)
     total = docs.select(F.sum(F.size(words_of(F.col(text_col)))).alias("n")).first()["n"] or 0
 
-    looked = seen.join(bigrams, "g", "left")
+    looked = seen.join(bigrams, bigram == F.col("g"), "left")
     # Copies of a lookup within a document are combined before they move on.
     looked = looked.groupBy("r1", "r2", F.when(F.col("n2").isNull(), F.col("b")).otherwise(F.col("a")).alias("u")).agg(
         F.count("*").alias("n"),
