@@ -114,7 +114,7 @@ def _fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, l2: float, steps:
     return _descend(grad, pos.shape[1], steps)
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-2, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights (the last is the intercept, for raw features) and the prior they were fitted with.
 
     Rows end in a one for the intercept; they are standardised in place. The
