@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import slices
 
 #: Characters with the Unicode property White_Space.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pattern whose matches are the words of a text, with its class \s spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 _GAPS = re.compile(f"[{SPACE}]+")

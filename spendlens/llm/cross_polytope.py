@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
