@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from spendlens.llm.common import SPACES, ascii_lower, wide_hash
+from spendlens.llm.common import SPACES, ascii_lower
 
 #: Logarithms are summed as whole millionths, so a sum doesn't depend on its order.
 MICRO = 1_000_000
+#: Characters of a block of documents; a bucket of the count tables serves as many.
+BLOCK_CHARS = 8_000_000
+#: Stands for the start mark; words and bigrams have hashes whose last bit is 0 and 1.
+START = np.uint64(0)
+_WORD, _ONE = np.uint64(2**64 - 2), np.uint64(1)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def words_of(text: Column) -> Column:
@@ -17,11 +27,101 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _micro(x: Column) -> Column:
-    return F.round(F.log(x.cast("double")) * MICRO).cast("long")
+def _micro(x: np.ndarray | float) -> np.ndarray:
+    return np.floor(np.log(x) * MICRO + 0.5).astype(np.int64)
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.4, min_count: int = 2) -> DataFrame:
+def _collapsed(batches):
+    """Equal rows of a batch as one with their number, so that no block is filled by copies of one row."""
+    for batch in batches:
+        seen: dict[tuple, int] = {}
+        first = []
+        for at, row in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())):
+            if row not in seen:
+                first.append(at)
+            seen[row] = seen.get(row, 0) + 1
+        out = batch.take(pa.array(first, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(seen.values(), pa.int64())], names=["id", "text", "block", "copies"])
+
+
+class _Block:
+    """The distinct documents of a block and the n-grams in them."""
+
+    def __init__(self, table: pa.Table):
+        copies: dict[tuple, int] = {}
+        texts = table.column("text").cast(pa.binary()).to_pylist()
+        for row in zip(table.column("id").to_pylist(), texts, table.column("copies").to_pylist()):
+            copies[row[:2]] = copies.get(row[:2], 0) + row[2]
+        self.ids = [i for i, _ in copies]
+        # Lower and split of bytes know ASCII only.
+        words = [np.fromiter(map(xxhash.xxh64_intdigest, (t or b"").lower().split()), np.uint64) & _WORD for _, t in copies]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        n = int(self.lengths.sum())
+        self.after = np.concatenate([*words, np.empty(0, np.uint64)])
+        self.before = np.r_[START, self.after[:-1]][:n]
+        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = START
+        x = (self.before ^ (self.before >> np.uint64(29))) * _MIX[0] + self.after
+        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+        self.grams = (x ^ (x >> np.uint64(31))) | _ONE
+        self.weights = np.repeat(np.array(list(copies.values()), np.int64), self.lengths)
+        starts = self.weights[self.before == START].sum()
+        self.keys, self.at = np.unique(np.r_[START, self.after, self.grams], return_inverse=True)
+        self.counts = np.bincount(self.at, np.r_[starts, self.weights, self.weights]).astype(np.int64)
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """First hash of every bucket but the first."""
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+
+def _counting(buckets: int):
+    def counted(key, table):
+        block = _Block(table)
+        ends = np.r_[0, np.searchsorted(block.keys, _edges(buckets)), len(block.keys)]
+        held = np.flatnonzero(np.diff(ends))
+        return pa.table(
+            {
+                "block": pa.array(np.full(len(held), key[0].as_py(), np.int64)),
+                "bucket": pa.array(held.astype(np.int64)),
+                "keys": pa.array([block.keys[ends[b] : ends[b + 1]].view(np.int64) for b in held], pa.list_(pa.int64())),
+                "counts": pa.array([block.counts[ends[b] : ends[b + 1]] for b in held], pa.list_(pa.int64())),
+            }
+        )
+
+    return counted
+
+
+def _totalled(table: pa.Table) -> pa.Table:
+    keys, counts = table.column("keys").combine_chunks(), table.column("counts").combine_chunks()
+    _, at = np.unique(keys.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    totals = np.bincount(at, counts.flatten().to_numpy()).astype(np.int64)[at]
+    ends = np.r_[0, np.cumsum(keys.value_lengths().to_numpy())]
+    back = pa.array([totals[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.int64()))
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": back})
+
+
+def _scoring(kind: pa.DataType, total: int, backoff: float, min_count: int):
+    def scored(docs, answers):
+        block = _Block(docs)
+        rows = answers.sort_by("bucket").column("totals").combine_chunks()
+        totals, n = rows.flatten().to_numpy(), len(block.after)
+        log = _micro(np.maximum(totals, 1))
+        word, gram = block.at[1 : n + 1], block.at[n + 1 :]
+        context = np.searchsorted(block.keys, block.before)
+        missing = log[word] + _micro(backoff) - _micro(max(total, 1))
+        value = np.r_[0, np.cumsum(np.where(totals[gram] >= min_count, log[gram] - log[context], missing))]
+        ends = np.r_[0, np.cumsum(block.lengths)]
+        return pa.table(
+            {"id": pa.array(block.ids, kind), "n_words": pa.array(block.lengths), "log_micro": pa.array(value[ends[1:]] - value[ends[:-1]])}
+        )
+
+    return scored
+
+
+def backoff_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.4, min_count: int = 2, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """(doc_id, n_words, log_micro, score) for each distinct (id, text) of ``docs``.
 
     A bigram model of all documents, with a start mark before each. A word's
@@ -32,53 +132,27 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     NULL and empty texts have no words. Repeated rows count in the corpus each,
     and are returned once.
 
-    The counts are tables keyed by hash: bigrams are counted with a partial sum
-    before their shuffle and joined back to the occurrences, which adaptive
-    execution splits where one bigram is hot. What is found asks the unigram
-    table for the word before, what is not for the word itself, so each
-    occurrence is looked up once in either table. Words are 64-bit hashes and
-    bigrams the hash of two such.
+    Documents are dealt by hash into blocks of about ``block_chars`` characters.
+    A block explodes them and counts its n-grams, once each, so a hot one moves
+    once a block. The count tables are parted by hash into buckets, as many as
+    blocks, that add the blocks' counts up. Joined back to the blocks, the
+    totals stand in the order of a block's hashes and need no key. Blocks and
+    buckets hold a bounded number of n-grams, save where one document has more.
+    Words and bigrams stand as 63-bit hashes.
     """
-    keyed = docs.select(
-        F.col(id_col).alias("id"),
-        *(h.alias(n) for h, n in zip(wide_hash(F.col(id_col), F.col(text_col)), ("r1", "r2"))),
-        F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w"),
-    )
-    start = F.lit(0).cast("long")
-    before = F.concat(F.array(start), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
-    seen = keyed.filter(F.size("w") > 0).select("r1", "r2", F.inline(F.arrays_zip(before.alias("a"), F.col("w").alias("b"))))
-    # Only the two words move; either side of the join hashes them to the bigram's key anew.
-    bigram = F.xxhash64("a", "b")
-
-    bigrams = seen.groupBy(bigram.alias("g")).agg(F.count("*").alias("n2")).filter(F.col("n2") >= min_count)
-    # Every word is the second of one bigram; the start mark is the first of one in each text.
-    words = seen.groupBy(F.col("b").alias("u")).agg(F.count("*").alias("n1"))
-    marks = seen.filter(F.col("a") == start).groupBy(F.col("a").alias("u")).agg(F.count("*").alias("n1"))
-    unigrams = words.unionByName(marks)
-    total = docs.select(F.sum(F.size(words_of(F.col(text_col)))).alias("n")).first()["n"] or 0
-
-    looked = seen.join(bigrams, bigram == F.col("g"), "left")
-    # Copies of a lookup within a document are combined before they move on.
-    looked = looked.groupBy("r1", "r2", F.when(F.col("n2").isNull(), F.col("b")).otherwise(F.col("a")).alias("u")).agg(
-        F.count("*").alias("n"),
-        F.count("n2").alias("n_found"),
-        F.sum(_micro(F.col("n2"))).alias("found"),
-        F.count(F.when(F.col("a") == start, True)).alias("copies"),
-    )
-    priced = looked.join(unigrams, "u")
-    missing = F.col("n") - F.col("n_found")
-    value = (
-        F.coalesce("found", F.lit(0))
-        - F.col("n_found") * _micro(F.col("n1"))
-        + missing * (_micro(F.col("n1")) + _micro(F.lit(backoff)) - _micro(F.lit(max(total, 1))))
-    )
-    sums = priced.groupBy("r1", "r2").agg(F.sum(value).alias("value"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    sums = sums.select("r1", "r2", F.expr("value div copies").alias("value"), F.expr("n div copies").alias("n"))
-    ids = keyed.select("id", "r1", "r2").distinct()
-    out = ids.join(sums, ["r1", "r2"], "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n", F.lit(0)).alias("n_words"),
-        F.coalesce("value", F.lit(0)).alias("log_micro"),
-        (F.col("value") / F.col("n") / MICRO).alias("score"),
+    size = docs.select(F.sum(F.length(text_col)).alias("chars"), F.sum(F.size(words_of(F.col(text_col)))).alias("words")).first()
+    total, blocks = size["words"] or 0, 1 + (size["chars"] or 0) // block_chars
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    dealt = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(blocks)))
+    kind = docs.schema[id_col].dataType
+    placed = dealt.mapInArrow(_collapsed, f"id {kind.simpleString()}, text string, block long, copies long")
+
+    tables = placed.groupBy("block").applyInArrow(_counting(blocks), "block long, bucket long, keys array<long>, counts array<long>")
+    totals = tables.groupBy("bucket").applyInArrow(_totalled, "block long, bucket long, totals array<long>")
+    scores = (
+        placed.groupBy("block")
+        .cogroup(totals.groupBy("block"))
+        .applyInArrow(_scoring(to_arrow_type(kind), total, backoff, min_count), f"id {kind.simpleString()}, n_words long, log_micro long")
     )
+    score = F.when(F.col("n_words") > 0, F.col("log_micro") / F.col("n_words") / MICRO)
+    return scores.select(F.col("id").alias(id_col), "n_words", "log_micro", score.alias("score"))
