@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,16 +33,20 @@ def _micro(x: np.ndarray | float) -> np.ndarray:
 
 
 def _collapsed(batches):
-    """Equal rows of a batch as one with their number, so that no block is filled by copies of one row."""
+    """Equal rows of a batch as one with their number, so that no block is filled by copies of one row; texts packed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         seen: dict[tuple, int] = {}
         first = []
-        for at, row in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())):
+        for at, row in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())):
             if row not in seen:
                 first.append(at)
             seen[row] = seen.get(row, 0) + 1
-        out = batch.take(pa.array(first, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(seen.values(), pa.int64())], names=["id", "text", "block", "copies"])
+        out = batch.select(["id", "block"]).take(pa.array(first, pa.int64()))
+        packed = [t if t is None else pack(t) for _, t in seen]
+        yield pa.RecordBatch.from_arrays(
+            [*out.columns, pa.array(packed, pa.binary()), pa.array(seen.values(), pa.int64())], names=["id", "block", "packed", "copies"]
+        )
 
 
 class _Block:
@@ -49,12 +54,13 @@ class _Block:
 
     def __init__(self, table: pa.Table):
         copies: dict[tuple, int] = {}
-        texts = table.column("text").cast(pa.binary()).to_pylist()
-        for row in zip(table.column("id").to_pylist(), texts, table.column("copies").to_pylist()):
+        for row in zip(*(table.column(c).to_pylist() for c in ("id", "packed", "copies"))):
             copies[row[:2]] = copies.get(row[:2], 0) + row[2]
         self.ids = [i for i, _ in copies]
         # Lower and split of bytes know ASCII only.
-        words = [np.fromiter(map(xxhash.xxh64_intdigest, (t or b"").lower().split()), np.uint64) & _WORD for _, t in copies]
+        unpack = zstandard.ZstdDecompressor().decompress
+        parted = ((unpack(t) if t else b"").lower().split() for _, t in copies)
+        words = [np.fromiter(map(xxhash.xxh64_intdigest, p), np.uint64) & _WORD for p in parted]
         self.lengths = np.array([len(w) for w in words], np.int64)
         n = int(self.lengths.sum())
         self.after = np.concatenate([*words, np.empty(0, np.uint64)])
@@ -145,7 +151,7 @@ def backoff_scores(
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dealt = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(blocks)))
     kind = docs.schema[id_col].dataType
-    placed = dealt.mapInArrow(_collapsed, f"id {kind.simpleString()}, text string, block long, copies long")
+    placed = dealt.mapInArrow(_collapsed, f"id {kind.simpleString()}, block long, packed binary, copies long")
 
     tables = placed.groupBy("block").applyInArrow(_counting(blocks), "block long, bucket long, keys array<long>, counts array<long>")
     totals = tables.groupBy("bucket").applyInArrow(_totalled, "block long, bucket long, totals array<long>")

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +148,29 @@ def test_backoff_by_hand(frame):
     assert lm.backoff_scores(frame([])).count() == 0
 
 
+def test_backoff_scores_do_not_depend_on_blocks(frame, sentence):
+    pick = random.Random(5)
+    rows = [(i, sentence(pick.randrange(1, 40))) for i in range(120)] + [(i, "the very same") for i in range(200, 260)]
+    rows += [(300, "twice the same")] * 40 + [(301, ""), (None, None), (302, "\u00a0Ä\x1cb\x85c D d")]
+    texts = [t.encode().lower().split() for _, t in rows if t]
+    words, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t], t))
+    before = Counter({None: sum(map(bool, texts)), **words})
+    micro = lambda x: math.floor(math.log(x) * 1_000_000 + 0.5)
+
+    def value(a, b):
+        if pairs[a, b] >= 2:
+            return micro(pairs[a, b]) - micro(before[a])
+        return micro(0.4) + micro(words[b]) - micro(sum(words.values()))
+
+    want = {}
+    for i, t in rows:
+        t = (t or "").encode().lower().split()
+        want[i] = (len(t), sum(map(value, [None, *t], t)))
+    for block_chars in (200, 10**6):
+        got = lm.backoff_scores(frame(rows), block_chars=block_chars).collect()
+        assert len(got) == len(want) and {r.doc_id: (r.n_words, r.log_micro) for r in got} == want
+
+
 def junk(text, pick):
     return pick.choice([text.upper().replace(" ", "!! "), text.replace(" ", " | "), " ".join(w + "%%%" for w in text.split())])
 
