@@ -56,6 +56,7 @@ def _scale_cells(where: str = "true", roas: str = "avg(roas)") -> str:
 def _ugc() -> str:
     sides = {"without": "has_ugc = 0", "with": "has_ugc = 1"}
     parts = [f"count(*) FILTER (WHERE {c}) AS campaigns_{side}_ugc" for side, c in sides.items()]
+    parts.append("count(*) FILTER (WHERE coalesce(has_ugc, -1) NOT IN (0, 1)) AS campaigns_of_unknown_ugc")
     outer = []
     for name, column in {"hook": "hook_rate", "completion": "completion_rate", "roas": "roas"}.items():
         for side, c in sides.items():

@@ -60,13 +60,14 @@ def change_along_chunks(
     Same result as one window over ``within``, for groups too long for one task:
     rows are lagged inside each chunk, and the first row of a chunk takes the
     last value of the chunk before it. Only one row per chunk goes through the
-    window over the whole group.
+    window over the whole group. The last rows of the chunks keep all columns, so
+    that both sides read one shuffle of the same aggregate.
     """
     inside = Window.partitionBy(*within, *chunk).orderBy(last)
     lagged = df.withColumns({"_inside": F.lag(value).over(inside), "_place": F.row_number().over(inside)})
-    ends = df.groupBy(*within, *chunk).agg(F.max_by(value, last).alias("_end"))
+    ends = df.groupBy(*within, *chunk).agg(F.max_by(F.struct(*df.columns), last).alias("_end"))
     across = Window.partitionBy(*within).orderBy(*chunk)
-    ends = ends.withColumn("_before", F.lag("_end").over(across)).drop("_end")
+    ends = ends.withColumn("_before", F.lag(F.col("_end").getField(value)).over(across)).drop("_end")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*within, *chunk)]
     joined = lagged.alias("l").join(ends.alias("e"), same, "left")
     previous = F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_inside"))

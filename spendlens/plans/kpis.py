@@ -104,16 +104,21 @@ def attention_funnel(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ugc_effect(df: DataFrame, by: Sequence[str] = ("platform", "ad_format")) -> DataFrame:
-    """K6. User-made against other creatives side by side, with the difference."""
+    """K6. User-made against other creatives side by side, with the difference.
+
+    Campaigns whose ``has_ugc`` is neither 0 nor 1 are counted in ``campaigns_of_unknown_ugc``.
+    """
     figures = {"hook": ("hook_rate", 4), "completion": ("completion_rate", 4), "roas": ("roas", 4)}
-    sides = df.groupBy(*by).pivot("has_ugc", [0, 1]).agg(
+    listed = F.when(F.col("has_ugc").isin(0, 1), F.col("has_ugc")).otherwise(-1)
+    sides = df.withColumn("_listed", listed).groupBy(*by).pivot("_listed", [0, 1, -1]).agg(
         F.count(F.lit(1)).alias("campaigns"), *[mean_to(c, digits).alias(name) for name, (c, digits) in figures.items()]
     )
     out: list[Column] = [F.col(c) for c in by]
-    for name in ("campaigns", *figures):
+    for side, named in (("0", "without_ugc"), ("1", "with_ugc"), ("-1", "of_unknown_ugc")):
+        out.append(F.coalesce(f"{side}_campaigns", F.lit(0)).alias(f"campaigns_{named}"))
+    for name in figures:
         out += [F.col(f"0_{name}").alias(f"{name}_without_ugc"), F.col(f"1_{name}").alias(f"{name}_with_ugc")]
-        if name != "campaigns":
-            out.append((F.col(f"1_{name}") - F.col(f"0_{name}")).alias(f"{name}_difference"))
+        out.append((F.col(f"1_{name}") - F.col(f"0_{name}")).alias(f"{name}_difference"))
     return sides.select(*out)
 
 

@@ -62,6 +62,12 @@ def test_grand_total_costs_no_second_pass(spark):
         assert final(question(bound.facts(spark, SF))).count("Scan parquet") == 2  # orders and lineitem
 
 
+def test_fatigue_bands_aggregate_once(spark, no_broadcast):
+    text = final(efficiency.fatigue_bands(bound.facts(spark, SF)))
+    assert text.count("Scan parquet") == 2 and "ReusedExchange" in text
+    assert text.count("SortMergeJoin") == 2  # the base join, and the ends of the chunks
+
+
 def test_masters_read_the_stored_star(spark):
     for name in ("V1_performance_master", "V2_profitability_master"):
         assert plan(QUERIES[name](spark, SF)).count("lineitem.parquet") == 0

@@ -39,6 +39,21 @@ def test_null_sort_keys_come_first_descending_and_last_ascending(spark):
     assert column(attention.scroll_stoppers(rows, min_ads=1, k=1), "hook_type") == ["Shock"]
 
 
+def test_audience_quality_puts_null_first_before_its_limit(spark):
+    rows = facts_rows(spark, {"ctr": "0.9000"}, {"hook_type": "Shock", "ctr": None}, {"hook_type": "Question", "ctr": "0.0100"})
+    assert column(interest.audience_quality(rows, min_ads=1), "hook_type") == ["Shock", "Story", "Question"]
+    assert column(interest.audience_quality(rows, min_ads=1, k=1), "avg_ctr") == [None]
+
+
+def test_ugc_effect_counts_rows_on_neither_side(spark):
+    rows = facts_rows(spark, {}, {"has_ugc": None}, {"has_ugc": 7}, {"has_ugc": 0, "roas": "2.0000"}, {"platform": "Google"})
+    sides = {r.platform: r for r in kpis.ugc_effect(rows).collect()}
+    meta, google = sides["Meta"], sides["Google"]
+    assert (meta.campaigns_with_ugc, meta.campaigns_without_ugc, meta.campaigns_of_unknown_ugc) == (1, 1, 2)
+    assert meta.roas_difference == D("5.0000")
+    assert (google.campaigns_without_ugc, google.campaigns_of_unknown_ugc, google.roas_difference) == (0, 0, None)
+
+
 def test_having_counts_ads(spark):
     rows = facts_rows(spark, {}, {}, {"copy_tone": "Urgent"})
     assert column(attention.scroll_stoppers(rows, min_ads=2), "copy_tone") == ["Casual"]
