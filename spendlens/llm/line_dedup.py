@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import SPACES, ascii_lower, wide_hash
 
+#: Tasks that the rows of one line are dealt to when they meet what is known of the line.
+SALTS = 8
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -38,7 +41,9 @@ def drop_shared_lines(
 
     Only hashes and positions move; whole texts move once, for the join that
     brings each document its dropped positions. A hot line is combined before
-    its shuffle, and adaptive execution splits it in the join.
+    its shuffle. In the join each line's rows are dealt to ``SALTS`` tasks by
+    their document's hash; as both sides are shuffled for it, adaptive execution
+    can split those further.
     """
     ident = F.col(f"__row.`{id_col}`")
     text = F.col(f"__row.`{text_col}`")
@@ -50,10 +55,11 @@ def drop_shared_lines(
         .groupBy("h1", "h2")
         .agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     dropped = (
-        found.join(shared, ["h1", "h2"])
+        found.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int"))
+        .join(shared, ["h1", "h2", "salt"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("r1", "r2")
         .agg(F.collect_set("pos").alias("gone"))
