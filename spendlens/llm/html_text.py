@@ -52,12 +52,21 @@ _ASIDE_NAMES = set(
     "disqus reply replies respond toolbar pagination pager skip copyright disclaimer".split()
 )
 _COMMENT_NAMES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: Aside tags and roles that may also frame a whole page.
+_FRAME_TAGS, _FRAME_ROLES = {"form", "header"}, {"form", "banner"}
+#: First and last words of names that tell what a frame holds, not what it is: has-sidebar, comments-open.
+_STATE_FIRST, _STATE_LAST = {"no", "not", "has", "have", "with", "without"}, {"open", "closed", "enabled", "disabled", "on", "off"}
+#: Shares of the text outside links from which a name, and one of comments, isn't that of an aside.
+_LARGE, _LARGE_COMMENTS = 0.4, 0.75
 
 
 class Node:
     """An element: its children in page order, and the figures of its subtree."""
 
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "main")
+    __slots__ = (
+        "tag", "attrs", "parent", "items", "kind", "names", "free", "holds", "article",
+        "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "main",
+    )
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
@@ -141,33 +150,108 @@ def parse(page: str) -> Node:
     return root
 
 
-def _is_aside(node: Node, in_body: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comments."""
+def _mark(node: Node) -> None:
+    """What tag, role, style, class and id say of an element: ``kind`` and the aside words of its names."""
     attrs = {}
     if node.attrs.strip():
         for name, *values in _ATTR.findall(node.attrs):
             attrs.setdefault(name.lower(), "".join(values).lower())
+    node.names = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = _NAME.findall(name)
+        if words and words[0] not in _STATE_FIRST and words[-1] not in _STATE_LAST:
+            node.names.update(_ASIDE_NAMES.intersection(words))
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    names = {*_NAME.findall(attrs.get("class", "")), *_NAME.findall(attrs.get("id", ""))}
-    if node.tag in _BODIES or node.tag == "body":
-        return node.tag != "body" and bool(names & _COMMENT_NAMES)
-    if node.tag in _HEADINGS or node.tag == "header" and in_body and not names & _ASIDE_NAMES:
-        return False
-    if not (node.tag in _ASIDE_TAGS or attrs.get("role") in _ASIDE_ROLES or names & _ASIDE_NAMES and node.tag not in ("p", "b", "i", "em", "strong")):
-        return False
-    # A frame around the whole article is not an aside, whatever it is called.
-    return in_body or not any(x.tag in _BODIES or x.tag == "h1" and node.tag != "header" for x in node.walk())
+        node.kind = "hidden"
+    elif node.tag in _BODIES or node.tag == "body":
+        node.kind = "body"
+        node.names = node.names & _COMMENT_NAMES if node.tag == "article" else set()
+    elif node.tag in _HEADINGS:
+        node.kind, node.names = "", set()
+    elif node.tag in _FRAME_TAGS or attrs.get("role") in _FRAME_ROLES:
+        node.kind = "frame"
+    elif node.tag in _ASIDE_TAGS or attrs.get("role") in _ASIDE_ROLES:
+        node.kind = "aside"
+    else:
+        node.kind = ""
+        if node.tag in ("p", "b", "i", "em", "strong"):
+            node.names = set()
+
+
+def _weigh(order: list[Node]) -> None:
+    """Characters of every element, those of them outside links and asides (``free``), and what it holds.
+
+    ``holds`` is a set of "main", "h1" and "title", a h1 that isn't a link;
+    ``article`` has the free characters of the largest article, comments left out.
+    """
+    for node in reversed(order):
+        own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        below = [x for x in node.children() if x.kind != "hidden"]
+        node.chars = own + sum(x.chars for x in below)
+        node.free = 0 if node.tag == "a" else own + sum(x.free for x in below if x.kind != "aside" or x.holds or x.article)
+        node.holds = set().union(*(x.holds for x in below))
+        node.article = max([0, *(x.article for x in below), *(x.free for x in below if x.tag == "article" and not x.names)])
+        for x in below:
+            if x.tag in ("main", "h1") and x.chars:
+                node.holds.add(x.tag)
+                if x.tag == "h1" and x.free:
+                    node.holds.add("title")
 
 
 def prune(root: Node) -> None:
-    """Drop asides, in place."""
-    stack = [(root, False)]
+    """Drop asides, in place.
+
+    Tags, roles and names only weigh against an element. None is dropped that
+    holds a main, a h1 or an article of half the largest one's text, but for
+    a h1 that a menu, sidebar or footer inside an article or main has, or that
+    links from a page's header. A name says nothing where the elements that bear it hold
+    a large share of the text outside links of their article, main or page (of a page
+    only where articles and mains hold less than a quarter); no more does the
+    tag of a form or header that holds such a share itself.
+    """
+    order = list(root.walk())
+    for node in order:
+        _mark(node)
+    _weigh(order)
+    shares: dict[tuple[int, str], int] = {}
+    told = 0
+    stack = [(root, root, frozenset())]
     while stack:
-        node, in_body = stack.pop()
-        in_body = in_body or node.tag in _BODIES
-        node.items = [x for x in node.items if isinstance(x, str) or not _is_aside(x, in_body)]
-        stack.extend((x, in_body) for x in node.children())
+        node, scope, seen = stack.pop()
+        for word in node.names - seen:
+            shares[id(scope), word] = shares.get((id(scope), word), 0) + node.free
+        inner = node if node.tag in _BODIES and not node.names else scope
+        told += node.free if scope is root and inner is not root else 0
+        seen = frozenset() if inner is not scope else seen | node.names
+        stack.extend((x, inner, seen) for x in node.children() if x.kind != "hidden")
+
+    # Beside an article or main that tells the page's text, the rest has to pass for what it is called.
+    shared = 4 * told < root.free
+
+    def is_aside(node: Node, scope: Node) -> bool:
+        if node.kind == "hidden":
+            return True
+        weighed = scope is not root or shared
+        alone = node.tag == "article" and not root.article
+        large = lambda w: scope.free * (_LARGE_COMMENTS if w in _COMMENT_NAMES and not alone else _LARGE)
+        names = {w for w in node.names if not weighed or shares[id(scope), w] < max(1, large(w))}
+        if node.tag == "header" and scope is not root:
+            tagged = False
+        else:
+            tagged = node.kind == "aside" or node.kind == "frame" and not (weighed and node.free >= max(1, scope.free * _LARGE))
+        if not (tagged or names) or "main" in node.holds or node.article and 2 * node.article >= root.article:
+            return False
+        if node.kind == "aside" and scope is not root:
+            return True
+        return not ("title" if node.tag == "header" and scope is root else "h1") in node.holds
+
+    todo = [(root, root)]
+    while todo:
+        node, scope = todo.pop()
+        if node.tag in _BODIES and not node.names:
+            scope = node
+        node.items = [x for x in node.items if isinstance(x, str) or not is_aside(x, scope)]
+        todo.extend((x, scope) for x in node.children())
 
 
 def measure(body: Node) -> None:

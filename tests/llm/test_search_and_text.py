@@ -120,6 +120,44 @@ def test_main_text(frame_tag):
     assert html_text.main_text(PAGE % f"<{frame_tag}>{BODY}</{frame_tag.split()[0]}>") == WANT
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        '<main><div class="elementor-widget-container"><article>%s</article></div></main>',
+        '<main><div class="with-sidebar">%s</div></main>',
+        '<main><div class="promo-wrap"><div class="widget">%s</div></div></main>',
+        '<div class="content has-sidebar">%s</div>',
+        '<div id="search-page"><div class="related">%s</div></div>',
+        '<form id="aspnetForm">%s</form>',
+        '<article class="no-comments">%s</article>',
+        '<main><article class="post comments-open">%s</article></main>',
+        '<main id="comments">%s</main>',
+    ],
+)
+@pytest.mark.parametrize("heading", ["h1", "h2"])
+def test_frames_of_the_text_are_no_asides(wrapped, heading):
+    assert html_text.main_text(PAGE % (wrapped % BODY.replace("h1>", f"{heading}>"))) == WANT
+
+
+def test_text_in_many_widgets():
+    parts = [f"<p>Paragraph {i} is as long as a paragraph of some text tends to be.</p>" for i in range(8)]
+    page = PAGE % f'<main>{"".join(f"""<div class="widget">{p}</div>""" for p in parts)}<div class="related">See also</div></main>'
+    assert html_text.main_text(page) == "\n\n".join(p[3:-4] for p in parts)
+
+
+def test_a_long_advert_beside_a_short_article():
+    page = '<body><div class="ad">Buy this now, it is the best of all.</div><article><h1>Title</h1><p>A short text.</p></article></body>'
+    assert html_text.main_text(page) == "Title\n\nA short text."
+
+
+def test_asides_that_hold_articles_or_headings():
+    teasers = '<div class="related-posts"><h2>More</h2><article class="teaser">Another one</article></div>'
+    comments = '<div id="comments"><article class="comment-body"><p>A reader comment</p></article></div>'
+    menu = '<aside><h1>Elsewhere</h1><p>Not this</p></aside>'
+    assert html_text.main_text(PAGE % f"<main><article>{BODY}</article>{teasers}{comments}{menu}</main>") == WANT
+    assert html_text.main_text(PAGE.replace("Site name</a>", "Site</a><h1><a>Site name</a></h1>") % f"<main>{BODY}</main>") == WANT
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     pages = [None, "", "plain text", "<p>a<p>b", "<p", "<!-- open", "<script>x", deep, "</p></div>text", "<p title='a>b\">x</p>", "<nav>only menu</nav>"]
