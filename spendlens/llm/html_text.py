@@ -52,6 +52,8 @@ _ASIDE_NAMES = set(
     "disqus reply replies respond toolbar pagination pager skip copyright disclaimer".split()
 )
 _COMMENT_NAMES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: Inside an article or main, names of layout; with a heading they are parts of the text, or boxes of links.
+_TITLE_NAMES, _BOX_NAMES = {"header", "masthead", "banner", "overlay"}, {"widget", "widgets"}
 #: Aside tags and roles that may also frame a whole page.
 _FRAME_TAGS, _FRAME_ROLES = {"form", "header"}, {"form", "banner"}
 #: First and last words of names that tell what a frame holds, not what it is: has-sidebar, comments-open.
@@ -181,17 +183,19 @@ def _mark(node: Node) -> None:
 def _weigh(order: list[Node]) -> None:
     """Characters of every element, those of them outside links and asides (``free``), and what it holds.
 
-    ``holds`` is a set of "main", "h1" and "title", a h1 that isn't a link;
+    ``holds`` is a set of "main", "h1", "title", a h1 that isn't a link, and "heading";
     ``article`` has the free characters of the largest article, comments left out.
     """
     for node in reversed(order):
         own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         below = [x for x in node.children() if x.kind != "hidden"]
         node.chars = own + sum(x.chars for x in below)
-        node.free = 0 if node.tag == "a" else own + sum(x.free for x in below if x.kind != "aside" or x.holds or x.article)
+        node.free = 0 if node.tag == "a" else own + sum(x.free for x in below if x.kind != "aside" or x.holds - {"heading"} or x.article)
         node.holds = set().union(*(x.holds for x in below))
         node.article = max([0, *(x.article for x in below), *(x.free for x in below if x.tag == "article" and not x.names)])
         for x in below:
+            if x.tag in _HEADINGS and x.chars:
+                node.holds.add("heading")
             if x.tag in ("main", "h1") and x.chars:
                 node.holds.add(x.tag)
                 if x.tag == "h1" and x.free:
@@ -207,7 +211,9 @@ def prune(root: Node) -> None:
     links from a page's header. A name says nothing where the elements that bear it hold
     a large share of the text outside links of their article, main or page (of a page
     only where articles and mains hold less than a quarter); no more does the
-    tag of a form or header that holds such a share itself.
+    tag of a form or header that holds such a share itself. Inside an article or
+    main, 'header' and the like say nothing of an element with a heading, and
+    'widget' only of one that is mostly links.
     """
     order = list(root.walk())
     for node in order:
@@ -235,6 +241,11 @@ def prune(root: Node) -> None:
         alone = node.tag == "article" and not root.article
         large = lambda w: scope.free * (_LARGE_COMMENTS if w in _COMMENT_NAMES and not alone else _LARGE)
         names = {w for w in node.names if not weighed or shares[id(scope), w] < max(1, large(w))}
+        if scope is not root:
+            if node.tag == "header" or "heading" in node.holds:
+                names -= _TITLE_NAMES
+            if 2 * node.free > node.chars:
+                names -= _BOX_NAMES
         if node.tag == "header" and scope is not root:
             tagged = False
         else:

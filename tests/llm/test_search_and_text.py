@@ -139,6 +139,22 @@ def test_frames_of_the_text_are_no_asides(wrapped, heading):
     assert html_text.main_text(PAGE % (wrapped % BODY.replace("h1>", f"{heading}>"))) == WANT
 
 
+@pytest.mark.parametrize("frame_tag", ["article", "main"])
+@pytest.mark.parametrize("heading", ["h1", "h2"])
+@pytest.mark.parametrize(
+    "header", ['header class="entry-header"', 'header id="post-header"', 'div class="article-header"', "header", 'div class="hero-banner"']
+)
+def test_headers_of_an_article(frame_tag, heading, header):
+    top = f'<{header}><{heading}>Title</{heading}><p>What it is about</p><a href="/by">By A. Writer</a></{header.split()[0]}>'
+    got = html_text.main_text(PAGE % f"<{frame_tag}>{top}{BODY}</{frame_tag}>")
+    assert got == f"Title\n\nWhat it is about\n\nBy A. Writer\n\n{WANT}"
+
+
+def test_boxes_inside_an_article():
+    links = '<div class="widget"><h3>More</h3><a href="/a">Another article to read</a></div>'
+    assert html_text.main_text(PAGE % f'<article>{BODY}{links}<div class="widget"><p>A box of text</p></div></article>') == f"{WANT}\n\nA box of text"
+
+
 def test_text_in_many_widgets():
     parts = [f"<p>Paragraph {i} is as long as a paragraph of some text tends to be.</p>" for i in range(8)]
     page = PAGE % f'<main>{"".join(f"""<div class="widget">{p}</div>""" for p in parts)}<div class="related">See also</div></main>'
