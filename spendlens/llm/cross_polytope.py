@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import stored
@@ -12,6 +13,8 @@ from spendlens.llm.vectors import collapse, ranked, usable
 
 #: Vectors, and queries, that one task compares at most.
 BASE_ROWS, QUERY_ROWS = 16_384, 4_096
+#: A vector size with no more vectors than this is searched whole: in so few, the tables miss some of the nearest.
+FEW = 256
 
 
 def rotations(dim: int, tables: int, seed: int) -> np.ndarray:
@@ -83,7 +86,7 @@ def _as_bytes(batches):
 
 
 def _nearest(k: int, rows_at_once: int = 256):
-    """The k + 1 nearest of each query in one part of a bucket; ties to the smaller vid."""
+    """The k + 1 nearest of each query in one part of a bucket or size; ties to the smaller vid."""
 
     def searched(key: tuple[pa.Scalar, ...], queries: pa.Table, base: pa.Table) -> pa.Table:
         schema = pa.schema([("qvid", pa.int64()), ("cvid", pa.int64()), ("score", pa.float64())])
@@ -111,6 +114,31 @@ def _nearest(k: int, rows_at_once: int = 256):
     return searched
 
 
+def _completed(near: DataFrame, distinct: DataFrame, known: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``near``, with the exact answers of queries that met too few vectors, or whose size has few.
+
+    These are compared with all vectors of their size, in parts of bounded size on both sides.
+    """
+    vectors = distinct.select("vid", F.size("v").alias("dim"), "v")
+    asked = vectors.join(known.select(F.col("qvid").alias("vid")).distinct(), "vid")
+    met = near.join(distinct.select(F.col("vid").alias("cvid"), F.size("ids").alias("n")), "cvid").groupBy("qvid").agg(F.sum("n").alias("met"))
+    lacking = asked.join(met.withColumnRenamed("qvid", "vid"), "vid", "left").join(F.broadcast(sizes), "dim")
+    lacking = lacking.filter((F.col("vectors") <= FEW) | (F.coalesce("met", F.lit(0)) < F.least(F.lit(k + 1), "ids")))
+    lacking = stored(lacking.select("vid", "dim", "v", F.ceil(F.col("vectors") / BASE_ROWS).alias("base_parts")), "lacking")
+    # One row a vector size.
+    parts = F.broadcast(lacking.groupBy("dim", "base_parts").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("query_parts")))
+
+    as_bytes = lambda df: df.select("vid", "v").mapInArrow(_as_bytes, "vid long, dim int, x binary")
+    base = as_bytes(vectors.join(parts, "dim", "left_semi")).join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("vid"), "base_parts"))
+    base = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)))
+    queries = as_bytes(lacking).join(parts, "dim").withColumn("block", F.pmod(F.xxhash64("vid"), "query_parts"))
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("base_parts") - 1)))
+    task = ["dim", "part", "block"]
+    pairs = queries.select(*task, "vid", "x").groupBy(task).cogroup(base.select(*task, "vid", "x").groupBy(task))
+    exact = pairs.applyInArrow(_nearest(k), "qvid long, cvid long, score double")
+    return near.join(lacking.select(F.col("vid").alias("qvid")), "qvid", "left_anti").unionByName(exact)
+
+
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, probes: int = 24, seed: int = 7, vector_col: str = "embedding", id_col: str = "vec_id"
 ) -> DataFrame:
@@ -119,7 +147,9 @@ def nearest(
     Unit vectors are rotated at random ``tables`` times and hashed to their
     nearest signed axis; a query probes the ``probes`` nearest axes of each table.
     What it meets there is ranked by the exact Euclidean distance between the
-    original vectors, ties to the smaller id. Its own id is no answer.
+    original vectors, ties to the smaller id. Its own id is no answer. A query that
+    meets too few there is compared with all vectors of its size, and so is every
+    query of a size with at most ``FEW`` vectors; no list is short while there are candidates.
 
     Rows with a NULL id take no part, nor do NULL, empty or zero vectors and such
     as hold NULL or non-finite components. Repeated rows count once. Vectors of
@@ -136,10 +166,15 @@ def nearest(
     asked = ok(queries).withColumn("v", F.col("v").cast("array<double>")).distinct()
     known = stored(asked.join(distinct.select("vid", "v"), "v").select("id", F.col("vid").alias("qvid")), "asked")
 
+    # One row a vector size, so it may be sent to every executor.
+    sizes = distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("vectors"), F.sum(F.size("ids")).alias("ids"))
+    sizes = stored(sizes, "sizes")
+    large = distinct.join(F.broadcast(sizes.filter(F.col("vectors") > FEW).select("dim")), F.size("v") == F.col("dim"), "left_semi")
+
     as_bytes = lambda df: df.select("vid", "v").mapInArrow(_as_bytes, "vid long, dim int, x binary")
     schema = "vid long, dim int, tab int, axis int, x binary"
-    base = as_bytes(distinct).mapInArrow(_hasher(tables, 1, seed), schema)
-    probing = as_bytes(distinct.join(known.select(F.col("qvid").alias("vid")).distinct(), "vid")).mapInArrow(_hasher(tables, probes, seed), schema)
+    base = as_bytes(large).mapInArrow(_hasher(tables, 1, seed), schema)
+    probing = as_bytes(large.join(known.select(F.col("qvid").alias("vid")).distinct(), "vid")).mapInArrow(_hasher(tables, probes, seed), schema)
     # One row per table and axis, so its size doesn't grow with the rows.
     bucket = ["dim", "tab", "axis"]
     parts = base.groupBy(bucket).agg(F.ceil(F.count("*") / BASE_ROWS).alias("base_parts"))
@@ -152,4 +187,6 @@ def nearest(
     task = [*bucket, "part", "block"]
     pairs = probing.select(*task, "vid", "x").groupBy(task).cogroup(base.select(*task, "vid", "x").groupBy(task))
     found = pairs.applyInArrow(_nearest(k), "qvid long, cvid long, score double")
-    return ranked(found, distinct, known, k, F.col("score"))
+    order = W.partitionBy("qvid").orderBy("score", "cvid")
+    near = found.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth")
+    return ranked(_completed(stored(near, "near"), distinct, known, sizes, k), distinct, known, k, F.col("score"))

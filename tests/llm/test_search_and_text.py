@@ -81,6 +81,24 @@ def test_nearest_with_all_axes_is_exact(vectors, monkeypatch):
     assert cross_polytope.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [cross_polytope.FEW, 0])
+def test_no_list_is_short(spark, monkeypatch, few):
+    monkeypatch.setattr(cross_polytope, "FEW", few)
+    monkeypatch.setattr(cross_polytope, "BASE_ROWS", 6)
+    monkeypatch.setattr(cross_polytope, "QUERY_ROWS", 4)
+    pick, rows = np.random.default_rng(11), []
+    # Small sizes by themselves and in one table with a larger one.
+    for dim, n in ((64, 5), (48, 8), (40, 11), (36, 20), (6, 300)):
+        rows += [(len(rows) + i, pick.normal(size=dim).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    away = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+    want = brute(df, 1, 10, away, 1, False)
+    got = answers(cross_polytope.nearest(df, df, k=10))
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in want.items()}
+    exact = [i for i, v in rows if len(v) > 6 and (few or len(want[i]) < 10)]
+    assert {i: [j for _, j, _ in got[i]] for i in exact} == {i: [j for _, j, _ in want[i]] for i in exact}
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = answers(cross_polytope.nearest(df, df.filter("vec_id % 20 = 0"), k=10))
