@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import common, line_dedup, packing, quality, simhash
+from spendlens.llm import bpe, common, line_dedup, packing, quality, simhash
+from spendlens.llm.queries import VOCABULARY
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in training sequences, one row per piece."""
-    return packing.pack(docs, packing.n_words(F.col("text")))
+    """Places of all documents, their tokens and an end mark, in training sequences, one row per piece."""
+    return packing.pack(docs, bpe.n_ids(F.col("text"), VOCABULARY) + 1)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import slices
@@ -126,23 +126,52 @@ class Memo(dict):
         self.encode = encode
 
     def __missing__(self, chunk):
-        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        ids = self.held(self.encode(chunk))
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def held(self, ids: list[int]):
+        return np.array(ids, "<u4").tobytes()
+
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, chunks(text or "")))
 
 
+class Counts(Memo):
+    """Number of ids of chunks seen before, as bounded."""
+
+    held = staticmethod(len)
+
+    def text(self, text: str | None) -> int:
+        return sum(map(self.__getitem__, chunks(text or "")))
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[Vocabulary, Memo]:
     vocabulary = Vocabulary(path)
     return vocabulary, Memo(vocabulary.chunk)
 
 
+@lru_cache(maxsize=2)
+def _counts(path: str) -> Counts:
+    return Counts(load(path)[0].chunk)
+
+
+def n_ids(text: Column, path: str) -> Column:
+    """Number of ids of a text; none for NULL."""
+
+    @F.pandas_udf("long")
+    def counted(texts):
+        counts = _counts(path)
+        return type(texts)([counts.text(t) for t in texts], dtype="int64")
+
+    # So that a filter on the number doesn't encode every text again.
+    return counted.asNondeterministic()(text)
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) for each row: ids as little-endian unsigned 32-bit integers, and their text.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spendlens.llm import ball_tree, bpe, cross_polytope, html_text, id_coder, line_dedup, lm, packing, quality, simhash
 from spendlens.llm.common import table
 
-#: The vocabulary that op3 and op6 encode with.
+#: The vocabulary that op3 and op6 encode with, and that op2 counts tokens of.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -20,8 +20,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every document in packed sequences."""
-    return packing.pack(table(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
+    """The place of every document, its tokens and an end mark, in packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.n_ids(F.col("text"), VOCABULARY) + 1)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

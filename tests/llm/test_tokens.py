@@ -9,7 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spendlens.llm import bpe, id_coder, packing
+from spendlens.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -139,3 +141,17 @@ def test_every_word_has_one_place(frame):
             end += n
         assert end <= capacity == next(s for s in packing.SIZES if s >= end)
     assert packing.pack(frame([]), packing.n_words(F.col("text"))).count() == 0
+
+
+def test_slots_are_tokens(spark, frame, tmp_path):
+    rows = [(1, "語" * 9000), (2, "Zm9vYmFy" * 3000), (3, "a few words, plainly"), (4, None), (5, ""), (6, "x" * 20 + " 1234")]
+    docs = frame(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: len(library(t or "")) + 1 for i, t in rows}
+    assert want[1] > 8192 and want[2] > 8192
+    for made in (QUERIES["op2_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        got = {}
+        for r in made.collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+            assert r.bin_offset + r.n_tokens <= r.capacity <= 8192
+        assert got == want
