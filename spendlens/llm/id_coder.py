@@ -19,11 +19,11 @@ from spendlens.llm.common import stored
 
 #: Ids of a block, blocks that are coded side by side, and ids of a chunk, which is one row of a file.
 BLOCK, LANES, CHUNK = 2048, 1024, 1 << 21
-#: A block: mark, ids, bytes of payload, checksum of the ids; then the payload.
-HEAD = struct.Struct("<4sIII")
-MARK = b"CMR1"
+#: A block: mark, ids, bytes of payload, checksum of the ids, symbols of an id; then the payload.
+HEAD = struct.Struct("<4sIIIB")
+MARK = b"CMR2"
 
-# An id is four symbols of four bits, the highest first. Contexts of order 0 are the symbols before in the id;
+# An id is four symbols of four bits, or up to eight in a larger vocabulary, the highest first. Contexts of order 0 are the symbols before in the id;
 # those of order 1 and 2 add the one or two ids before. Each is hashed into 2**10 places a block and order.
 SYMBOL, SYMBOLS, PLACES, ORDERS = 16, 4, 10, 3
 STEP = np.array([[4], [24], [48]])  # what a count rises by, for each order
@@ -33,10 +33,10 @@ _TOP, _BOTTOM, _ALL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFF
 class _Mixer:
     """Counts of the symbols in contexts of order 0 to 2, and each order's weight, for blocks side by side."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, symbols: int):
         self.counts = np.zeros((ORDERS * lanes << PLACES, SYMBOL), np.uint8)
         self.base = (np.arange(ORDERS * lanes) << PLACES).reshape(ORDERS, lanes)
-        self.trust = np.full((SYMBOLS, ORDERS, lanes), 1 << 15, np.int32)
+        self.trust = np.full((symbols, ORDERS, lanes), 1 << 15, np.int32)
         self.before = np.zeros((2, lanes), np.uint32)
 
     def frequencies(self, lanes: np.ndarray, place: int, prefix: np.ndarray) -> np.ndarray:
@@ -79,12 +79,12 @@ def _narrowed(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return settled | starved, span
 
 
-def _encode_side_by_side(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode_side_by_side(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks])
     ids = np.zeros((len(blocks), sizes.max(initial=0)), np.int64)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    mixer, out, at = _Mixer(len(blocks)), np.zeros((len(blocks), 3 * ids.shape[1] + 64), np.uint8), np.zeros(len(blocks), np.int64)
+    mixer, out, at = _Mixer(len(blocks), symbols), np.zeros((len(blocks), 3 * ids.shape[1] + 64), np.uint8), np.zeros(len(blocks), np.int64)
     low, span = np.zeros(len(blocks), np.uint64), np.full(len(blocks), _ALL, np.uint64)
 
     def emit(lanes):
@@ -98,8 +98,8 @@ def _encode_side_by_side(blocks: list[np.ndarray]) -> list[bytes]:
     for t in range(ids.shape[1]):
         lanes = np.flatnonzero(sizes > t)
         now, prefix = ids[lanes, t], np.zeros(len(lanes), np.int64)
-        for place in range(SYMBOLS):
-            symbol = (now >> (4 * (SYMBOLS - 1 - place))) & 15
+        for place in range(symbols):
+            symbol = (now >> (4 * (symbols - 1 - place))) & 15
             cumulative = mixer.frequencies(lanes, place, prefix)
             each = np.arange(len(lanes))
             start, end = cumulative[each, symbol], cumulative[each, symbol + 1]
@@ -122,12 +122,12 @@ def _encode_side_by_side(blocks: list[np.ndarray]) -> list[bytes]:
     return [out[i, : at[i]].tobytes() for i in range(len(blocks))]
 
 
-def _decode_side_by_side(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+def _decode_side_by_side(payloads: list[bytes], sizes: np.ndarray, symbols: int) -> list[np.ndarray]:
     wide = max(map(len, payloads), default=0) + 8
     data = np.zeros((len(payloads), wide), np.uint8)
     for i, p in enumerate(payloads):
         data[i, : len(p)] = np.frombuffer(p, np.uint8)
-    mixer, ids = _Mixer(len(payloads)), np.zeros((len(payloads), sizes.max(initial=0)), np.int64)
+    mixer, ids = _Mixer(len(payloads), symbols), np.zeros((len(payloads), sizes.max(initial=0)), np.int64)
     low, span = np.zeros(len(payloads), np.uint64), np.full(len(payloads), _ALL, np.uint64)
     code, at = np.zeros(len(payloads), np.uint64), np.full(len(payloads), 4)
     for i in range(4):
@@ -135,7 +135,7 @@ def _decode_side_by_side(payloads: list[bytes], sizes: np.ndarray) -> list[np.nd
     for t in range(ids.shape[1]):
         lanes = np.flatnonzero(sizes > t)
         prefix = np.zeros(len(lanes), np.int64)
-        for place in range(SYMBOLS):
+        for place in range(symbols):
             cumulative = mixer.frequencies(lanes, place, prefix)
             unit = span[lanes] // cumulative[:, -1].astype(np.uint64)
             seen = ((code[lanes] - low[lanes]) & _ALL) // unit
@@ -162,16 +162,21 @@ def _decode_side_by_side(payloads: list[bytes], sizes: np.ndarray) -> list[np.nd
     return [ids[i, :n].astype("<u4") for i, n in enumerate(sizes.tolist())]
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Blocks of ``block`` ids (0 to 65,535) each, coded from a fresh state and checksummed."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids have to fit 16 bits")
+def symbols_for(largest: int) -> int:
+    """Symbols of the ids of a vocabulary whose largest id is given."""
+    return max(SYMBOLS, -(-int(largest).bit_length() // 4))
+
+
+def encode(ids: np.ndarray, block: int = BLOCK, symbols: int = SYMBOLS) -> bytes:
+    """Blocks of ``block`` ids each, of ``symbols`` four-bit symbols, coded from a fresh state and checksummed."""
+    if len(ids) and int(ids.max()) >= 16**symbols:
+        raise ValueError(f"ids have to fit {4 * symbols} bits")
     blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
     out = []
     for i in range(0, len(blocks), LANES):
         side = blocks[i : i + LANES]
-        for b, payload in zip(side, _encode_side_by_side(side)):
-            out += [HEAD.pack(MARK, len(b), len(payload), zlib.crc32(b.astype("<u4").tobytes())), payload]
+        for b, payload in zip(side, _encode_side_by_side(side, symbols)):
+            out += [HEAD.pack(MARK, len(b), len(payload), zlib.crc32(b.astype("<u4").tobytes()), symbols), payload]
     return b"".join(out)
 
 
@@ -179,19 +184,23 @@ def decode(data: bytes) -> np.ndarray:
     """The ids of ``encode``'s blocks; fails where a block's mark or checksum is wrong."""
     heads, payloads, at = [], [], 0
     while at < len(data):
-        mark, n, size, crc = HEAD.unpack_from(data, at)
+        mark, n, size, crc, symbols = HEAD.unpack_from(data, at)
         at += HEAD.size
-        if mark != MARK or at + size > len(data):
+        if mark != MARK or at + size > len(data) or not SYMBOLS <= symbols <= 8:
             raise ValueError("damaged block")
-        heads.append((n, crc))
+        heads.append((n, crc, symbols))
         payloads.append(data[at : at + size])
         at += size
-    out = []
-    for i in range(0, len(heads), LANES):
-        for ids, (_, crc) in zip(_decode_side_by_side(payloads[i : i + LANES], np.array([n for n, _ in heads[i : i + LANES]])), heads[i : i + LANES]):
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError("checksum of a block differs")
-            out.append(ids)
+    out: list = [None] * len(heads)
+    for symbols in {h[2] for h in heads}:
+        alike = [i for i, h in enumerate(heads) if h[2] == symbols]
+        for start in range(0, len(alike), LANES):
+            side = alike[start : start + LANES]
+            found = _decode_side_by_side([payloads[i] for i in side], np.array([heads[i][0] for i in side]), symbols)
+            for i, ids in zip(side, found):
+                if zlib.crc32(ids.tobytes()) != heads[i][1]:
+                    raise ValueError("checksum of a block differs")
+                out[i] = ids
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
@@ -204,7 +213,9 @@ def _tokens(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return Memo(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids)
+    memo = Memo(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids)
+    memo.largest = max(tokenizer.get_vocab().values())
+    return memo
 
 
 def _writer(path: str, end_id: int):
@@ -215,11 +226,12 @@ def _writer(path: str, end_id: int):
 
         def flush():
             ids = np.frombuffer(b"".join(held), "<u4")
-            columns = [[part], [seq], [len(ids)], [names], [lengths], [encode(ids)]]
+            columns = [[part], [seq], [len(ids)], [names], [lengths], [encode(ids, symbols=symbols)]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "seq", "n", "ids", "lengths", "data"])
 
         memo = _tokens(path)
+        symbols = symbols_for(max(memo.largest, end_id))
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field("id").type

@@ -155,3 +155,16 @@ def test_slots_are_tokens(spark, frame, tmp_path):
             got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
             assert r.bin_offset + r.n_tokens <= r.capacity <= 8192
         assert got == want
+
+
+def test_ids_over_16_bits(frame):
+    pick = random.Random(8)
+    for symbols in (5, 8):
+        ids = np.array([pick.choice([0, 65536, 16**symbols - 1, pick.randrange(16**symbols)]) for _ in range(300)], "<u4")
+        assert id_coder.symbols_for(ids.max()) == symbols
+        data = id_coder.encode(ids, 70, symbols) + id_coder.encode(ids & 0xFFFF, 70)
+        assert id_coder.decode(data).tolist() == [*ids.tolist(), *(ids & 0xFFFF).tolist()]
+    end = 1 << 20
+    files = id_coder.write_ids(frame([(1, "some words"), (2, None)]), PATH, end_id=end)
+    want = {i: zlib.crc32(np.array([*library(t), end], "<u4").tobytes()) for i, t in ((1, "some words"), (2, ""))}
+    assert {r.id: r.ids_crc32 for r in id_coder.read_digests(files).collect()} == want
