@@ -27,7 +27,9 @@ from .sources import bound, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+#: Paths of stored flat tables, each time that a query found one instead of writing it.
+STORE_READS: list[str] = []
 
 def present(df: DataFrame) -> DataFrame:
     """Decimals as doubles, dates and times as ISO text, for comparison across engines."""
@@ -63,16 +65,30 @@ def unique_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_tagged_dups(bound.raw(spark, sf_dir))
 
 
+def _input_files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and modification time of every file that the flat table is made of."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for table in ("lineitem", "orders"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files_in = path.getFileSystem(conf).listFiles(path, True)
+        while files_in.hasNext():
+            file = files_in.next()
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table as stored in the shared folder, written once per session and input folder.
+    """The flat table as stored in the shared folder, written once per session and state of the input files.
 
     Parquet keeps columns apart, so each table of the star reads only its own.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _input_files(spark, sf_dir))
     schema = bound.flat(spark, sf_dir).schema
     if key in _STORED:
         try:
-            return spark.read.schema(schema).parquet(_STORED[key])
+            found = spark.read.schema(schema).parquet(_STORED[key])
+            STORE_READS.append(_STORED[key])
+            return found
         except AnalysisException:  # the folder has been cleaned since
             del _STORED[key]
     path = shared_path(spark, "flat")

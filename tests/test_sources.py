@@ -1,6 +1,7 @@
 import pytest
 
 from hand import facts_rows, flat_rows
+from spendlens import catalog
 from spendlens.operators import clean, master
 from spendlens.schemas import RAW
 from spendlens.session import shared_path
@@ -64,3 +65,13 @@ def test_mess_is_as_described(raw):
     tagged = clean.count_tagged_dups(raw).first().duplicate_rows
     assert raw.count() == 6000 + tagged and tagged > 0
     assert bound.raw(raw.sparkSession, SF).schema.fieldNames() == RAW.fieldNames()
+
+
+def test_stored_flat_follows_its_input(spark, tmp_path):
+    for table in ("lineitem", "orders"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    every = catalog.stored_flat(spark, str(tmp_path)).count()
+    reads = len(catalog.STORE_READS)
+    assert catalog.stored_flat(spark, str(tmp_path)).count() == every and len(catalog.STORE_READS) == reads + 1
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(50).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert 0 < catalog.stored_flat(spark, str(tmp_path)).count() < every and len(catalog.STORE_READS) == reads + 1
