@@ -6,9 +6,10 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from spendlens.session import local_session  # noqa: E402
+sys.path.insert(0, str(ROOT / "tests"))
 
-SF = "/root/testdata/sf0.001"
+from hand import SF  # noqa: E402
+from spendlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,4 @@
-"""Hand-made campaign rows: every column has a default, a test names what matters."""
+"""The smallest input folder, and hand-made campaign rows: every column has a default, a test names what matters."""
 
 import datetime as dt
 from decimal import Decimal
@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from spendlens.functions.calendar import calendar
 from spendlens.schemas import FLAT
 
+SF = "/root/testdata/sf0.001"
+
 DEFAULTS = {
     "date": dt.date(2024, 1, 15),
     "platform": "Meta",

@@ -4,10 +4,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
+from hand import SF
 from spendlens.catalog import QUERIES
 
-from conftest import SF
-
 
 @pytest.fixture(scope="module")
 def con():

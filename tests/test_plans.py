@@ -4,12 +4,11 @@ import re
 
 import pytest
 
+from hand import SF
 from spendlens.catalog import QUERIES
 from spendlens.plans import awareness, decision, efficiency
 from spendlens.sources import bound
 
-from conftest import SF
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()

@@ -1,14 +1,12 @@
 import pytest
 
-from hand import facts_rows, flat_rows
+from hand import SF, facts_rows, flat_rows
 from spendlens import catalog
 from spendlens.operators import clean, master
 from spendlens.schemas import RAW
 from spendlens.session import shared_path
 from spendlens.sources import bound, files
 
-from conftest import SF
-
 
 def test_bound_row_ids_are_unique(facts):
     assert facts.count() == facts.select("row_id").distinct().count() == 6000
