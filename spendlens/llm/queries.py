@@ -6,8 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import ball_tree, bpe, cross_polytope, html_text, id_coder, line_dedup, lm, packing, quality, simhash
-from spendlens.llm.common import table
+from spendlens.llm import (
+    ball_tree,
+    bpe,
+    cross_polytope,
+    fingerprints,
+    html_text,
+    id_coder,
+    lexical,
+    line_dedup,
+    lm,
+    packing,
+    quality,
+    simhash,
+    whitening,
+)
+from spendlens.llm.common import stored, table
 
 #: The vocabulary that op3 and op6 encode with, and that op2 counts tokens of.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +89,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four leading whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).withColumnRenamed("id", "vec_id")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; for every fiftieth, how many others are within three bits."""
+    prints = stored(fingerprints.fingerprints(table(spark, sf_dir, "documents")), "prints")
+    counted = fingerprints.with_near_counts(prints, F.col("id") % 50 == 0, radius=3)
+
+    def digits(name: str):
+        return F.lower(F.lpad(F.hex(name), 16, "0"))
+
+    return counted.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", digits("fp").alias("fingerprint"),
+        digits("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near",
+    )
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    ranked = lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return ranked.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,10 +127,43 @@ QUERIES = {
         op8_main_text,
         op9_top_k,
         op10_simhash,
+        op11_whitening,
+        op12_fingerprints,
+        op13_lexical,
     )
 }
 
 ORACLE = {
+    "op13_lexical": r"""
+        WITH words AS (
+            SELECT doc_id, r, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+        ),
+        sizes AS (SELECT doc_id, r, count(*) AS n FROM words GROUP BY ALL),
+        totals AS (SELECT count(*) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS terms FROM sizes),
+        counts AS (SELECT r, term, count(*) AS tf FROM words GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM totals) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM counts GROUP BY term
+        ),
+        lengths AS (SELECT doc_id, r, 100 - 90 + (90 * n * (SELECT docs FROM totals)) // (SELECT terms FROM totals) AS m FROM sizes),
+        asked AS (
+            SELECT DISTINCT item_id, item, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT item_id, text, row_number() OVER () AS item FROM benchmark)
+        ),
+        scored AS (
+            SELECT item_id, item, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r) GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER best AS INT) AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 10
+    """,
     "op7_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, u.pos, u.line, trim(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
