@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import ascii_lower, stored, wide_hash
 
-BITS = 64
+BITS, HALF = 64, 32
 #: Tasks that the fingerprints of one block value are dealt to when they meet the queries.
 SALTS = 8
 
@@ -22,22 +22,30 @@ def voted(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fp): the fingerprint, a signed long, of ``text`` for each distinct ``keys``.
 
     Terms are the words between ASCII white space with A-Z in lower case. A
-    term that occurs tf times weighs ``1 + ln(tf)``, to sixteenths. Its 64-bit
+    term that occurs tf times weighs ``1 + ln(tf)``, to eighths. Its 64-bit
     hash votes with that weight for each bit that it sets and against each other
-    one; a bit is set where the sum is positive. Texts without a word give 0.
+    one; a bit is set where the votes for it prevail. Texts without a word give 0.
+
+    Bits j and j + 32 are summed as the two halves of one long, which fills 32
+    registers instead of 64. A half can't overflow: a text of two gigabytes, the
+    most that a string holds, has under 2**29 distinct words, of weight 8 each.
     """
     words = F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")
-    counted = texts.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    weight = F.when(F.col("term") == "", 0).otherwise(F.round(16 + 16 * F.log("tf"))).cast("long")
-    terms = counted.select(*keys, F.xxhash64("term").alias("h"), weight.alias("w"))
+    # Terms are known by their hashes, so that only numbers are grouped; '' has none.
+    hashes = texts.select(*keys, F.explode(words).alias("term")).select(*keys, F.when(F.col("term") != "", F.xxhash64("term")).alias("h"))
+    counted = hashes.groupBy(*keys, "h").agg(F.count("*").alias("tf"))
+    weight = F.when(F.col("h").isNull(), 0).otherwise(F.round(8 + 8 * F.log("tf"))).cast("long")
+    terms = counted.select(*keys, F.coalesce("h", F.lit(0)).alias("h"), weight.alias("w"))
+    pair = F.lit(1 | 1 << HALF)
+    sums = [F.sum(F.col("w") * F.shiftrightunsigned("h", j).bitwiseAND(pair)).alias(f"v{j}") for j in range(HALF)]
+    votes = terms.groupBy(*keys).agg(F.sum("w").alias("total"), *sums)
 
-    def vote(bit: int) -> Column:
-        asked = F.shiftrightunsigned("h", bit).bitwiseAND(F.lit(1)) == 1
-        return F.sum(F.when(asked, F.col("w")).otherwise(-F.col("w"))).alias(f"v{bit}")
+    def bit(votes_for: Column, at: int) -> Column:
+        return F.when(2 * votes_for > F.col("total"), F.lit(_signed(1 << at))).otherwise(F.lit(0).cast("long"))
 
-    votes = terms.groupBy(*keys).agg(*[vote(b) for b in range(BITS)])
-    bits = [F.when(F.col(f"v{b}") > 0, F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
-    return votes.select(*keys, reduce(Column.bitwiseOR, bits).alias("fp"))
+    low = [bit(F.col(f"v{j}").bitwiseAND(F.lit((1 << HALF) - 1)), j) for j in range(HALF)]
+    high = [bit(F.shiftrightunsigned(f"v{j}", HALF), j + HALF) for j in range(HALF)]
+    return votes.select(*keys, reduce(Column.bitwiseOR, low + high).alias("fp"))
 
 
 def _signed(value: int) -> int:
@@ -103,12 +111,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = F.substring("text", F.lit(1), F.length("text") - third)
     both = whole.join(parts, ["r1", "r2"]).select("r1", "r2", "text", F.concat(kept, "part").alias("edited"))
     facts = both.select("r1", "r2", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    kinds = F.array(*[F.struct(F.lit(e).alias("is_edited"), F.col(c).alias("text")) for e, c in ((False, "text"), (True, "edited"))])
-    prints = voted(both.select("r1", "r2", F.inline(kinds)), ["r1", "r2", "is_edited"])
-    pair = prints.groupBy("r1", "r2").agg(
-        F.max(F.when(~F.col("is_edited"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("is_edited"), F.col("fp"))).alias("edited_fp")
-    )
-    known = stored(facts.join(pair, ["r1", "r2"]), "fingerprints")
+    # Apart, as one long chain of generators and aggregates would be a method too large for the JVM to compile.
+    own = voted(whole, ["r1", "r2"])
+    of_edited = voted(both.select("r1", "r2", F.col("edited").alias("text")), ["r1", "r2"]).withColumnRenamed("fp", "edited_fp")
+    known = stored(facts.join(own, ["r1", "r2"]).join(of_edited, ["r1", "r2"]), "fingerprints")
     nexts = known.select(F.col("r1").alias("n1"), F.col("r2").alias("n2"), F.col("fp").alias("next_fp"))
     result = known.join(chain.select("r1", "r2", "n1", "n2"), ["r1", "r2"]).join(nexts, ["n1", "n2"])
     result = result.select(
@@ -153,7 +159,8 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = 3, salts: int =
     asked = asked.select("query", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), tables("query"))
     differing = F.col("fp").bitwiseXOR(F.col("query"))
     first = F.coalesce(*[F.when(differing.bitwiseAND(F.lit(m)) == 0, t) for t, m in enumerate(masks)])
-    met = filed.join(asked, ["t", "key", "salt"])
+    # The tables multiply the queries after Spark has seen their size, so it must not broadcast them.
+    met = filed.join(asked.hint("merge"), ["t", "key", "salt"])
     return met.select("query", "fp", "t", first.alias("first"), F.bit_count(differing).alias("bits")).filter(
         (F.col("bits") <= radius) & (F.col("t") == F.col("first"))
     ).select("query", "fp", "bits")

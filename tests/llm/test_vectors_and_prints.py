@@ -113,7 +113,7 @@ def slow_print(text):
     votes = [0] * 64
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     for term, tf in Counter(re.findall(r"[^\x20\x09-\x0D]+", lowered)).items():
-        h, weight = xxhash.xxh64_intdigest(term.encode(), 42), round(16 + 16 * math.log(tf))
+        h, weight = xxhash.xxh64_intdigest(term.encode(), 42), round(8 + 8 * math.log(tf))
         for bit in range(64):
             votes[bit] += weight if h >> bit & 1 else -weight
     value = sum(1 << bit for bit in range(64) if votes[bit] > 0)
