@@ -235,3 +235,22 @@ DASHBOARD: dict[str, str] = {
     ),
     "T6_refresh_due": on_facts(_REFRESH, "fatigue_score headroom", texts="last_date"),
 }
+
+# The operators over the rollup give the figures of those over the facts.
+DASHBOARD |= {
+    f"{name.split('_')[0]}_from_rollup": DASHBOARD[name]
+    for name in (
+        "K1_kpis_by_platform", "K2_slice", "K4_awareness", "K5_attention_funnel", "K7_acquisition_cost", "K8_scale_matrix",
+        "K9_roas_by_fatigue", "K10_breakeven_gap_matrix", "T1_mom", "T2_yoy", "T3_quarter_trend", "T4_decline_streak",
+        "T5_breakeven_crossing",
+    )
+}
+DASHBOARD["T6_leaving_low_fatigue"] = on_facts(
+    "WITH fitted AS (SELECT platform, product, ad_id, count(*) AS scored_rows, max(date) AS last_date, "
+    "CASE WHEN min(date) < max(date) THEN regr_slope(cast(fatigue_score AS double), date - DATE '1970-01-01') END AS s, "
+    "regr_intercept(cast(fatigue_score AS double), date - DATE '1970-01-01') AS i FROM facts GROUP BY ALL), "
+    "crossed AS (SELECT *, CASE WHEN s > 0 AND (4 - i) / s BETWEEN -719162 AND 2932896 THEN cast(ceil(round((4 - i) / s, 6)) AS int) END AS day FROM fitted) "
+    f"SELECT platform, product, ad_id, scored_rows, last_date, {rnd('s', 6)} AS slope, DATE '1970-01-01' + day AS crossing_day, "
+    "cast(day - (last_date - DATE '1970-01-01') AS bigint) AS days_left FROM crossed",
+    "slope", texts="last_date crossing_day",
+)

@@ -166,6 +166,33 @@ _FLAT_FROM_RAW = (
     f"cast({_BREAKEVEN} AS decimal(10,4)) AS b FROM ({_FILLED}))"
 )
 
+_REPORT = [
+    *[f"SELECT 'nulls' AS report, '{c}' AS item, 'nulls' AS figure, cast(count(*) - count({c}) AS double) AS value FROM raw" for c in RAW_LIST],
+    "SELECT 'rows', 'raw', 'rows', count(*) FROM raw",
+    "SELECT 'rows', 'tagged_duplicates', 'rows', count(*) FROM raw WHERE ends_with(row_id, '_dup')",
+    f"SELECT 'rows', 'written', 'rows', count(*) FROM ({_CLEAN})",
+    *[
+        f"SELECT 'rules', '{name}', '{figure}', count(*) FILTER (WHERE {test}) FROM ({_CLEAN})"
+        for name, cond in _RULES.items()
+        for figure, test in (("broken_rows", f"NOT ({cond})"), ("unchecked_rows", f"({cond}) IS NULL"))
+    ],
+    *[
+        f"SELECT 'identities', '{name}', '{figure}', cast({figure} AS double) FROM ({_identity(name, formula)})"
+        for name, formula in _IDENTITIES.items()
+        for figure in ("checked_rows", "mismatches", "one_sided_nulls", "largest_gap")
+    ],
+]
+_LATER = {
+    5: "SELECT row_id, 'removed' AS change, cast(NULL AS varchar) AS changed_columns, 1 AS rows_before, 0 AS rows_after",
+    6: "SELECT row_id, 'changed', 'spend,clicks', 1, 1",
+    7: "SELECT row_id || '-new', 'added', NULL, 0, 1",
+    8: "SELECT row_id, 'changed', 'rows', 1, 2",
+}
+_MISTYPED = (
+    "SELECT CASE impressions % 40 WHEN 10 THEN substr(product, 2, 1) || substr(product, 1, 1) || substr(product, 3) "
+    "WHEN 20 THEN left(product, 2) || substr(product, 4) WHEN 30 THEN product || 'x' ELSE product END AS product FROM raw"
+)
+
 PIPELINE: dict[str, str] = {
     # sources and sinks
     "S1_load_raw": on_raw(_take([*RAW_LIST, "cast(NULL AS varchar) AS _bad"], "raw"), **plain(RAW_LIST)),
@@ -176,13 +203,21 @@ PIPELINE: dict[str, str] = {
         f"{_COMBINATION} AS creative_combination {_JOINED}",
         **plain(_PERFORMANCE_MASTER),
     ),
+    "S3_audited_snapshot": on_raw(f"WITH clean_rows AS ({_CLEAN}) " + _union(_REPORT)),
+    "S4_refresh_master": on_facts(
+        f"{_STAR} SELECT {', '.join(_PERFORMANCE_MASTER)}, {_DECISION} AS scalability_decision, "
+        f"{_COMBINATION} AS creative_combination {_JOINED}",
+        **plain(_PERFORMANCE_MASTER),
+    ),
     "S5_shared_traps": on_facts(
         f"SELECT *, {rnd('cast(total_spend AS double) / sum(total_spend) OVER () * 100', 4)} AS trap_spend_share_pct "
         f"FROM ({_TRAPS})",
         _TRAP_DOUBLES + " trap_spend_share_pct",
     ),
     "S6_preview": on_facts(
-        f"SELECT row_id, {_COMBINATION} AS creative_combination FROM facts ORDER BY row_id LIMIT 10"
+        f"{_STAR} SELECT {', '.join(_PERFORMANCE_MASTER)}, {_DECISION} AS scalability_decision, "
+        f"{_COMBINATION} AS creative_combination {_JOINED} ORDER BY row_id LIMIT 10",
+        **plain(_PERFORMANCE_MASTER),
     ),
     # cleaning
     "C1_profile_dates": on_raw(
@@ -198,6 +233,15 @@ PIPELINE: dict[str, str] = {
             ]
         )
     ),
+    "C1_merged_profile": on_raw(
+        _union(
+            [
+                f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count({c}) AS filled_rows, cast(min({c}) AS double) AS "
+                f"min_value, cast(max({c}) AS double) AS max_value FROM raw"
+                for c in _NUMBERS
+            ]
+        )
+    ),
     "C1_profile_categories": on_raw(
         _union(
             [
@@ -209,7 +253,9 @@ PIPELINE: dict[str, str] = {
     "C2_count_tagged_dups": on_raw(
         "SELECT count(*) AS duplicate_rows FROM raw WHERE row_id LIKE '%\\_dup' ESCAPE '\\'"
     ),
-    "C3_drop_tagged_dups": on_raw("SELECT row_id, spend FROM raw WHERE row_id NOT LIKE '%\\_dup' ESCAPE '\\'", "spend"),
+    "C3_drop_tagged_dups": on_raw(
+        _take(RAW_LIST, "raw") + " WHERE row_id NOT LIKE '%\\_dup' ESCAPE '\\'", **plain(RAW_LIST)
+    ),
     "C4_null_audit": on_raw(
         _union(
             [
@@ -228,6 +274,16 @@ PIPELINE: dict[str, str] = {
         'SELECT lower(platform) AS unmapped_value, count(*) AS "rows" FROM raw '
         "WHERE lower(platform) NOT IN ('meta', 'tiktok') GROUP BY lower(platform)"
     ),
+    "C5_proposals": on_raw(
+        f"WITH typed AS (SELECT lower(trim(product)) AS v, count(*) AS n FROM ({_MISTYPED}) GROUP BY 1), "
+        f"known AS (SELECT unnest({_PRODUCTS}) AS c), "
+        "near AS (SELECT v, c, CASE WHEN length(v) = length(lower(c)) AND damerau_levenshtein(v, lower(c)) = 1 THEN 1 "
+        "ELSE levenshtein(v, lower(c)) END AS d FROM typed, known), "
+        "best AS (SELECT v, c, d, count(*) OVER (PARTITION BY v) AS ties FROM (SELECT *, min(d) OVER (PARTITION BY v) AS least "
+        "FROM near WHERE d <= 2) WHERE d = least) "
+        'SELECT v AS unmapped_value, n AS "rows", c AS proposal, cast(d AS int) AS distance, coalesce(ties, 0) AS ties '
+        "FROM typed LEFT JOIN best USING (v) WHERE v NOT IN (SELECT lower(c) FROM known)"
+    ),
     "C6_strip_suffix": on_raw(
         "SELECT row_id, CASE WHEN ends_with(campaign_name, '_v2') THEN left(campaign_name, -3) "
         "WHEN ends_with(campaign_name, '_test') OR ends_with(campaign_name, '_copy') THEN left(campaign_name, -5) "
@@ -277,6 +333,11 @@ PIPELINE: dict[str, str] = {
     ),
     "M4_assign_ids": on_facts(_numbered("P", "performance_id", _PERFORMANCE), **plain(_PERFORMANCE)),
     "M4_revenue_ids": on_facts(_numbered("R", "revenue_id", _REVENUE), **plain(_REVENUE)),
+    "M4_continued_ids": on_facts(
+        f"SELECT format('P{{:06d}}', row_number() OVER (ORDER BY date >= DATE '1997-01-01', row_id)) AS performance_id, "
+        f"{', '.join(_PERFORMANCE)} FROM facts",
+        **plain(_PERFORMANCE),
+    ),
     "M5_orphan_counts": on_raw(
         "WITH products AS (SELECT DISTINCT product FROM facts WHERE product <> 'Yoga Mat'), "
         "dim_date AS (SELECT DISTINCT date FROM facts WHERE year < 1998) "
@@ -314,6 +375,10 @@ PIPELINE: dict[str, str] = {
         "SELECT * FROM kept WHERE performance_id IN (SELECT min(performance_id) FROM kept GROUP BY row_id)",
         **plain(_PERFORMANCE),
     ),
+    "M8_snapshot_diff": on_facts(
+        _union([f"{select} FROM facts WHERE impressions % 997 = {turn}" for turn, select in _LATER.items()]),
+        bigints="rows_before rows_after",
+    ),
     "M8_reconcile": on_raw(
         f"{_STAR} SELECT 'raw' AS source, count(*) AS row_count FROM raw UNION ALL "
         f"SELECT 'raw_without_dups', count(*) FROM ({_CLEAN}) UNION ALL "
@@ -358,3 +423,4 @@ PIPELINE: dict[str, str] = {
     "F8_date_parts": on_facts(_take(["row_id", *_CALENDAR_NAMES])),
     "F10_if_error": _decisions("clicks_per_purchase", f"coalesce({rnd(ratio('clicks', 'purchases'), 4)}, 0)", "clicks_per_purchase"),
 }
+PIPELINE["M7_merge_arrivals"] = PIPELINE["M7_keep_first"]

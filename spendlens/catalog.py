@@ -9,25 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import ladders
-from .functions.numeric import rnd, sdiv
+from .functions.numeric import STATES, rnd, sdiv
 from .functions.text import is_tagged, spellings, without_suffix
 from .functions.calendar import calendar
-from .operators import clean, master, model
-from .plans import attention, awareness, decision, efficiency, interest, kpis, profit, trends
+from .operators import arrivals, audit, clean, diff, master, model, profile
+from .plans import attention, awareness, decision, efficiency, interest, kpis, profit, rollup, trends
 from .labels import PLATFORMS, PRODUCTS
 from .schemas import PERFORMANCE_COLUMNS, RAW, REVENUE_COLUMNS
-from .session import shared_path, write_through
+from .session import path_exists, shared_path, write_through
 from .sources import bound, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, tuple[str, str]] = {}
+_ROLLUPS: dict[tuple, str] = {}
 #: Paths of stored flat tables, each time that a query found one instead of writing it.
 STORE_READS: list[str] = []
 
@@ -80,21 +80,20 @@ def _input_files(spark: SparkSession, sf_dir: str) -> tuple:
 def stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table as stored in the shared folder, written once per session and state of the input files.
 
-    Parquet keeps columns apart, so each table of the star reads only its own.
+    It lies in buckets by ``row_id``, each one sorted file, so the tables of the
+    star, which are columns of it, join on ``row_id`` without a shuffle or sort.
+    Parquet keeps columns apart, so each table reads only its own.
     """
     key = (spark.sparkContext.applicationId, sf_dir, _input_files(spark, sf_dir))
-    schema = bound.flat(spark, sf_dir).schema
     if key in _STORED:
-        try:
-            found = spark.read.schema(schema).parquet(_STORED[key])
-            STORE_READS.append(_STORED[key])
-            return found
-        except AnalysisException:  # the folder has been cleaned since
-            del _STORED[key]
+        path, name = _STORED[key]
+        if path_exists(spark, path):
+            STORE_READS.append(path)
+            return spark.table(name)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the folder has been cleaned since
     path = shared_path(spark, "flat")
-    bound.flat(spark, sf_dir).write.parquet(path)
-    _STORED[key] = path
-    return spark.read.schema(schema).parquet(path)
+    _STORED[key] = path, files.store_in_buckets(bound.flat(spark, sf_dir), path, "row_id")
+    return spark.table(_STORED[key][1])
 
 
 def star(spark: SparkSession, sf_dir: str) -> model.Star:
@@ -104,12 +103,12 @@ def star(spark: SparkSession, sf_dir: str) -> model.Star:
 
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The performance table with its generated key."""
-    return model.with_performance_id(bound.flat(spark, sf_dir).select(*PERFORMANCE_COLUMNS))
+    return model.with_performance_id(stored_flat(spark, sf_dir).select(*PERFORMANCE_COLUMNS))
 
 
 def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The revenue table with its generated key."""
-    return model.with_revenue_id(bound.flat(spark, sf_dir).select(*REVENUE_COLUMNS))
+    return model.with_revenue_id(stored_flat(spark, sf_dir).select(*REVENUE_COLUMNS))
 
 
 def _untagged(df: DataFrame) -> DataFrame:
@@ -142,9 +141,26 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.snapshot(clean.clean(bound.raw(spark, sf_dir)), shared_path(spark, "snapshots"), 1)
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited_snapshot(bound.raw(spark, sf_dir), shared_path(spark, "snapshots"), 1)[1]
+
+
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = master.performance_columns(bound.facts(spark, sf_dir))
-    return files.publish_master(rows, shared_path(spark, "master"))
+    rows = master.performance_columns(bound.facts(spark, sf_dir, by_quarter=True))
+    return files.publish_master(rows, shared_path(spark, "master"), rebalance=False)
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master published with a corrected, a missing and an obsolete quarter, brought up to date."""
+    rows = master.performance_columns(bound.facts(spark, sf_dir, by_quarter=True))
+    quarter = lambda year, quarter: (F.col("year") == year) & (F.col("quarter") == quarter)
+    older = rows.filter(~quarter(1996, 2)).withColumn(
+        "spend", F.when(quarter(1997, 3), F.col("spend") + 1).otherwise(F.col("spend")).cast(rows.schema["spend"].dataType)
+    )
+    obsolete = rows.filter(quarter(1995, 1)).withColumn("year", F.lit(1901))
+    path = shared_path(spark, "master")
+    files.publish_master(older.unionByName(obsolete), path, rebalance=False)
+    return files.refresh_master(rows, path)
 
 
 def _shared_traps(facts: DataFrame) -> DataFrame:
@@ -158,13 +174,13 @@ def _shared_traps(facts: DataFrame) -> DataFrame:
 register("S1_load_raw", _load_raw)
 register("S2_scan", lambda spark, sf_dir: files.scan(spark, f"{sf_dir}/lineitem.parquet"))
 register("S3_snapshot", _snapshot)
+register("S3_audited_snapshot", _audited)
 register("S4_publish_master", published)
+register("S4_refresh_master", _refreshed)
 on_facts("S5_shared_traps", _shared_traps)
 on_facts(
     "S6_preview",
-    lambda f: files.preview(
-        f.select("row_id", master.creative_combination().alias("creative_combination")), 10, ["row_id"]
-    ),
+    lambda f: files.preview(master.performance_columns(f), 10, ["row_id"]),
 )
 
 # --- cleaning ------------------------------------------------------------
@@ -173,7 +189,7 @@ on_raw("C1_profile_dates", clean.profile_dates)
 on_raw("C1_profile_ranges", clean.profile_ranges)
 on_raw("C1_profile_categories", clean.profile_categories)
 on_raw("C2_count_tagged_dups", clean.count_tagged_dups)
-on_raw("C3_drop_tagged_dups", lambda r: clean.drop_tagged_dups(r).select("row_id", "spend"))
+on_raw("C3_drop_tagged_dups", clean.drop_tagged_dups)
 on_raw("C4_null_audit", lambda r: clean.null_audit(r, RAW.fieldNames()))
 on_raw(
     "C5_standardise",
@@ -182,6 +198,23 @@ on_raw(
     ).select("row_id", "platform", "product"),
 )
 on_raw("C5_unmapped", lambda r: clean.unmapped(r, "platform", spellings(("Meta", "TikTok"))))
+
+
+def _mistyped(name: str) -> Column:
+    """Every fourth value with its first letters swapped, one with a letter left out, one with a letter too many."""
+    kind, value = F.col("impressions") % 40, F.col(name)
+    return (
+        F.when(kind == 10, F.concat(F.substring(value, 2, 1), F.substring(value, 1, 1), F.substring(value, 3, 99)))
+        .when(kind == 20, F.concat(F.substring(value, 1, 2), F.substring(value, 4, 99)))
+        .when(kind == 30, F.concat(value, F.lit("x")))
+        .otherwise(value)
+    )
+
+
+on_raw(
+    "C5_proposals",
+    lambda r: clean.spelling_proposals(r.withColumn("product", _mistyped("product")), "product", spellings(PRODUCTS)),
+)
 on_raw("C6_strip_suffix", lambda r: clean.strip_suffix(r).select("row_id", "campaign_name"))
 register(
     "C7_impute_mean",
@@ -220,6 +253,7 @@ register("M2_dim_date", lambda spark, sf_dir: model.dim_date_over(bound.calendar
 register("M3_products_dim", lambda spark, sf_dir: star(spark, sf_dir).products)
 register("M4_assign_ids", performance)
 register("M4_revenue_ids", revenue)
+register("M4_continued_ids", lambda spark, sf_dir: _continued_ids(spark, sf_dir))
 
 
 def _orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,23 +288,57 @@ def _view_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts along the way: raw, backup, the star, the delete of repeats before and after, both masters."""
-    whole = star(spark, sf_dir)
-    before = write_through(performance_with_repeats(spark, sf_dir).select("performance_id", "row_id"), "performance")
-    return model.reconcile(
-        {
-            "raw": bound.raw(spark, sf_dir),
-            "raw_without_dups": unique_raw(spark, sf_dir),
-            "backup": _snapshot(spark, sf_dir),
-            "ad_creative": whole.creative,
-            "ad_performance": whole.performance,
-            "ad_performance_before_delete": before,
-            "ad_performance_after_delete": model.keep_first(before, "row_id", "performance_id"),
-            "revenue": whole.revenue,
-            "performance_master": master.performance_master(whole),
-            "profitability_master": master.profitability_master(whole),
-        }
-    )
+    """Counts along the way: raw, backup, the star, the delete of repeats before and after, both masters.
+
+    Rows of the backup are counted as it is written, repeats by their ids, and
+    both masters are the same joined rows, counted once without being built.
+    """
+    whole, raw = star(spark, sf_dir), bound.raw(spark, sf_dir)
+    seen, backup = Observation(), clean.clean(raw)
+    files.snapshot(backup.observe(seen, F.count(F.lit(1)).alias("rows")), shared_path(spark, "snapshots"), 1)
+    per_id = _untagged(raw.select("row_id", is_tagged("row_id").alias("tagged"))).groupBy("row_id")
+    ids = per_id.agg(F.count("*").alias("rows"), F.count_if(~F.col("tagged")).alias("plain"))
+    # One row, counted where it is: a row each instead of a pass each.
+    counts = ids.agg(F.sum("rows").alias("raw"), F.sum("plain").alias("plain"), F.count("*").alias("ids")).first()
+    masters = model.master_rows(whole).first().row_count
+    known = {
+        "raw": counts.raw,
+        "raw_without_dups": counts.plain,
+        "backup": seen.get["rows"],
+        "ad_performance_before_delete": counts.raw,
+        "ad_performance_after_delete": counts.ids,
+        "performance_master": masters,
+        "profitability_master": masters,
+    }
+    stored = model.reconcile({"ad_creative": whole.creative, "ad_performance": whole.performance, "revenue": whole.revenue})
+    return stored.unionByName(spark.createDataFrame(list(known.items()), "source string, row_count long"))
+
+
+def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table against a later state: rows gone, come, corrected and repeated."""
+    flat, path = stored_flat(spark, sf_dir), shared_path(spark, "snapshots")
+    turn = F.col("impressions") % 997
+    corrected = {c: F.when(turn == 6, F.col(c) + 1).otherwise(F.col(c)).cast(flat.schema[c].dataType) for c in ("spend", "clicks")}
+    come = flat.filter(turn == 7).withColumn("row_id", F.concat("row_id", F.lit("-new")))
+    later = flat.filter(turn != 5).withColumns(corrected).unionByName(come).unionByName(flat.filter(turn == 8))
+    return diff.snapshot_diff(files.snapshot(flat, path, 1), files.snapshot(later, path, 2), "row_id")
+
+
+def _continued_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Performance rows numbered in three loads: the early years, all years, and all years once more."""
+    rows, path = stored_flat(spark, sf_dir).select("date", *PERFORMANCE_COLUMNS), shared_path(spark, "numbered")
+    for load in (rows.filter("date < '1997-01-01'"), rows, rows):
+        done = arrivals.continue_ids(load.drop("date"), path, "performance_id", "P", "row_id", ["row_id"])
+    return done
+
+
+def _merged_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered performance rows with repeats, merged in three batches that overlap and repeat one another."""
+    rows = write_through(performance_with_repeats(spark, sf_dir), "performance")
+    path, turn = shared_path(spark, "merged"), F.col("impressions") % 70
+    for batch in (rows.filter(turn < 30), rows.filter(turn >= 20), rows.filter(turn == 30)):
+        done = arrivals.merge_arrivals(batch, path, "row_id", "performance_id", buckets=16)
+    return done
 
 
 register("M6_view_fanout", _view_fanout)
@@ -278,7 +346,9 @@ register(
     "M7_keep_first",
     lambda spark, sf_dir: model.keep_first(performance_with_repeats(spark, sf_dir), "row_id", "performance_id"),
 )
+register("M7_merge_arrivals", _merged_arrivals)
 register("M8_reconcile", _reconcile)
+register("M8_snapshot_diff", _snapshot_diff)
 
 # --- master data sets ----------------------------------------------------
 
@@ -387,11 +457,57 @@ for _name, _kpi in {
     "T4_decline_streak": trends.decline_streak,
     "T5_breakeven_crossing": trends.breakeven_crossing,
     "T6_refresh_due": lambda f: kpis.refresh_due(f, ["platform", "product", "ad_id"]),
+    "T6_leaving_low_fatigue": lambda f: kpis.leaving_low_fatigue(f, ["platform", "product", "ad_id"]),
 }.items():
     on_facts(_name, _kpi)
 
 register("K2_over_master", lambda spark, sf_dir: kpis.kpis(published(spark, sf_dir), ["product"], {"year": 1997}))
 
+
+
+def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of the campaigns, stored in two parts, written once per session and state of the input files."""
+    key = (spark.sparkContext.applicationId, sf_dir, _input_files(spark, sf_dir))
+    if key not in _ROLLUPS or not path_exists(spark, _ROLLUPS[key]):
+        path, facts = shared_path(spark, "rollup"), bound.facts(spark, sf_dir)
+        for half in (facts.filter("day(date) <= 15"), facts.filter("day(date) > 15")):
+            rollup.add(half, path)
+        _ROLLUPS[key] = path
+    return rollup.read(spark, _ROLLUPS[key])
+
+
+def on_rollup(name: str, question: Callable[[DataFrame], DataFrame]) -> None:
+    register(name, lambda spark, sf_dir: question(stored_rollup(spark, sf_dir)))
+
+
+for _name, _kpi in {
+    "K1_from_rollup": lambda r: kpis.kpis(r, ["platform"], over=STATES),
+    "K2_from_rollup": lambda r: kpis.kpis(r, ["product"], _SLICE, over=STATES),
+    "K4_from_rollup": lambda r: kpis.awareness(r, over=STATES),
+    "K5_from_rollup": lambda r: kpis.attention_funnel(r, ["platform", "year"], over=STATES),
+    "K7_from_rollup": lambda r: kpis.acquisition_cost(r, ["product", "platform"], over=STATES),
+    "K8_from_rollup": lambda r: kpis.scale_matrix(r, over=STATES),
+    "K9_from_rollup": lambda r: kpis.roas_by_fatigue(r, over=STATES),
+    "K10_from_rollup": lambda r: kpis.breakeven_gap_matrix(r, over=STATES),
+    "T1_from_rollup": lambda r: trends.mom(r, "total_spend", ["platform"], over=STATES),
+    "T2_from_rollup": lambda r: trends.yoy(r, "hook_rate", ["platform"], over=STATES),
+    "T3_from_rollup": lambda r: trends.quarter_trend(r, over=STATES),
+    "T4_from_rollup": lambda r: trends.decline_streak(r, over=STATES),
+    "T5_from_rollup": lambda r: trends.breakeven_crossing(r, over=STATES),
+}.items():
+    on_rollup(_name, _kpi)
+
+
+def _merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of two snapshots from their stored profiles: the exact figures."""
+    raw, path = bound.raw(spark, sf_dir), shared_path(spark, "snapshots")
+    for version, part in enumerate((raw.filter("day(date) <= 15"), raw.filter("day(date) > 15")), 1):
+        profile.store(part, path, version)
+    return profile.read(profile.merged(spark, path)).select("column", "rows", "filled_rows", "min_value", "max_value")
+
+
+register("C1_merged_profile", _merged_profile)
+
 # --- scalar functions ----------------------------------------------------
 
 on_facts(

@@ -7,6 +7,8 @@ that equals a threshold compares as equal; a mean taken as a double may miss it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -47,8 +49,11 @@ def mean(value: Column | str) -> Column:
     rounds once before ``rnd`` rounds again.
     """
     column = as_column(value)
-    total = F.sum(column).cast("decimal(28,10)")
-    return total / F.nullif(F.count(column), F.lit(0)).cast("decimal(18,0)")
+    return _quotient(F.sum(column), F.count(column))
+
+
+def _quotient(total: Column, filled: Column) -> Column:
+    return total.cast("decimal(28,10)") / F.nullif(filled, F.lit(0)).cast("decimal(18,0)")
 
 
 def money_ratio(numerator: Column | str, denominator: Column | str) -> Column:
@@ -70,3 +75,26 @@ def sum_to(value: Column | str, digits: int = 2) -> Column:
 def sum_where(condition: Column, value: Column | str) -> Column:
     """Sum over the rows where ``condition`` holds; the others count as zero."""
     return F.sum(F.when(condition, as_column(value)).otherwise(F.lit(0)))
+
+
+@dataclass(frozen=True)
+class Figures:
+    """How the rows, sums and filled values of a group are taken; means and rounded sums follow from them."""
+
+    rows: Callable[[], Column]
+    total: Callable[[str], Column]
+    filled: Callable[[str], Column]
+
+    def mean(self, name: str) -> Column:
+        return _quotient(self.total(name), self.filled(name))
+
+    def mean_to(self, name: str, digits: int) -> Column:
+        return rnd(self.mean(name), digits)
+
+    def sum_to(self, name: str, digits: int = 2) -> Column:
+        return F.round(self.total(name), digits)
+
+
+#: Over campaign rows, and over stored states of them (``rows``, ``<name>_sum``, ``<name>_filled``).
+ROWS = Figures(lambda: F.count("*"), F.sum, F.count)
+STATES = Figures(lambda: F.sum("rows"), lambda name: F.sum(f"{name}_sum"), lambda name: F.sum(f"{name}_filled"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders
@@ -63,13 +64,42 @@ def profile_categories(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS)
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULLs and their share for every column, in one pass."""
     names = list(columns or df.columns)
-    counted = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names])
-    long_form = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in names])
-    return counted.select("_rows", F.inline(long_form)).select(
-        "column", "nulls", rnd(sdiv("nulls", "_rows"), 6).alias("null_share")
+    flags = [F.col(c).isNull().cast("int") for c in names]
+    counted = _state_counts(df, names, flags)
+    whole = F.sum("_n").over(Window.partitionBy("column"))
+    return (
+        counted.withColumn("_rows", whole)
+        .groupBy("column")
+        .agg(F.coalesce(F.sum(F.when(F.col("_state") == 1, F.col("_n"))), F.lit(0)).alias("nulls"), F.max("_rows").alias("_rows"))
+        .select("column", "nulls", rnd(sdiv("nulls", "_rows"), 6).alias("null_share"))
     )
 
 
+def _state_counts(df: DataFrame, names: Sequence[str], states: Sequence[Column]) -> DataFrame:
+    """(column, _state, _n): how many rows are in each state (0, 1 or 2) of each named expression.
+
+    Each row is reduced to a few longs of two bits an expression, and rows are
+    counted by these, so that the wide row is left behind by the first
+    aggregate. At least one row per name comes back, for an empty ``df`` with no rows in it.
+    """
+    at_once = 31
+    masks = {}
+    for start in range(0, len(states), at_once):
+        bits = [F.shiftleft(s.cast("long"), 2 * i) for i, s in enumerate(states[start : start + at_once])]
+        masks[f"_mask{start // at_once}"] = reduce(Column.bitwiseOR, bits)
+    counted = df.select(*[m.alias(n) for n, m in masks.items()]).groupBy(*masks).agg(F.count("*").alias("_n"))
+    none = df.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(m) for m in masks], F.lit(0).cast("long").alias("_n"))
+    parts = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.shiftrightunsigned(f"_mask{i // at_once}", 2 * (i % at_once)).bitwiseAND(F.lit(3)).alias("_state"),
+            F.col("_n"),
+        )
+        for i, name in enumerate(names)
+    ]
+    return counted.unionByName(none).select(F.inline(F.array(*parts))).groupBy("column", "_state").agg(F.sum("_n").alias("_n"))
+
+
 def unexpected_nulls(
     df: DataFrame, expected: Iterable[str] = ("hook_rate", "completion_rate", "cpa")
 ) -> DataFrame:
@@ -110,6 +140,45 @@ def strip_suffix(df: DataFrame, column: str = "campaign_name", stacked: bool = F
     return df.withColumn(column, without_suffix(column, stacked=stacked))
 
 
+def spelling_proposals(df: DataFrame, column: str, mapping: Mapping[str, str], max_distance: int = 2) -> DataFrame:
+    """For each value that ``standardise`` leaves alone, the canonical spellings nearest to it.
+
+    Columns: ``unmapped_value``, ``rows``, ``proposal``, ``distance`` and ``ties``,
+    the number of canonical values at that distance, each in a row of its own.
+    A value with none within ``max_distance`` edits has one row without proposal.
+    Edits are letters put in, left out or replaced; two neighbours swapped, and
+    nothing else, are one edit. Case and outer white space don't count.
+
+    The table is only reduced to its distinct values. These meet canonical ones
+    of about their length that share one of the first two letters; a value with
+    both first letters wrong finds nothing.
+    """
+    values = unmapped(df, column, mapping).withColumn("_v", F.col("unmapped_value"))
+    known = df.sparkSession.createDataFrame([(c, c.lower()) for c in sorted(set(mapping.values()))], "proposal string, _c string")
+
+    def first_letters(name: str) -> Column:
+        return F.explode(F.array_distinct(F.array(F.substring(name, 1, 1), F.substring(name, 2, 1)))).alias("_letter")
+
+    lengths = F.explode(F.sequence(F.length("_v") - max_distance, F.length("_v") + max_distance)).alias("_length")
+    blocks = values.select("_v", lengths).select("_v", "_length", first_letters("_v"))
+    met = blocks.join(known.select("proposal", "_c", F.length("_c").alias("_length"), first_letters("_c")), ["_length", "_letter"])
+    swapped = F.exists(
+        F.sequence(F.lit(1), F.greatest(F.length("_v") - 1, F.lit(1))),
+        lambda i: F.concat(
+            F.substring("_v", F.lit(1), i - 1), F.substring("_v", i + 1, F.lit(1)), F.substring("_v", i, F.lit(1)),
+            F.substring("_v", i + 2, F.length("_v")),
+        ) == F.col("_c"),
+    )
+    distance = F.when(swapped, 1).otherwise(F.levenshtein("_v", "_c"))
+    near = met.select("_v", "proposal", distance.alias("distance")).distinct().filter(F.col("distance") <= max_distance)
+    order = Window.partitionBy("_v")
+    best = near.withColumn("_least", F.min("distance").over(order)).filter(F.col("distance") == F.col("_least"))
+    best = best.withColumn("ties", F.count("*").over(order)).drop("_least")
+    return values.join(best, "_v", "left").select(
+        "unmapped_value", "rows", "proposal", "distance", F.coalesce("ties", F.lit(0).cast("long")).alias("ties")
+    )
+
+
 # --- missing values ------------------------------------------------------
 
 
@@ -165,17 +234,16 @@ def default_rules(max_roas: float = 10) -> dict[str, Column]:
 def validate(df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
     """Broken and unchecked (NULL) rows per rule, in one pass."""
     rules = dict(rules or default_rules())
-    results = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("rule"),
-                F.count_if(~holds).alias("broken_rows"),
-                F.count_if(holds.isNull()).alias("unchecked_rows"),
-            )
-            for name, holds in rules.items()
-        ]
+    # 0: holds, 1: broken, 2: not to be told.
+    states = [F.coalesce((~holds).cast("int"), F.lit(2)) for holds in rules.values()]
+    counted = _state_counts(df, list(rules), states)
+
+    def rows_in(state: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_state") == state, F.col("_n"))), F.lit(0))
+
+    return counted.groupBy(F.col("column").alias("rule")).agg(
+        rows_in(1).alias("broken_rows"), rows_in(2).alias("unchecked_rows")
     )
-    return df.agg(results.alias("r")).select(F.inline("r"))
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:

@@ -76,18 +76,22 @@ def products_dim(flat: DataFrame) -> DataFrame:
     return grouped.select("product", *[settled(c) for c in figures])
 
 
-def assign_ids(df: DataFrame, id_column: str, prefix: str, order_by: Sequence[str], width: int = 6) -> DataFrame:
+def assign_ids(
+    df: DataFrame, id_column: str, prefix: str, order_by: Sequence[str], width: int = 6, after: int = 0
+) -> DataFrame:
     """Consecutive ids such as ``P000001`` in the order of ``order_by``.
 
     The rows are sorted across all tasks and written once with their place
     inside their partition; the size of each partition then gives where its
-    numbers start. Rows equal in ``order_by`` are told apart by all their other
-    columns, so a value shared by many rows is spread over several partitions.
-    Numbers of more than ``width`` digits are written in full. The written rows
-    stay in the shared folder, which the owner of the folder cleans.
+    numbers start. Rows equal in ``order_by`` are told apart by a hash of all
+    their other columns, so a value shared by many rows is spread over several
+    partitions. Numbers of more than ``width`` digits are written in full, and
+    the first is the one that follows ``after``. The input is read twice, to
+    sample the order and to write. The written rows stay in the shared folder,
+    which the owner of the folder cleans.
     """
     rest = [c for c in df.columns if c not in order_by]
-    ordered = df.orderBy(*order_by, *rest)
+    ordered = df.orderBy(*order_by, *([F.xxhash64(*rest)] if rest else []))
     placed = write_through(ordered.withColumn("_slot", F.monotonically_increasing_id()), "ids")
     part = F.shiftright("_slot", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
@@ -95,7 +99,7 @@ def assign_ids(df: DataFrame, id_column: str, prefix: str, order_by: Sequence[st
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     # One row per partition of the sort, so never more than the number of shuffle partitions.
     numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    number = F.col("_start") + F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    number = F.col("_start") + F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)) + (after + 1)
     return numbered.select(F.format_string(f"{prefix}%0{width}d", number).alias(id_column), *df.columns)
 
 
@@ -184,6 +188,27 @@ def view_fanout(star: Star) -> DataFrame:
     return per_id.select("row_id", times.alias("cnt")).filter(F.col("cnt") > 1)
 
 
+def master_rows(star: Star) -> DataFrame:
+    """Number of rows that a master view has, as ``row_count``, without building the view.
+
+    A joined ``row_id`` counts as often as the product of its rows in the three
+    tables, parents without their product or date left out. The dimensions have
+    one row per key.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("row_id").agg(F.count("*").alias(name))
+
+    parents = star.creative.join(star.products.select("product"), "product").join(star.dates.select("date"), "date")
+    per_id = (
+        counted(parents, "_parents")
+        .join(counted(star.performance, "_performance"), "row_id")
+        .join(counted(star.revenue, "_revenue"), "row_id")
+    )
+    times = F.col("_parents") * F.col("_performance") * F.col("_revenue")
+    return per_id.agg(F.coalesce(F.sum(times), F.lit(0)).alias("row_count"))
+
+
 def keep_first(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row per ``key``: the one with the smallest ``by``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean, mean_to, rnd, sdiv
+from ..functions.numeric import ROWS, Figures, rnd, sdiv
 from .kpis import MEASURES
 
 
@@ -20,7 +20,7 @@ def _change_columns(previous: Column, digits: int) -> list[Column]:
     ]
 
 
-def mom(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
+def mom(df: DataFrame, measure: str, by: Sequence[str] = (), over: Figures = ROWS) -> DataFrame:
     """T1. A measure month by month with the change to the month before.
 
     Every month between a group's first and last has a row. A month without
@@ -28,7 +28,7 @@ def mom(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
     whose predecessor is zero a percentage.
     """
     month = F.trunc("date", "month").alias("month")
-    per_month = df.groupBy(*by, month).agg(MEASURES[measure]().alias("value"))
+    per_month = df.groupBy(*by, month).agg(MEASURES[measure](over).alias("value"))
     order = Window.partitionBy(*by).orderBy("month")
     following = F.coalesce(F.lead("month").over(order), F.add_months("month", 1))
     spine = per_month.withColumn("_until", F.add_months(following, -1)).select(
@@ -43,29 +43,29 @@ def mom(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
     ).orderBy(*by, "year_month")
 
 
-def yoy(df: DataFrame, measure: str, by: Sequence[str] = ()) -> DataFrame:
+def yoy(df: DataFrame, measure: str, by: Sequence[str] = (), over: Figures = ROWS) -> DataFrame:
     """T2. A measure year by year with the change to the year before, if there is one."""
-    per_year = df.groupBy(*by, "year").agg(MEASURES[measure]().alias("value"))
+    per_year = df.groupBy(*by, "year").agg(MEASURES[measure](over).alias("value"))
     order = Window.partitionBy(*by).orderBy("year")
     adjacent = F.lag("year").over(order) == F.col("year") - 1
     previous = F.when(adjacent, F.lag("value").over(order))
     return per_year.select(*by, "year", "value", *_change_columns(previous, 4)).orderBy(*by, "year")
 
 
-def _quarters(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def _quarters(df: DataFrame, by: Sequence[str], over: Figures) -> DataFrame:
     return df.groupBy(*by, "year", "quarter", "year_quarter").agg(
-        mean_to("roas", 2).alias("avg_roas"),
-        mean_to("breakeven_roas", 2).alias("avg_breakeven"),
-        rnd(mean("roas") - mean("breakeven_roas"), 2).alias("gap"),
-        (mean("roas") < mean("breakeven_roas")).alias("below"),
+        over.mean_to("roas", 2).alias("avg_roas"),
+        over.mean_to("breakeven_roas", 2).alias("avg_breakeven"),
+        rnd(over.mean("roas") - over.mean("breakeven_roas"), 2).alias("gap"),
+        (over.mean("roas") < over.mean("breakeven_roas")).alias("below"),
     )
 
 
-def quarter_trend(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFrame:
+def quarter_trend(df: DataFrame, by: Sequence[str] = ("platform",), over: Figures = ROWS) -> DataFrame:
     """T3. Quarterly ROAS against breakeven, with the step to the quarter before."""
     previous = F.lag("avg_roas").over(Window.partitionBy(*by).orderBy("year", "quarter"))
     return (
-        _quarters(df, by)
+        _quarters(df, by, over)
         .select(
             *by,
             "year_quarter",
@@ -78,7 +78,7 @@ def quarter_trend(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFrame
     )
 
 
-def decline_streak(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFrame:
+def decline_streak(df: DataFrame, by: Sequence[str] = ("platform",), over: Figures = ROWS) -> DataFrame:
     """T4. Longest run of quarters that each fell below the one before.
 
     ``declines`` counts the falls and ``quarters`` the quarters of the run, its
@@ -87,7 +87,7 @@ def decline_streak(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFram
     """
     order = Window.partitionBy(*by).orderBy("year", "quarter")
     fell = F.coalesce(F.col("avg_roas") < F.lag("avg_roas").over(order), F.lit(False))
-    marked = _quarters(df, by).withColumn("_fell", fell)
+    marked = _quarters(df, by, over).withColumn("_fell", fell)
     runs = marked.withColumn("_run", F.sum(F.when(F.col("_fell"), 0).otherwise(1)).over(order))
     lengths = runs.groupBy(*by, "_run").agg(
         F.count_if("_fell").alias("declines"),
@@ -111,11 +111,11 @@ def decline_streak(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFram
     )
 
 
-def breakeven_crossing(df: DataFrame, by: Sequence[str] = ("platform",)) -> DataFrame:
+def breakeven_crossing(df: DataFrame, by: Sequence[str] = ("platform",), over: Figures = ROWS) -> DataFrame:
     """T5. First quarter with mean ROAS below mean breakeven; NULL if it never is."""
     under = F.when(F.col("below"), F.col("year_quarter"))
     return (
-        _quarters(df, by)
+        _quarters(df, by, over)
         .groupBy(*by)
         .agg(
             F.min(under).alias("first_quarter_below"),

@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         # Campaign rows are wide: past 8000 bytecodes a method the JVM compiles no more,
         # and Spark should use its split projections instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Sorted buckets with one file each need no sort before a merge join.
+        .config("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -32,9 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+#: Paths handed out under the shared folder, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, unused path under the shared folder; ``drop_stored`` removes what lies there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove all that this session's queries stored in the shared folder; give the number of paths.
+
+    Results of queries may still read what they stored: call it once they have
+    been used. A later query stores anew what it needs.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove_path(spark, path)
+    return len(paths)
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:
@@ -46,3 +66,25 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    system, found = _located(spark, path)
+    system.delete(found, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in ``path``; none if it is not there."""
+    system, found = _located(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(found)) if system.exists(found) else []

@@ -58,7 +58,7 @@ def _ratio(name: str, top: str, bottom: str) -> str:
 # stands for the column ``tag``, which the messy layer explodes into copies. Both
 # join sides grow with the data, so neither is ever broadcast; the narrow rows are
 # shuffled before the figures are computed, and adaptive execution splits an order
-# that holds very many lines.
+# that holds very many lines. ARRANGED stands for a hint that lays them by quarter.
 _FIGURES = f"""
 with lines as (
   select TAGS, l_orderkey as ok, cast(l_linenumber as bigint) as ln, l_partkey as pk, l_suppkey as sk,
@@ -68,11 +68,15 @@ with lines as (
 ), dated as (
   select o_orderkey, cast(o_orderdate as date) as dt, cast(substr(o_orderpriority, 1, 1) as int) as pr
   from {{orders}}
+), joined as (
+  select /*+ merge(dated) */ *, year(dt) as yr, quarter(dt) as qt from lines join dated on ok = o_orderkey
+), arranged as (
+  select ARRANGED * from joined
 ), base as (
-  select /*+ merge(dated) */ *, pk % 8 as pi, sk % 4 as pf, 2000 + q * 1000 + (pk % 97) * 10 as impressions,
+  select *, pk % 8 as pi, sk % 4 as pf, 2000 + q * 1000 + (pk % 97) * 10 as impressions,
          100 + (ok * 7 + pk) % 500 as fr, 5 + (pk * 3 + ok) % 96 as ft, (pk * 5 + ok) % 53 = 0 as masked,
-         if(quarter(dt) = 4, 12000L, 6000L) as fixed_c
-  from lines join dated on ok = o_orderkey
+         if(qt = 4, 12000L, 6000L) as fixed_c
+  from arranged
 ), rates as (
   select *, {_nth(CPM_CENTS, 'pf')} + tx * 10 as cpm_c, {_nth(CLICK_RATES, 'pf')} + (pk % 7) * 15 as click_rate,
          {_nth(PURCHASE_RATES, 'pf')} + (sk % 5) * 20 - ft * 2 as purchase_rate, 2600 - ft * 15 + (pk % 11) * 30 as hf,
@@ -165,8 +169,8 @@ def _name(item: str) -> str:
     return item.rsplit(" ", 1)[-1]
 
 
-def _select(spark: SparkSession, sf_dir: str, tags: str, columns: Sequence[str]) -> DataFrame:
-    figures = _FIGURES.replace("TAGS", tags)
+def _select(spark: SparkSession, sf_dir: str, tags: str, columns: Sequence[str], by_quarter: bool = False) -> DataFrame:
+    figures = _FIGURES.replace("TAGS", tags).replace("ARRANGED", "/*+ rebalance(yr, qt) */" if by_quarter else "")
     return spark.sql(
         f"{figures}\nselect {', '.join(columns)}\nfrom figures",
         lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
@@ -174,18 +178,22 @@ def _select(spark: SparkSession, sf_dir: str, tags: str, columns: Sequence[str])
     )
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean flat table: 38 raw plus 6 calculated columns."""
-    return _select(spark, sf_dir, _ONE_COPY, _TYPED).select(
+def flat(spark: SparkSession, sf_dir: str, by_quarter: bool = False) -> DataFrame:
+    """The clean flat table: 38 raw plus 6 calculated columns.
+
+    ``by_quarter`` lays the rows of a quarter together, at the cost of a shuffle
+    of the narrow rows from which the figures are computed.
+    """
+    return _select(spark, sf_dir, _ONE_COPY, _TYPED, by_quarter).select(
         "*",
         *ladders.fatigue_status("fatigue_score").columns("fatigue_status"),
         *ladders.performance_category("roas", "breakeven_roas").columns("performance_category"),
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, by_quarter: bool = False) -> DataFrame:
     """Flat table with the calendar attributes of ``date``: the input of every question."""
-    return flat(spark, sf_dir).select("*", *calendar("date"))
+    return flat(spark, sf_dir, by_quarter).select("*", *calendar("date"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

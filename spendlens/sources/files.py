@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digests import hash_sums
 from ..schemas import RAW
+from ..session import path_exists, remove_path
 
 CORRUPT_COLUMN = "_bad"
+#: Folder of the partition digests inside a published data set; Spark's readers skip names that begin so.
+DIGESTS = "_digests"
 
 
 def load_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -47,15 +55,104 @@ def snapshot(df: DataFrame, path: str, version: int) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
-def publish_master(df: DataFrame, path: str, by: tuple[str, ...] = ("year", "quarter")) -> DataFrame:
-    """Write the curated data set partitioned by the slicer columns.
+def store_in_buckets(df: DataFrame, path: str, key: str, buckets: int | None = None) -> str:
+    """Write ``df`` to ``path`` in hash buckets of ``key``, each one sorted file; give the name of the table.
+
+    The table is known to this session's catalog. Tables, or columns of one, in
+    as many buckets join on ``key`` where they lie. ``buckets`` is the number of
+    shuffle partitions if not given: the one shuffle that every later join saves.
+    """
+    spark, name = df.sparkSession, f"stored_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    rows.option("path", path).format("parquet").saveAsTable(name)
+    return name
+
+
+def read_master(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The published data set, with the columns and types of ``schema``."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def publish_master(
+    df: DataFrame, path: str, by: tuple[str, ...] = ("year", "quarter"), rebalance: bool = True
+) -> DataFrame:
+    """Write the curated data set partitioned by the slicer columns; fails if there is one.
 
     The rebalance hint lets Spark join small outputs and split a quarter that
-    holds most of the rows over several tasks and files.
+    holds most of the rows over several tasks and files. Without ``rebalance``
+    the rows are written where they lie, for input that is arranged already.
+    """
+    rows = df.hint("rebalance", *by) if rebalance else df
+    rows.write.mode("errorifexists").partitionBy(*by).parquet(path)
+    return read_master(df.sparkSession, path, df.schema)
+
+
+def partition_digests(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per value of ``by``: row count and two sums of row hashes, which don't depend on the order.
+
+    The hashes cover the names and types of the columns too, so that another
+    shape of the same figures is another content.
+    """
+    columns = sorted(c for c in df.columns if c not in by)
+    shape = F.lit(df.select(*columns).schema.simpleString())
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *hash_sums(columns, shape))
+
+
+def changed_partitions(df: DataFrame, path: str, by: Sequence[str]) -> tuple[list[tuple], list[tuple]]:
+    """Values of ``by`` whose stored content differs from ``df``, and those that ``df`` no longer has.
+
+    Reads the digests that the last refresh left, or the stored rows where there are none.
+    """
+    spark, known = df.sparkSession, f"{path}/{DIGESTS}"
+    if path_exists(spark, known):
+        stored = spark.read.parquet(known)
+    else:
+        stored = partition_digests(read_master(spark, path, df.schema), by)
+    # One row per partition folder, as many as the driver lists to read the data set.
+    names = [*by, "rows", "digest_a", "digest_b"]
+    now, before = (
+        {tuple(r[: len(by)]): tuple(r[len(by) :]) for r in side.select(*names).toLocalIterator()}
+        for side in (partition_digests(df, by), stored)
+    )
+    return [k for k in now if now[k] != before.get(k)], [k for k in before if k not in now]
+
+
+def refresh_master(df: DataFrame, path: str, by: tuple[str, ...] = ("year", "quarter")) -> DataFrame:
+    """Bring the published data set to the content of ``df``, rewriting only partitions that differ.
+
+    Partitions of equal content keep their files, so their readers see nothing
+    of it; those that ``df`` lacks go. The first call publishes. ``df`` is read
+    twice, for its digests and for what changed.
+
+    The digests kept beside the data go first and come back last: a refresh that
+    is cut off leaves none, and the next one compares the stored rows instead.
     """
-    df.hint("rebalance", *by).write.mode("errorifexists").partitionBy(*by).parquet(path)
-    stored = df.sparkSession.read.parquet(path)
-    return stored.select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
+    spark = df.sparkSession
+    if not path_exists(spark, path):
+        return publish_master(df, path, by)
+    changed, gone = changed_partitions(df, path, by)
+    if changed or gone:
+        remove_path(spark, f"{path}/{DIGESTS}")
+    if changed:
+        rows = df.filter(reduce(Column.__or__, [_at(by, values) for values in changed])).hint("rebalance", *by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for values in gone:
+        remove_path(spark, f"{path}/{_folder(spark, by, values)}")
+    published = read_master(spark, path, df.schema)
+    if not path_exists(spark, f"{path}/{DIGESTS}"):
+        partition_digests(df, by).write.mode("overwrite").parquet(f"{path}/{DIGESTS}")
+    return published
+
+
+def _at(by: Sequence[str], values: Sequence) -> Column:
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, values)])
+
+
+def _folder(spark: SparkSession, by: Sequence[str], values: Sequence) -> str:
+    """Folder of a partition, named as Spark's writer names it."""
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join(named(c, None if v is None else str(v)) for c, v in zip(by, values))
 
 
 def preview(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
