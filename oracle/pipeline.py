@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .prelude import CALCULATED_LIST, DECIMALS, RAW_LIST, calendar, on_facts, on_raw, plain, ratio, rnd
-from .questions import _TRAPS, _TRAP_DOUBLES, advice_label, scale_label, share
+from .questions import _TRAPS, _TRAP_DOUBLES, advice_label, profit_label, scale_label, share
 
 _CALENDAR_NAMES = [
     "day_of_week", "week_number", "month_number", "month_name", "quarter", "quarter_label", "year", "year_quarter",
@@ -132,7 +132,7 @@ _COMBINATION = (
     "hook_type || ' | ' || creative_angle || ' | ' || copy_tone || ' | ' || ad_format || ' | ' || "
     "CASE has_ugc WHEN 1 THEN 'UGC' ELSE 'Non UGC' END"
 )
-_PROFIT_STATUS = "CASE sign(net_profit) WHEN 1 THEN 'Profitable' WHEN 0 THEN 'Break-Even' ELSE 'Loss' END"
+_PROFIT_STATUS = profit_label("net_profit")
 _ADVICE = advice_label("net_profit", "roas", "breakeven_roas", "fatigue_score")
 _LEAKS = {
     "discount_leakage_pct": share("discount_amount", "gross_revenue"),
@@ -141,7 +141,7 @@ _LEAKS = {
 }
 _LEAK_LIST = ", ".join(f"{e} AS {n}" for n, e in _LEAKS.items())
 _GAP = "round(roas - breakeven_roas, 2)"
-_FATIGUE = "CASE WHEN fatigue_score >= 7 THEN 'High Fatigue' WHEN fatigue_score >= 4 THEN 'Medium Fatigue' ELSE 'Low Fatigue' END"
+_FATIGUE = "CASE WHEN fatigue_score < 4 THEN 'Low Fatigue' WHEN fatigue_score < 7 THEN 'Medium Fatigue' ELSE 'High Fatigue' END"
 
 
 def _calculated(name: str, formula: str) -> str:

@@ -25,22 +25,27 @@ def share(top: str, bottom: str, digits: int = 2) -> str:
     return rnd(f"{ratio(top, bottom)} * 100", digits)
 
 
+# The conditions of the three published ladders, in their published order.
 def scale_label(roas: str, breakeven: str, status: str) -> str:
     return (
-        f"CASE {status} WHEN 'Low Fatigue' THEN if({roas} >= {breakeven}, 'Scale', if({roas} < {breakeven}, "
-        f"'Optimise', 'Kill')) WHEN 'Medium Fatigue' THEN if({roas} >= {breakeven}, 'Monitor', 'Kill') "
-        "ELSE 'Kill' END"
+        f"CASE WHEN {roas} >= {breakeven} AND {status} = 'Low Fatigue' THEN 'Scale' "
+        f"WHEN {roas} >= {breakeven} AND {status} = 'Medium Fatigue' THEN 'Monitor' "
+        f"WHEN {roas} < {breakeven} AND {status} = 'Low Fatigue' THEN 'Optimise' ELSE 'Kill' END"
     )
 
 
 def advice_label(profit: str, roas: str, breakeven: str, fatigue: str, worn: str = "5") -> str:
     return (
-        f"CASE WHEN {profit} > 0 AND {fatigue} >= {worn} THEN 'Maintain' "
-        f"WHEN {profit} > 0 AND {fatigue} < {worn} AND {roas} >= {breakeven} * 1.2 THEN 'Double Down' "
+        f"CASE WHEN {profit} > 0 AND {roas} >= {breakeven} * 1.2 AND {fatigue} < {worn} THEN 'Double Down' "
+        f"WHEN {profit} > 0 AND {fatigue} >= {worn} THEN 'Maintain' "
         f"WHEN {profit} <= 0 AND {roas} >= {breakeven} * 0.9 THEN 'Optimise' ELSE 'Deprioritise' END"
     )
 
 
+def profit_label(profit: str) -> str:
+    return f"CASE WHEN {profit} > 0 THEN 'Profitable' WHEN {profit} = 0 THEN 'Break-Even' ELSE 'Loss' END"
+
+
 N = "count(*)"
 PAIR = {"avg_roas": mean("roas", 2), "avg_breakeven": mean("breakeven_roas", 2)}
 SPEND = {"total_spend": total("spend")}
@@ -381,8 +386,7 @@ QUESTIONS: dict[str, str] = {
                 "total_fixed_costs": total("fixed_cost_allocation"),
                 "total_net_profit": total("net_profit"),
                 "net_profit_margin_pct": share("sum(net_profit)", "sum(net_revenue)"),
-                "profit_status": "CASE sign(sum(net_profit)) WHEN 1 THEN 'Profitable' WHEN 0 THEN 'Break-Even' "
-                "ELSE 'Loss' END",
+                "profit_status": profit_label("sum(net_profit)"),
             },
         ),
         "total_gross_revenue total_deductions total_net_revenue total_contribution_margin total_fixed_costs "
