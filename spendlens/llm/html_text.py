@@ -58,8 +58,8 @@ _TITLE_NAMES, _BOX_NAMES = {"header", "masthead", "banner", "overlay"}, {"widget
 _FRAME_TAGS, _FRAME_ROLES = {"form", "header"}, {"form", "banner"}
 #: First and last words of names that tell what a frame holds, not what it is: has-sidebar, comments-open.
 _STATE_FIRST, _STATE_LAST = {"no", "not", "has", "have", "with", "without"}, {"open", "closed", "enabled", "disabled", "on", "off"}
-#: Shares of the text outside links from which a name, and one of comments, isn't that of an aside.
-_LARGE, _LARGE_COMMENTS = 0.4, 0.75
+#: Characters of its own outside links from which a block without p counts as a paragraph.
+_PARAGRAPH = 80
 
 
 class Node:
@@ -205,64 +205,90 @@ def _weigh(order: list[Node]) -> None:
 def prune(root: Node) -> None:
     """Drop asides, in place.
 
-    Tags, roles and names only weigh against an element. None is dropped that
-    holds a main, a h1 or an article of half the largest one's text, but for
-    a h1 that a menu, sidebar or footer inside an article or main has, or that
-    links from a page's header. A name says nothing where the elements that bear it hold
-    a large share of the text outside links of their article, main or page (of a page
-    only where articles and mains hold less than a quarter); no more does the
-    tag of a form or header that holds such a share itself. Inside an article or
-    main, 'header' and the like say nothing of an element with a heading, and
-    'widget' only of one that is mostly links.
+    A tag, role or name says that an element is an aside, however much text it
+    has; only the structure of the page can say otherwise. An element stays that
+    holds a main, a h1 or an article of half the largest one's text, but for a h1
+    that a menu, sidebar or footer inside an article or main has, or that links
+    from a page's header. And names are void where nothing else has text: each
+    article, main and the page around them is taken by itself, and while it has
+    no paragraph, h1 or article outside what would go, the name whose elements hold
+    most text outside links is ignored, those of comments last. The same goes for the
+    tag of each form and page header, never for those of menus, footers and sidebars.
+    Inside an article or main, 'header' and the like say nothing of an element with
+    a heading, and 'widget' only of one that is mostly links.
     """
     order = list(root.walk())
     for node in order:
         _mark(node)
     _weigh(order)
-    shares: dict[tuple[int, str], int] = {}
-    told = 0
-    stack = [(root, root, frozenset())]
+    scopes = [root]
+    while scopes:
+        scope, void = scopes.pop(), set()
+        while True:
+            gone, words, inner, told = _sorted_out(scope, root, void)
+            if told or not words:
+                break
+            void.add(max(sorted(words), key=lambda w: (w not in _COMMENT_NAMES, words[w])))
+        for parent, asides in gone:
+            parent.items = [x for x in parent.items if isinstance(x, str) or id(x) not in asides]
+        scopes += inner
+
+
+def _sorted_out(scope: Node, root: Node, void: set[str]):
+    """What would go from ``scope`` if the names in ``void`` say nothing.
+
+    Asides by parent; free characters of those that only names tell, by name; the
+    articles and mains inside; and whether a paragraph, h1 or article stays.
+    """
+    gone: list[tuple[Node, set[int]]] = []
+    words: dict[str, int] = {}
+    inner: list[Node] = []
+    told = False
+    stack = [scope]
     while stack:
-        node, scope, seen = stack.pop()
-        for word in node.names - seen:
-            shares[id(scope), word] = shares.get((id(scope), word), 0) + node.free
-        inner = node if node.tag in _BODIES and not node.names else scope
-        told += node.free if scope is root and inner is not root else 0
-        seen = frozenset() if inner is not scope else seen | node.names
-        stack.extend((x, inner, seen) for x in node.children() if x.kind != "hidden")
-
-    # Beside an article or main that tells the page's text, the rest has to pass for what it is called.
-    shared = 4 * told < root.free
-
-    def is_aside(node: Node, scope: Node) -> bool:
-        if node.kind == "hidden":
-            return True
-        weighed = scope is not root or shared
-        alone = node.tag == "article" and not root.article
-        large = lambda w: scope.free * (_LARGE_COMMENTS if w in _COMMENT_NAMES and not alone else _LARGE)
-        names = {w for w in node.names if not weighed or shares[id(scope), w] < max(1, large(w))}
-        if scope is not root:
-            if node.tag == "header" or "heading" in node.holds:
-                names -= _TITLE_NAMES
-            if 2 * node.free > node.chars:
-                names -= _BOX_NAMES
-        if node.tag == "header" and scope is not root:
-            tagged = False
-        else:
-            tagged = node.kind == "aside" or node.kind == "frame" and not (weighed and node.free >= max(1, scope.free * _LARGE))
-        if not (tagged or names) or "main" in node.holds or node.article and 2 * node.article >= root.article:
-            return False
-        if node.kind == "aside" and scope is not root:
-            return True
-        return not ("title" if node.tag == "header" and scope is root else "h1") in node.holds
-
-    todo = [(root, root)]
-    while todo:
-        node, scope = todo.pop()
-        if node.tag in _BODIES and not node.names:
-            scope = node
-        node.items = [x for x in node.items if isinstance(x, str) or not is_aside(x, scope)]
-        todo.extend((x, scope) for x in node.children())
+        node, asides = stack.pop(), set()
+        for x in node.children():
+            names = _aside_words(x, scope is root, root, void)
+            if names is not None:
+                asides.add(id(x))
+                for w in names:
+                    words[w] = words.get(w, 0) + x.free
+            elif x.tag in _BODIES and not x.names:
+                inner.append(x)
+                told = told or x.free > 0
+            else:
+                told = told or x.free > 0 and (x.tag in ("p", "h1") or x.tag in _BLOCK and _own_chars(x) >= _PARAGRAPH)
+                stack.append(x)
+        if asides:
+            gone.append((node, asides))
+    return gone, words, inner, told or _own_chars(scope) >= _PARAGRAPH
+
+
+def _own_chars(node: Node) -> int:
+    return sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+
+
+def _aside_words(node: Node, at_root: bool, root: Node, void: set[str]) -> set[str] | None:
+    """None for what stays; else the names without which the element would stay (none if its tag or role alone tells)."""
+    if node.kind == "hidden":
+        return set()
+    names = set(node.names)
+    if not at_root:
+        if node.tag == "header" or "heading" in node.holds:
+            names -= _TITLE_NAMES
+        if 2 * node.free > node.chars:
+            names -= _BOX_NAMES
+    if node.kind == "frame" and (at_root or node.tag != "header"):
+        names.add(f"<{node.tag} {id(node)}>")
+    names -= void
+    firm = node.kind == "aside"
+    if not (firm or names) or "main" in node.holds or node.article and 2 * node.article >= root.article:
+        return None
+    if firm and not at_root:
+        return set()
+    if ("title" if node.tag == "header" and at_root else "h1") in node.holds:
+        return None
+    return set() if firm else names
 
 
 def measure(body: Node) -> None:

@@ -192,6 +192,87 @@ def test_asides_that_hold_articles_or_headings():
     assert html_text.main_text(PAGE.replace("Site name</a>", "Site</a><h1><a>Site name</a></h1>") % f"<main>{BODY}</main>") == WANT
 
 
+TEXT = "This paragraph number %d tells its part of the story in some seventy letters."
+LONG = lambda n, of="story": "".join(f"<p>{(TEXT % i).replace('story', of)}</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "page, told",
+    [
+        ('<article><h1>Title</h1>%s<div class="comments">%s</div></article>', 3),
+        ('<main><article><h1>Title</h1>%s</article><section id="comments">%s</section></main>', 3),
+        ('<main><article><h1>Title</h1>%s</article><ol class="comment-list"><li><article class="comment">%s</article></li></ol></main>', 3),
+        ('<div class="post"><h1>Title</h1>%s</div><div id="comments">%s</div>', 3),
+        ('<div class="post"><h1>Title</h1>%s</div><div class="sidebar">%s</div>', 4),
+        ('<article><h1>Title</h1>%s<div class="sidebar">%s</div></article>', 4),
+        ('<article><h1>Title</h1>%s<div class="newsletter-box">%s</div></article>', 2),
+        ('<div class="story"><h1>Title</h1>%s</div><div class="ad-wrapper">%s</div>', 3),
+        ('<div class="story"><h1>Title</h1>%s</div><form id="reply"><div>%s</div></form>', 3),
+        ('<div class="widget"><h1>Title</h1>%s</div><div id="disqus_thread">%s</div>', 1),
+    ],
+)
+def test_asides_go_however_long_they_are(page, told):
+    want = "\n\n".join(["Title", *(TEXT % i for i in range(told))])
+    for more in (1, told, 20):
+        assert html_text.main_text(PAGE % (page % (LONG(told), LONG(more, "other tale")))) == want
+
+
+def test_names_are_void_where_nothing_else_has_text():
+    want = "\n\n".join(TEXT % i for i in range(4))
+    for page in (
+        '<div class="widget">%s</div><div id="comments"><p>A reader says that it is a fine story, and so on and so forth.</p></div>',
+        '<form><div class="promo">%s</div><div class="related"><p>See another one</p></div></form>',
+        '<main><div class="sidebar">%s</div></main>',
+    ):
+        assert html_text.main_text(PAGE % (page % LONG(4))) == want
+
+
+def slow_figures(node, share):
+    """(characters, tags, link characters, link tags, density) by the definition, node by node."""
+    def chars(x, linked=False):
+        own = sum(len("".join(t.split())) for t in x.items if isinstance(t, str))
+        below = [y for y in x.items if not isinstance(y, str)]
+        return (0 if linked and x.tag != "a" else own) + sum(chars(y, linked and x.tag != "a") for y in below)
+
+    def tags(x, only_links=False):
+        return sum((not only_links or y.tag == "a") + tags(y, only_links) for y in x.items if not isinstance(y, str))
+
+    c, t, link, k = chars(node), tags(node), chars(node, True), tags(node, True) + (node.tag == "a")
+    if not c:
+        return c, t, link, k, 0.0
+    base = math.log(c * link / max(1, c - link) + share * c + math.e)
+    return c, t, link, k, c / max(1, t) * math.log(max(1.0, c / max(1, link) * max(1, t) / max(1, k))) / math.log(max(base, math.e**0.5) + 1e-9)
+
+
+def test_densities_equal_the_slow_form():
+    pick = random.Random(9)
+
+    def made(depth):
+        tag = pick.choice(["div", "p", "span", "a", "ul", "section"]) if depth else "body"
+        parts = [pick.choice(["", "word ", "some more words here, ", made(depth + 1) if depth < 5 else ""]) for _ in range(pick.randrange(5))]
+        return f"<{tag}>{''.join(parts)}</{tag}>"
+
+    for _ in range(60):
+        root = html_text.parse(made(0))
+        body = next((x for x in root.children() if x.tag == "body"), root)
+        html_text.measure(body)
+        c, _, link, _, _ = slow_figures(body, 0)
+        for node in body.walk():
+            assert (node.chars, node.tags, node.link_chars, node.link_tags, node.density) == pytest.approx(slow_figures(node, link / max(1, c)))
+            assert node.total == pytest.approx(sum(slow_figures(x, link / max(1, c))[-1] for x in node.children()))
+            assert node.best.total == max(x.total for x in node.walk())
+        heart, path = max(body.walk(), key=lambda x: x.total), []
+        if body.chars and heart.total > 0:
+            html_text.select(body)
+            while heart is not body:
+                path.append(heart)
+                heart = heart.parent
+            least = min(x.density for x in [*path, body])
+            for node in body.walk():
+                if node.density >= least and node.best.total > 0:
+                    assert node.best.main or any(x.main for x in node.best.walk())
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     pages = [None, "", "plain text", "<p>a<p>b", "<p", "<!-- open", "<script>x", deep, "</p></div>text", "<p title='a>b\">x</p>", "<nav>only menu</nav>"]
