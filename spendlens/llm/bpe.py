@@ -20,17 +20,23 @@ from spendlens.llm.common import slices
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pattern whose matches are the words of a text, with its class \s spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
-_GAPS = re.compile(f"[{SPACE}]+")
-_ODD_GAPS = re.compile("[\x1c-\x1f]")
-#: Entries of a worker's memory of encoded chunks, and the longest chunk it keeps.
-MEMO, MEMO_CHARS = 400_000, 48
+#: The same for texts of characters below U+0180, which NFC leaves alone, once in lower case: the classes are short there.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xbaß-öø-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+_BEYOND_LATIN = re.compile("[^\x00-\u017f]")
+#: Words that a worker remembers the ids of, and the longest word among them.
+MEMO, MEMO_CHARS = 1_000_000, 48
 
 
-def chunks(text: str) -> list[str]:
-    """Stretches of ``text`` between white space; no word of the vocabulary spans two."""
-    if _ODD_GAPS.search(text):  # str.split parts at these, White_Space does not hold them
-        return [c for c in _GAPS.split(text) if c]
-    return text.split()
+def words(text: str) -> list[str]:
+    """The words of a text without special tokens: composed, in lower case, parted.
+
+    No word spans white space. Each character is lowered by itself, so a final
+    sigma is like any other.
+    """
+    if text.isascii() or not _BEYOND_LATIN.search(text):
+        return _LATIN_WORDS.findall(text.lower())
+    return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
 def byte_symbols() -> list[str]:
@@ -45,7 +51,7 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Vocabulary, merges and special tokens of a file; encodes one chunk at a time."""
+    """Vocabulary, merges and special tokens of a file; encodes one word or text at a time."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,7 +71,7 @@ class Vocabulary:
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.merges.setdefault(ids[left] << 32 | ids[right], (rank, ids[left + right]))
 
     def word(self, word: str) -> list[int]:
         """Ids of one word: merges in order of rank, then from the left.
@@ -75,43 +81,44 @@ class Vocabulary:
         changed since is stale and skipped.
         """
         raw = word.encode("utf-8", "surrogatepass")
-        ids = [self.first[b] for b in raw]
+        first, merge = self.first, self.merges.get
+        ids = [first[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
-        n, merges = len(ids), self.merges
-        if n == 1:
+        n = len(ids)
+        # An entry is a rank and the place of its left symbol; equal ranks are the same pair.
+        shift = n.bit_length()
+        heap = [found[0] << shift | i for i in range(n - 1) if (found := merge(ids[i] << 32 | ids[i + 1]))]
+        if not heap:
             return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        place = (1 << shift) - 1
         while heap:
-            _, i, left, right, joined = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & place
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or not (found := merge(ids[i] << 32 | ids[j])) or found[0] != entry >> shift:
                 continue
+            joined = found[1]
             ids[i], ids[j] = joined, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((joined, ids[k])):
-                    heapq.heappush(heap, (found[0], i, joined, ids[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], joined))):
-                heapq.heappush(heap, (found[0], h, ids[h], joined, found[1]))
+                if found := merge(joined << 32 | ids[k]):
+                    heapq.heappush(heap, found[0] << shift | i)
+            if (h := before[i]) >= 0 and (found := merge(ids[h] << 32 | joined)):
+                heapq.heappush(heap, found[0] << shift | h)
         return [i for i in ids if i >= 0]
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a chunk: special tokens as they stand, the rest normalised, parted and merged."""
+    def text(self, text: str) -> list[int]:
+        """Ids of a text: special tokens as they stand, the rest normalised, parted and merged."""
         out = []
-        for part in self.split_special(chunk) if "<|" in chunk else (chunk,):
+        for part in self.split_special(text):
             if part in self.special:
                 out.append(self.special[part])
-                continue
-            # Each character is lowered by itself, so a final sigma is like any other.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in WORDS.findall(plain):
-                out += self.word(word)
+            else:
+                for word in words(part):
+                    out += self.word(word)
         return out
 
     def decode(self, ids) -> str:
@@ -120,48 +127,62 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Ids (little-endian unsigned 32-bit) of chunks seen before, a bounded number of them."""
+    """Ids (little-endian unsigned 32-bit) of words seen before, a bounded number of them.
+
+    Two generations: when the young one is full it becomes the old one, whose
+    words come back as they are met again. So frequent words stay, whatever
+    number of rare ones passes. ``encode_text`` gives the ids of a text with
+    special tokens, which are no words.
+    """
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode_word, encode_text):
+        self.encode_word, self.encode_text, self.old = encode_word, encode_text, {}
 
-    def __missing__(self, chunk):
-        ids = self.held(self.encode(chunk))
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+    def __missing__(self, word):
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.held(self.encode_word(word))
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[word] = ids
         return ids
 
     def held(self, ids: list[int]):
         return np.array(ids, "<u4").tobytes()
 
     def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, chunks(text or "")))
+        if text and "<|" in text:
+            return self.held(self.encode_text(text))
+        return b"".join(map(self.__getitem__, words(text or "")))
 
 
 class Counts(Memo):
-    """Number of ids of chunks seen before, as bounded."""
+    """Number of ids of words seen before, as bounded."""
 
     held = staticmethod(len)
 
     def text(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, chunks(text or "")))
+        if text and "<|" in text:
+            return len(self.encode_text(text))
+        return sum(map(self.__getitem__, words(text or "")))
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[Vocabulary, Memo]:
     vocabulary = Vocabulary(path)
-    return vocabulary, Memo(vocabulary.chunk)
+    return vocabulary, Memo(vocabulary.word, vocabulary.text)
 
 
 @lru_cache(maxsize=2)
 def _counts(path: str) -> Counts:
-    return Counts(load(path)[0].chunk)
+    vocabulary = load(path)[0]
+    return Counts(vocabulary.word, vocabulary.text)
 
 
 def n_ids(text: Column, path: str) -> Column:
-    """Number of ids of a text; none for NULL."""
+    """Number of ids of a text; 0 for NULL."""
 
     @F.pandas_udf("long")
     def counted(texts):

@@ -206,14 +206,15 @@ def decode(data: bytes) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Memo:
-    """The library's ids of chunks between white space; no word of such a vocabulary spans two."""
+    """The library's ids of words, and of whole texts where they hold special tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    memo = Memo(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    memo = Memo(ids, ids)
     memo.largest = max(tokenizer.get_vocab().values())
     return memo
 

@@ -8,51 +8,83 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted sequence lengths and the cost of each: its slots, and 64 for being a sequence at all.
+#: Permitted sequence lengths and the cost of each: 64 for being a sequence at all, its slots, and
+#: attention, which grows with the square and is as dear as the rest at 8192.
 SIZES = (512, 1024, 2048, 4096, 8192)
-COSTS = tuple(64 + size for size in SIZES)
+COSTS = tuple(64 + size + size * size / 8192 for size in SIZES)
 #: Pieces packed together; the last bins of so many pieces are all that stays unfilled.
 WINDOW = 1 << 18
 
 
-def n_words(text: Column) -> Column:
-    """Slots of a text: its words and an end mark."""
-    return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
-
-
 def best_fit(lengths: np.ndarray, sizes=SIZES, costs=COSTS) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(bin of each length, its offset there, size of each bin); lengths are 1 to the largest size.
 
     Longest first, each goes to the open bin with the least room that suffices
-    (of equals, the one changed last). If none does, the size that holds it at
-    the least cost a slot is opened, the larger of equals. In the end each bin is
-    downsized to the cheapest size that holds its contents.
+    (of equals, the one changed last). If none does, a bin is opened, of the size
+    that is cheapest a slot filled: what the lengths that still wait would fill it
+    with, longest first, counts, at the cost of the least size that holds as much;
+    of equals the larger. In the end each bin is downsized to the cheapest size
+    that holds its contents.
+
+    Every single size that holds all lengths is packed for itself too, and the
+    plan of least cost is taken, so the choice among sizes never costs more than
+    the best of them alone.
     """
-    per_slot = sorted(zip(sizes, costs), key=lambda x: (x[1] / x[0], -x[0]))
-    opened_for = [next(size for size, _ in per_slot if size >= n) for n in range(max(sizes) + 1)]
-    cheapest = [min((cost, size) for size, cost in zip(sizes, costs) if size >= n)[1] for n in range(max(sizes) + 1)]
+    order = np.argsort(-lengths, kind="stable").tolist()
+    top = max(sizes)
+    cheapest = [min((cost, size) for size, cost in zip(sizes, costs) if size >= n) for n in range(top + 1)]
+    longest = int(lengths.max(initial=0))
+    choices = [tuple(sizes), *((size,) for size in sorted(sizes) if size >= longest and len(sizes) > 1)]
+    plans = [_plan(lengths, order, choice, cheapest) for choice in choices]
+    bins, offsets, used = min(plans, key=lambda plan: sum(cheapest[n][0] for n in plan[2]))
+    return bins, offsets, [cheapest[n][1] for n in used]
+
+
+def _plan(lengths: np.ndarray, order: list[int], sizes: tuple[int, ...], cheapest: list[tuple[float, int]]):
+    """(bin of each length, its offset, slots used of each bin) with bins of ``sizes``."""
+    top = max(sizes)
+    waiting = np.bincount(lengths, minlength=top + 1).tolist()
+    some = 0  # bit n is set while a length n waits
+    for n, count in enumerate(waiting):
+        some |= (count > 0) << n
+
+    def filled(room: int) -> int:
+        """Slots that waiting lengths would take of ``room``, longest first."""
+        left, least = room, room
+        while fits := some & ((1 << (min(left, least) + 1)) - 1):
+            n = fits.bit_length() - 1
+            left -= min(waiting[n], left // n) * n
+            least = n - 1
+        return room - left
+
+    def opened_for(n: int) -> int:
+        asked = [n + filled(size - n) for size in sizes if size >= n]
+        offers = zip(asked, (size for size in sizes if size >= n))
+        return min((cheapest[held][0] / held, -size) for held, size in offers)[1] * -1
+
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     used: list[int] = []
-    room_of: list[int] = []
-    with_room: list[list[int]] = [[] for _ in range(max(sizes) + 1)]
+    with_room: list[list[int]] = [[] for _ in range(top + 1)]
     rooms = 0  # bit r is set while some bin has r slots left
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in order:
         n = int(lengths[i])
+        waiting[n] -= 1
+        if not waiting[n]:
+            some ^= 1 << n
         if enough := rooms >> n:
             room = n + (enough & -enough).bit_length() - 1
             at = with_room[room].pop()
             if not with_room[room]:
                 rooms ^= 1 << room
         else:
-            at, room = len(used), opened_for[n]
+            at, room = len(used), opened_for(n) if len(sizes) > 1 else top
             used.append(0)
-            room_of.append(0)
         bins[i], offsets[i] = at, used[at]
         used[at] += n
         if left := room - n:
             with_room[left].append(at)
             rooms |= 1 << left
-    return bins, offsets, [cheapest[n] for n in used]
+    return bins, offsets, used
 
 
 def _packer(sizes, costs, window):

@@ -90,29 +90,57 @@ def test_files_hold_ids_in_order(frame):
     assert id_coder.read_digests(id_coder.write_ids(frame([]), PATH)).count() == 0
 
 
-def slow_pack(lengths, sizes, costs):
-    """Best fit by looking at every open bin."""
-    per_slot = sorted(zip(sizes, costs), key=lambda x: (x[1] / x[0], -x[0]))
-    bins, clock = [], 0
-    for n in sorted(lengths, reverse=True):
-        clock += 1
-        fitting = [b for b in bins if b["room"] >= n]
-        if fitting:
+def least_size(n, sizes, costs):
+    return min((c, s) for s, c in zip(sizes, costs) if s >= n)
+
+
+def slow_pack(lengths, sizes, costs, choice):
+    """Best fit by looking at every open bin, sizes opened from ``choice``."""
+    waiting, bins, clock = sorted(lengths, reverse=True), [], 0
+
+    def fill(room):
+        held = 0
+        for n in waiting:
+            if n <= room - held:
+                held += n
+        return held
+
+    while waiting:
+        n, clock = waiting.pop(0), clock + 1
+        if fitting := [b for b in bins if b["room"] >= n]:
             at = min(fitting, key=lambda b: (b["room"], -b["changed"]))
         else:
-            at = {"room": next(s for s, _ in per_slot if s >= n), "held": []}
+            offers = [(least_size(n + fill(s - n), sizes, costs)[0] / (n + fill(s - n)), -s) for s in choice if s >= n]
+            at = {"room": -min(offers)[1], "held": []}
             bins.append(at)
         at["room"] -= n
         at["held"].append(n)
         at["changed"] = clock
-    return sorted((min((c, s) for s, c in zip(sizes, costs) if s >= sum(b["held"]))[1], sorted(b["held"])) for b in bins)
+    return [b["held"] for b in bins]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=80), st.sampled_from([(64, 64), (0, 1), (10, 3)]))
-def test_packing_as_brute_force(lengths, cost):
-    sizes = (10, 20, 40)
-    costs = tuple(cost[0] + cost[1] * s * (1 if cost[1] != 3 else s) for s in sizes)
+def cost_of(bins, sizes, costs):
+    return sum(least_size(sum(held), sizes, costs)[0] for held in bins)
+
+
+def exhaustive(lengths, sizes, costs):
+    """Least cost over all ways to part the lengths."""
+    best = [float("inf")]
+
+    def place(rest, bins):
+        if not rest:
+            best[0] = min(best[0], cost_of(bins, sizes, costs))
+            return
+        for k, held in enumerate(bins):
+            if sum(held) + rest[0] <= max(sizes):
+                place(rest[1:], [*bins[:k], [*held, rest[0]], *bins[k + 1 :]])
+        place(rest[1:], [*bins, [rest[0]]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best[0] if lengths else 0
+
+
+def packed(lengths, sizes, costs):
     bins, offsets, capacity = packing.best_fit(np.array(lengths, np.int64), sizes, costs)
     made = {}
     for n, b, o in zip(lengths, bins.tolist(), offsets.tolist()):
@@ -120,12 +148,53 @@ def test_packing_as_brute_force(lengths, cost):
     for b, held in made.items():
         held.sort()
         assert all(o == sum(n for _, n in held[:i]) for i, (o, _) in enumerate(held))
-    assert sorted((capacity[b], sorted(n for _, n in held)) for b, held in made.items()) == slow_pack(lengths, sizes, costs)
+        assert capacity[b] == least_size(sum(n for _, n in held), sizes, costs)[1]
+    return [[n for _, n in held] for held in made.values()], capacity
+
+
+KINDS = {"flat": lambda s: 64 + s, "slots": lambda s: s, "steep": lambda s: 10 + s * s, "shipped": lambda s: 8 + s + s * s / 40}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80), st.sampled_from(sorted(KINDS)))
+def test_packing_as_brute_force(lengths, kind):
+    sizes = (10, 20, 40)
+    costs = tuple(map(KINDS[kind], sizes))
+    got, _ = packed(lengths, sizes, costs)
+    choices = [sizes, *((s,) for s in sizes if s >= max(lengths, default=0))]
+    slow = [slow_pack(lengths, sizes, costs, c) for c in choices]
+    least = min(cost_of(s, sizes, costs) for s in slow)
+    assert cost_of(got, sizes, costs) == pytest.approx(least)
+    assert sorted(map(sorted, got)) in [sorted(map(sorted, s)) for s in slow]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=8), st.sampled_from(sorted(KINDS)))
+def test_packing_is_near_the_least_cost(lengths, kind):
+    sizes = (10, 20, 40)
+    costs = tuple(map(KINDS[kind], sizes))
+    got, _ = packed(lengths, sizes, costs)
+    assert cost_of(got, sizes, costs) <= 1.5 * exhaustive(lengths, sizes, costs) + 1e-9
+
+
+def test_several_sizes_are_opened():
+    lengths = np.minimum(8192, np.random.default_rng(4).lognormal(6, 1.2, 20_000).astype(np.int64) + 1).tolist()
+    got, capacity = packed(lengths, packing.SIZES, packing.COSTS)
+    shares = [capacity.count(s) for s in packing.SIZES]
+    assert sum(n > 50 for n in shares) >= 3
+    cost = cost_of(got, packing.SIZES, packing.COSTS)
+    order = np.argsort(-np.array(lengths), kind="stable").tolist()
+    cheapest = [least_size(n, packing.SIZES, packing.COSTS) for n in range(8193)]
+    for size in packing.SIZES:
+        if size >= max(lengths):
+            _, _, used = packing._plan(np.array(lengths), order, (size,), cheapest)
+            assert cost <= sum(cheapest[n][0] for n in used)
 
 
 def test_every_word_has_one_place(frame):
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("w")) + 1
     rows = [(i % 7 or None, "w " * (i * 37 % 500)) for i in range(200)] + [(300, "w " * 30_000), (301, None), (302, "")]
-    got = packing.pack(frame(rows).repartition(3), packing.n_words(F.col("text")), window=64).collect()
+    got = packing.pack(frame(rows).repartition(3), n_words, window=64).collect()
     assert sum(r.n_tokens for r in got) == sum((t or "").count("w") + 1 for _, t in rows)
     assert [(r.piece, r.start, r.n_tokens) for r in sorted(got, key=lambda r: r.piece) if r.doc_id == 300] == [
         (0, 0, 8192), (1, 8192, 8192), (2, 16384, 8192), (3, 24576, 5425)
@@ -140,7 +209,7 @@ def test_every_word_has_one_place(frame):
             assert at == end
             end += n
         assert end <= capacity == next(s for s in packing.SIZES if s >= end)
-    assert packing.pack(frame([]), packing.n_words(F.col("text"))).count() == 0
+    assert packing.pack(frame([]), n_words).count() == 0
 
 
 def test_slots_are_tokens(spark, frame, tmp_path):
