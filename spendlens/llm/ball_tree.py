@@ -14,6 +14,10 @@ from spendlens.llm.vectors import collapse, ranked, usable
 
 #: Vectors of a shard, queries of a block, and vectors of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 1_024, 128
+#: Trees that a task takes in turn, and blocks that each of them meets there.
+RUN_TREES, GROUP_BLOCKS = 4, 16
+#: What a task takes together: a run of trees and a group of blocks of one vector size.
+RUN = ("dim", "run", "grp")
 #: Below any score; marks a place that no vector has taken yet.
 NONE = np.iinfo(np.int64).min
 #: Products up to here are exact in doubles.
@@ -113,22 +117,27 @@ def _bundle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _search(k: int, raised: bool):
-    """Searches pairs of tree and queries, sharing k-th scores along the task.
+    """Searches trees, each followed by the blocks that meet it, sharing k-th scores along a task's runs.
 
     ``raised``: gives the blocks anew with the floors found, beside the answers.
     """
 
     def searched(batches):
-        floors: dict = {}
+        run, floors, at_tree, tree = None, {}, None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, block, tree, queries = (batch.column(n)[row].as_py() for n in ("dim", "block", "tree", "queries"))
-                qids, vectors, floor = pickle.loads(queries)
-                floor = np.maximum(floor, floors.get((dim, block), floor))
-                ids, scores = pickle.loads(tree).search(vectors, k, floor)
+                dim, part, group, shard, block, data = (batch.column(n)[row].as_py() for n in (*RUN, "shard", "block", "data"))
+                if run != (dim, part, group):  # rows come sorted by run, so floors of one run are held at a time
+                    run, floors, at_tree, tree = (dim, part, group), {}, None, None
+                if block is None:
+                    at_tree, tree = shard, pickle.loads(data)
+                    continue
+                assert at_tree == shard, "a block came without its tree"
+                qids, vectors, floor = pickle.loads(data)
+                floor = np.maximum(floor, floors.get(block, floor))
+                ids, scores = tree.search(vectors, k, floor)
                 kth = scores[:, -1]
-                floor = np.maximum(floor, np.where(kth == NONE, -np.inf, kth.astype(np.float64)))
-                floors = {(dim, block): floor}  # pairs come sorted by block
+                floors[block] = floor = np.maximum(floor, np.where(kth == NONE, -np.inf, kth.astype(np.float64)))
                 at, place = np.nonzero(scores != NONE)
                 answers = {"qvid": qids[at], "cvid": ids[at, place], "score": scores[at, place]}
                 yield pa.RecordBatch.from_pydict(
@@ -143,6 +152,22 @@ def _search(k: int, raised: bool):
     return searched
 
 
+def _met(blocks: DataFrame, trees: DataFrame, k: int, raised: bool) -> DataFrame:
+    """What ``blocks`` (dim, at, shard, block, queries) find in the trees of their shards; ``at`` is the shard's place among all.
+
+    Trees and blocks are rows of their own in one stream. A run of trees meets a
+    group of blocks: each tree of the run comes once, ahead of the blocks, one
+    tree is open at a time, and both sides of a task are bounded.
+    """
+    run, group = F.floor(F.col("at") / RUN_TREES).alias("run"), F.floor(F.col("block") / GROUP_BLOCKS).alias("grp")
+    asking = blocks.select("dim", run, group, "shard", "block", F.col("queries").alias("data"))
+    wanted = blocks.select("dim", run, group, "shard").distinct()
+    planted = wanted.join(trees, ["dim", "shard"]).select(*RUN, "shard", F.lit(None).cast("long").alias("block"), F.col("tree").alias("data"))
+    # NULL comes first in a sort, so a tree precedes its blocks.
+    rows = planted.unionByName(asking).repartition(*RUN).sortWithinPartitions(*RUN, "shard", "block")
+    return rows.mapInArrow(_search(k, raised), _RESULT)
+
+
 _FOUND = pa.list_(pa.struct([("qvid", pa.int64()), ("cvid", pa.int64()), ("score", pa.int64())]))
 _RESULT = "dim int, block long, queries binary, found array<struct<qvid: long, cvid: long, score: long>>"
 
@@ -163,7 +188,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vector_col: str = "em
     Equal vectors are one entry. Distinct vectors are dealt into shards of
     bounded size, each with a ball tree, and queries into blocks of bounded size.
     Every block first searches one shard; the k-th scores found there are the
-    floors with which it meets all other shards, and rise along a task.
+    floors with which it meets all other shards, and rise along a task. A tree is
+    sent once for ``GROUP_BLOCKS`` blocks, never beside each of them.
     """
     ok = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(
         F.col("id").isNotNull() & usable(F.col("v"))
@@ -187,14 +213,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vector_col: str = "em
     # A shard without vectors has no tree, so shards are numbered by those there are.
     numbers = trees.groupBy("dim").agg(F.array_sort(F.collect_list("shard")).alias("all"))
     blocks = blocks.join(numbers, "dim")
-    home = blocks.withColumn("shard", F.get("all", F.pmod("block", F.size("all")).cast("int")))
-    pairs = home.join(trees, ["dim", "shard"]).select("dim", "block", "tree", "queries").repartition("dim", "block")
-    first = stored(pairs.mapInArrow(_search(k + 1, True), _RESULT), "first")
-    others = first.select("dim", "block", "queries").join(numbers, "dim")
-    others = others.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("all") - 1)))
-    others = others.filter(F.col("at") != F.pmod("block", F.size("all"))).withColumn("shard", F.col("all")[F.col("at")])
-    pairs = others.join(trees, ["dim", "shard"]).select("dim", "block", "shard", "tree", "queries")
-    pairs = pairs.repartition("dim", "shard").sortWithinPartitions("dim", "block").select("dim", "block", "tree", "queries")
-    rest = pairs.mapInArrow(_search(k + 1, False), _RESULT)
+    blocks = blocks.withColumn("home", F.pmod("block", F.size("all")))
+    home = blocks.select("dim", "block", "queries", F.col("home").alias("at"), F.get("all", F.col("home").cast("int")).alias("shard"))
+    first = stored(_met(home, trees, k + 1, True), "first")
+    others = first.select("dim", "block", "queries").join(numbers, "dim").select("dim", "block", "queries", F.posexplode("all").alias("at", "shard"), "all")
+    others = others.filter(F.col("at") != F.pmod("block", F.size("all")))
+    rest = _met(others, trees, k + 1, False)
     found = first.select(F.inline("found")).unionByName(rest.select(F.inline("found")))
     return ranked(found, distinct, known, k, F.col("score").desc())

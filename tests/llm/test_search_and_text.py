@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def answers(df):
 
 
 def test_top_k_as_brute_force(vectors, monkeypatch):
-    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 5), ("LEAF_ROWS", 8)):
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 5), ("LEAF_ROWS", 8), ("RUN_TREES", 2), ("GROUP_BLOCKS", 3)):
         monkeypatch.setattr(ball_tree, name, value)
     df = vectors[0].filter("vec_id is null or vec_id <> 700")
     q = lambda v: [math.floor(256 * float(x)) for x in v]
@@ -60,6 +61,27 @@ def test_top_k_as_brute_force(vectors, monkeypatch):
     assert answers(ball_tree.top_k(few, few.filter("vec_id = 10"))) == brute(few, 10, 5, dot, -1, True)
 
 
+def test_a_tree_comes_once_a_group_of_blocks(spark, monkeypatch):
+    def told(k, raised):
+        def counted(batches):
+            for batch in batches:
+                found = batch.to_pylist()
+                kinds = [[{"qvid": int(r["block"] is None), "cvid": 0, "score": 0}] for r in found]
+                columns = [[0] * len(found), [r["block"] or 0 for r in found], [b""] * len(found), kinds]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), ball_tree._FOUND))], names=["dim", "block", "queries", "found"]
+                )
+
+        return counted
+
+    monkeypatch.setattr(ball_tree, "_search", told)
+    trees = spark.createDataFrame([(6, s, bytearray(b"t")) for s in range(10)], "dim int, shard long, tree binary")
+    blocks = spark.createDataFrame([(6, s, s, b, bytearray(b"q")) for s in range(10) for b in range(40)], "dim int, at int, shard long, block long, queries binary")
+    rows = ball_tree._met(blocks, trees, 1, False).select(F.inline("found")).groupBy("qvid").count().collect()
+    # Ten trees for each of three groups of at most sixteen blocks; every pair of tree and block has a row.
+    assert dict(rows) == {1: 10 * 3, 0: 10 * 40}
+
+
 def test_large_products_stay_exact():
     vectors = np.array([[1 << 29, 3], [1 << 29, 2], [-(1 << 29), 1]], np.int64)
     ids, scores = ball_tree.BallTree(np.arange(3), vectors).search(vectors[:1] * 2, 2, np.array([-np.inf]))
