@@ -465,3 +465,58 @@ def test_queries_run_and_leave_the_session_alone(spark):
     for name, query in {**QUERIES, "pipeline": corpus_pipeline.run}.items():
         assert len(query(spark, SF).columns) > 2, name
     assert {r.key: r.value for r in spark.sql("SET").collect()} == before
+
+
+def test_prior_counts_every_document(frame, spark, sentence):
+    """Documents outside the bounded sample move the prior; the fit still sees the sample only."""
+    pick = random.Random(2)
+    texts = [sentence(pick.randrange(20, 60)) + "." for _ in range(900)]
+    positives = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+
+    def prior(good):
+        rows = [(i, t if i < 300 or pick.random() < good else junk(t, pick)) for i, t in enumerate(texts)]
+        return quality.train(frame(rows), positives, max_unlabelled=120)[1]
+
+    high, low = prior(0.9), prior(0.1)
+    assert high == pytest.approx(0.93, abs=0.1) and low == pytest.approx(0.4, abs=0.1)
+
+
+def test_a_group_of_copies_counts_with_all_its_rows(frame, spark, sentence):
+    pick = random.Random(4)
+    rows = [(i, sentence(40)) for i in range(300)]
+    text = junk(sentence(40), pick)
+    spam = [(10_000 + i, text) for i in range(600)]
+    positives = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")
+    assert quality.train(frame(rows + spam), positives, max_unlabelled=200)[1] < 0.45
+    assert quality.train(frame(rows + spam[:1]), positives, max_unlabelled=200)[1] > 0.9
+
+
+def test_risk_falls_as_by_the_slow_form():
+    """The gradient of a step against differences of the non-negative risk itself."""
+    pick = np.random.default_rng(3)
+    pos, unl = (np.c_[pick.normal(m, 1, (n, 3)), np.ones(n)].astype(np.float32) for m, n in ((1.0, 40), (0.0, 70)))
+    taken = []
+
+    def steps(grad, size, steps):
+        taken.append(grad)
+        return np.zeros(size, np.float32)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "_descend", steps)
+        quality._fit_nnpu(pos, unl, 0.4, 0.01, 1)
+
+    def parts(w):
+        loss = lambda z: math.log1p(math.exp(-z))
+        good = sum(loss(r @ w) for r in pos.astype(float)) / len(pos)
+        bad = sum(loss(-(r @ w)) for r in unl.astype(float)) / len(unl) - 0.4 * sum(loss(-(r @ w)) for r in pos.astype(float)) / len(pos)
+        return 0.4 * good + bad + 0.005 * float(w[:-1] @ w[:-1]), bad
+
+    for w, negative in ((np.array([0.3, -0.2, 0.1, 0.2]), False), (np.array([3.0, 3.0, 3.0, -3.0]), True)):
+        bad = parts(w)[1]
+        assert (bad < 0) == negative
+        slope = []
+        for i in range(4):
+            step = np.eye(4)[i] * 1e-5
+            up, down = parts(w + step), parts(w - step)
+            slope.append(-(up[1] - down[1]) / 2e-5 if bad < 0 else (up[0] - down[0]) / 2e-5)
+        assert taken[0](w.astype(np.float32)) == pytest.approx(slope, abs=2e-3)
