@@ -29,6 +29,17 @@ def wide_hash(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(0), *columns), F.xxhash64(F.lit(1), *columns)]
 
 
+def dealt_join(rows: DataFrame, known: DataFrame, key: str, by: str, salts: int = 8) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, one row a ``key``, the rows of a key dealt to ``salts`` tasks by ``by``.
+
+    Both sides are shuffled for it, so adaptive execution can split a hot key
+    further; an aggregate between shuffle and join would stop it from that.
+    """
+    salt = F.pmod(F.xxhash64(F.lit(5), by), F.lit(salts)).cast("int")
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", salt).join(copies, [key, "salt"]).drop("salt")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the warehouse where that is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

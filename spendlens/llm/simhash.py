@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import LOWER, UPPER, stored, wide_hash
+from spendlens.llm.common import LOWER, UPPER, dealt_join, stored, wide_hash
 from spendlens.llm.components import components
 
 #: A fingerprint has this many bytes; their places are the index positions.
@@ -203,14 +203,15 @@ def near_groups(
     where all ids of a component are.
 
     Equal fingerprints are collapsed before the search, so a large group of
-    copies is one entry of the index.
+    copies is one entry of the index; the fingerprints of a large component are
+    dealt to several tasks where they learn its smallest id.
     """
     rows = stored(with_fingerprints(docs, id_col, text_col, shingle), "prints")
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(near_links(prints.select("fp"), max_bits, width, cap)).select(F.col("node").alias("fp"), "root")
     rooted = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "root", "component_id")
+    named = dealt_join(rooted, best, "root", "fp").select("fp", "root", "component_id")
     return rows.join(named, "fp").select("id", "r1", "r2", "fp", "root", "component_id")
 
 

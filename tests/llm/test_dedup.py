@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.llm import components, line_dedup, simhash
+from spendlens.llm.common import dealt_join
 
 LONG = "  This line is long enough to count\t"
 CASES = [
@@ -154,3 +155,13 @@ def test_one_of_each_group(frame, sentence):
 def test_kept_digest_of_nothing(frame):
     row = line_dedup.drop_shared_lines(frame([(1, None)])).select(F.sha2("row.text", 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"").hexdigest()
+
+
+def test_rows_of_a_hot_key_are_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(400)] + [(i, i) for i in range(2, 60)] + [(99, None)], "a long, b long")
+    known = rows.groupBy("a").agg(F.max("b").alias("m"))
+    wide = dealt_join(rows.hint("merge"), known, "a", "b")
+    assert sorted(wide.collect(), key=str) == sorted(rows.join(known, "a").collect(), key=str)
+    assert wide.columns == ["a", "b", "m"]
+    parts = spark.createDataFrame([(i,) for i in range(400)], "b long").select(F.pmod(F.xxhash64(F.lit(5), "b"), F.lit(8)).alias("s"))
+    assert max(r["count"] for r in parts.groupBy("s").count().collect()) < 100
