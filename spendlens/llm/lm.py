@@ -16,7 +16,7 @@ from spendlens.llm.common import SPACES, ascii_lower
 MICRO = 1_000_000
 #: Characters of a block of documents; a bucket of the count tables serves as many.
 BLOCK_CHARS = 8_000_000
-#: Stands for the start mark; words and bigrams have hashes whose last bit is 0 and 1.
+#: Stands for the start mark; words have hashes whose last bit is 0, longer n-grams 1.
 START = np.uint64(0)
 _WORD, _ONE = np.uint64(2**64 - 2), np.uint64(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -49,10 +49,18 @@ def _collapsed(batches):
         )
 
 
+def _grams(contexts: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that lengthen each context by a word."""
+    x = ((contexts + np.uint64(n - 2)) ^ (contexts >> np.uint64(29))) * _MIX[0] + words
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return (x ^ (x >> np.uint64(31))) | _ONE
+
+
 class _Block:
-    """The distinct documents of a block and the n-grams in them."""
+    """The distinct documents of a block and the n-grams in them, up to ``order`` words long."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, order: int):
         copies: dict[tuple, int] = {}
         for row in zip(*(table.column(c).to_pylist() for c in ("id", "packed", "copies"))):
             copies[row[:2]] = copies.get(row[:2], 0) + row[2]
@@ -62,18 +70,24 @@ class _Block:
         parted = ((unpack(t) if t else b"").lower().split() for _, t in copies)
         words = [np.fromiter(map(xxhash.xxh64_intdigest, p), np.uint64) & _WORD for p in parted]
         self.lengths = np.array([len(w) for w in words], np.int64)
-        n = int(self.lengths.sum())
-        self.after = np.concatenate([*words, np.empty(0, np.uint64)])
-        self.before = np.r_[START, self.after[:-1]][:n]
-        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = START
-        x = (self.before ^ (self.before >> np.uint64(29))) * _MIX[0] + self.after
-        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-        self.grams = (x ^ (x >> np.uint64(31))) | _ONE
+        self.n = int(self.lengths.sum())
+        self.first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        after = np.concatenate([*words, np.empty(0, np.uint64)])
+        grams = [after]
+        for n in range(2, order + 1):
+            grams.append(_grams(self.before(grams[-1], START), after, n))
         self.weights = np.repeat(np.array(list(copies.values()), np.int64), self.lengths)
-        starts = self.weights[self.before == START].sum()
-        self.keys, self.at = np.unique(np.r_[START, self.after, self.grams], return_inverse=True)
-        self.counts = np.bincount(self.at, np.r_[starts, self.weights, self.weights]).astype(np.int64)
+        starts = self.weights[self.first].sum()
+        self.keys, at = np.unique(np.concatenate([[START], *grams]), return_inverse=True)
+        self.counts = np.bincount(at, np.r_[starts, np.tile(self.weights, order)]).astype(np.int64)
+        #: Places in ``keys`` of the n-grams that end at each word, by n; the start mark's is 0.
+        self.at = [at[1 + i * self.n : 1 + (i + 1) * self.n] for i in range(order)]
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The values at the word before each word, ``start`` at the first word of a document."""
+        out = np.r_[start, values[:-1]][: self.n].astype(values.dtype)
+        out[self.first] = start
+        return out
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -81,9 +95,9 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def _counting(buckets: int):
+def _counting(buckets: int, order: int):
     def counted(key, table):
-        block = _Block(table)
+        block = _Block(table, order)
         ends = np.r_[0, np.searchsorted(block.keys, _edges(buckets)), len(block.keys)]
         held = np.flatnonzero(np.diff(ends))
         return pa.table(
@@ -107,16 +121,19 @@ def _totalled(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": back})
 
 
-def _scoring(kind: pa.DataType, total: int, backoff: float, min_count: int):
+def _scoring(kind: pa.DataType, total: int, order: int, backoff: float, min_count: int):
     def scored(docs, answers):
-        block = _Block(docs)
+        block = _Block(docs, order)
         rows = answers.sort_by("bucket").column("totals").combine_chunks()
-        totals, n = rows.flatten().to_numpy(), len(block.after)
+        totals = rows.flatten().to_numpy()
         log = _micro(np.maximum(totals, 1))
-        word, gram = block.at[1 : n + 1], block.at[n + 1 :]
-        context = np.searchsorted(block.keys, block.before)
-        missing = log[word] + _micro(backoff) - _micro(max(total, 1))
-        value = np.r_[0, np.cumsum(np.where(totals[gram] >= min_count, log[gram] - log[context], missing))]
+        value = log[block.at[0]] - _micro(max(total, 1))
+        place = np.arange(block.n) - np.repeat(block.first, block.lengths[block.lengths > 0])
+        for shorter, (short, long) in enumerate(zip(block.at, block.at[1:])):
+            told = np.where(totals[long] >= min_count, log[long] - log[block.before(short, 0)], value + _micro(backoff))
+            # Contexts reach back to the start mark, no further.
+            value = np.where(place >= shorter, told, value)
+        value = np.r_[0, np.cumsum(value)]
         ends = np.r_[0, np.cumsum(block.lengths)]
         return pa.table(
             {"id": pa.array(block.ids, kind), "n_words": pa.array(block.lengths), "log_micro": pa.array(value[ends[1:]] - value[ends[:-1]])}
@@ -126,14 +143,23 @@ def _scoring(kind: pa.DataType, total: int, backoff: float, min_count: int):
 
 
 def backoff_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.4, min_count: int = 2, block_chars: int = BLOCK_CHARS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    backoff: float = 0.4,
+    min_count: int = 2,
+    block_chars: int = BLOCK_CHARS,
+    order: int = 2,
 ) -> DataFrame:
     """(doc_id, n_words, log_micro, score) for each distinct (id, text) of ``docs``.
 
-    A bigram model of all documents, with a start mark before each. A word's
-    probability is count(bigram) / count(word before) where the bigram occurs
-    ``min_count`` times or more in the corpus, else ``backoff`` times
-    count(word) / count(all words). ``log_micro`` sums the natural logarithms in
+    A model of the n-grams of all documents up to ``order`` words, with a start
+    mark before each document. A word's probability is count(n-gram) /
+    count(its context) for the longest n-gram ending at it, where that occurs
+    ``min_count`` times or more in the corpus, else ``backoff`` times what the
+    context shorter by a word gives; without context it is count(word) /
+    count(all words). At the start of a document the context is the mark and
+    the words since it. ``log_micro`` sums the natural logarithms in
     millionths; ``score`` is their mean a word, NULL for a text without words.
     NULL and empty texts have no words. Repeated rows count in the corpus each,
     and are returned once.
@@ -143,9 +169,11 @@ def backoff_scores(
     once a block. The count tables are parted by hash into buckets, as many as
     blocks, that add the blocks' counts up. Joined back to the blocks, the
     totals stand in the order of a block's hashes and need no key. Blocks and
-    buckets hold a bounded number of n-grams, save where one document has more.
-    Words and bigrams stand as 63-bit hashes.
+    buckets hold a bounded number of n-grams, save where one document has more;
+    each order above the first adds as many again. N-grams stand as 63-bit hashes.
     """
+    if order < 1:
+        raise ValueError("order has to be 1 or more")
     size = docs.select(F.sum(F.length(text_col)).alias("chars"), F.sum(F.size(words_of(F.col(text_col)))).alias("words")).first()
     total, blocks = size["words"] or 0, 1 + (size["chars"] or 0) // block_chars
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -153,12 +181,12 @@ def backoff_scores(
     kind = docs.schema[id_col].dataType
     placed = dealt.mapInArrow(_collapsed, f"id {kind.simpleString()}, block long, packed binary, copies long")
 
-    tables = placed.groupBy("block").applyInArrow(_counting(blocks), "block long, bucket long, keys array<long>, counts array<long>")
+    tables = placed.groupBy("block").applyInArrow(_counting(blocks, order), "block long, bucket long, keys array<long>, counts array<long>")
     totals = tables.groupBy("bucket").applyInArrow(_totalled, "block long, bucket long, totals array<long>")
     scores = (
         placed.groupBy("block")
         .cogroup(totals.groupBy("block"))
-        .applyInArrow(_scoring(to_arrow_type(kind), total, backoff, min_count), f"id {kind.simpleString()}, n_words long, log_micro long")
+        .applyInArrow(_scoring(to_arrow_type(kind), total, order, backoff, min_count), f"id {kind.simpleString()}, n_words long, log_micro long")
     )
     score = F.when(F.col("n_words") > 0, F.col("log_micro") / F.col("n_words") / MICRO)
     return scores.select(F.col("id").alias(id_col), "n_words", "log_micro", score.alias("score"))

@@ -520,3 +520,30 @@ def test_risk_falls_as_by_the_slow_form():
             up, down = parts(w + step), parts(w - step)
             slope.append(-(up[1] - down[1]) / 2e-5 if bad < 0 else (up[0] - down[0]) / 2e-5)
         assert taken[0](w.astype(np.float32)) == pytest.approx(slope, abs=2e-3)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_of_any_order_as_brute_force(frame, sentence, order):
+    pick = random.Random(order)
+    rows = [(i, sentence(pick.randrange(1, 30))) for i in range(60)] + [(i, "the quick brown fox jumps") for i in range(100, 104)]
+    rows += [(200, "unheard"), (201, "over the unknown"), (202, ""), (203, None), (204, "twice the same row")] + [(204, "twice the same row")] * 2
+    texts = [["<s>", *(t or "").split()] for _, t in rows]
+    counts = Counter(tuple(t[a:b]) for t in texts for a in range(len(t)) for b in range(a + 1, min(len(t), a + order) + 1) if len(t) > 1)
+    total = sum(len(t) - 1 for t in texts)
+    micro = lambda x: math.floor(math.log(x) * 1_000_000 + 0.5)
+
+    def value(gram):
+        if len(gram) == 1:
+            return micro(counts[gram]) - micro(total)
+        if counts[gram] >= 2:
+            return micro(counts[gram]) - micro(counts[gram[:-1]])
+        return micro(0.4) + value(gram[1:])
+
+    want = {i: sum(value(tuple(t[max(0, e - order + 1) : e + 1])) for e in range(1, len(t))) for (i, _), t in zip(rows, texts)}
+    got = lm.backoff_scores(frame(rows), order=order, block_chars=500).collect()
+    assert {r.doc_id: r.log_micro for r in got} == want and len(got) == len(want)
+
+
+def test_backoff_needs_an_order(frame):
+    with pytest.raises(ValueError):
+        lm.backoff_scores(frame([(1, "a")]), order=0)
