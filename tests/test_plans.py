@@ -6,6 +6,7 @@ import pytest
 
 from hand import SF
 from spendlens.catalog import QUERIES
+from spendlens.operators import master
 from spendlens.plans import awareness, decision, efficiency
 from spendlens.sources import bound
 
@@ -88,3 +89,17 @@ def test_long_lag_does_not_gather_a_platform(spark):
 
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["Q4_scroll_stoppers"](spark, SF))
+
+
+def test_masters_are_not_shuffled_by_product(spark):
+    for name in ("V1_performance_master", "V2_profitability_master", "Q2_over_star"):
+        text = plan(QUERIES[name](spark, SF))
+        assert "hashpartitioning(product" not in text and "BroadcastHashJoin [product" in text
+
+
+def test_masters_are_sorted_by_quarter_while_narrow(spark):
+    rows = master.performance_columns(bound.facts(spark, SF, by_quarter=True))
+    text = plan(rows)
+    below = text[text.index("Sort [year") :]
+    assert "Sort [year" not in below[1:] and "impressions" not in below and "impressions" in text
+    assert rows.exceptAll(master.performance_columns(bound.facts(spark, SF))).count() == 0

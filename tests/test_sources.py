@@ -73,3 +73,16 @@ def test_stored_flat_follows_its_input(spark, tmp_path):
     assert catalog.stored_flat(spark, str(tmp_path)).count() == every and len(catalog.STORE_READS) == reads + 1
     spark.read.parquet(f"{SF}/lineitem.parquet").limit(50).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     assert 0 < catalog.stored_flat(spark, str(tmp_path)).count() < every and len(catalog.STORE_READS) == reads + 1
+
+
+def test_stored_flat_keeps_narrow_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_STORED", {})
+    monkeypatch.setattr(catalog, "BUCKET_INPUT", 20_000)  # bytes of input for a bucket
+    stored, flat = catalog.stored_flat(spark, SF), bound.flat(spark, SF)
+    assert stored.schema.fieldNames() == flat.schema.fieldNames()
+    assert [f.dataType for f in stored.schema] == [f.dataType for f in flat.schema]
+    assert stored.exceptAll(flat).count() == 0 and stored.count() == flat.count()
+    ((_, name),) = catalog._STORED.values()
+    assert not {"spend", "campaign_name", "net_profit"} & set(spark.table(name).columns)
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    assert int(described["Num Buckets"]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
