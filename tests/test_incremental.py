@@ -151,6 +151,21 @@ def test_equal_buckets_are_not_joined(spark, facts):
     assert none.count() == 0 and "FullOuter" not in plan(none)
 
 
+def test_diff_joins_only_differing_keys(spark, monkeypatch):
+    before = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("row_id"), (F.col("id") % 7).alias("a"), F.lit("x").alias("b"))
+    later = before.withColumn("a", F.when(F.col("row_id").isin("k5", "k700"), -1).otherwise(F.col("a")))
+    later = later.filter("row_id != 'k9'").unionByName(before.filter("row_id = 'k11'"))
+    keys = diff.differing_keys(before, later, ["row_id"])
+    assert keys.distinct().count() == keys.count() == 4
+    expected = {"k5": ("changed", "a", 1, 1), "k700": ("changed", "a", 1, 1), "k9": ("removed", None, 1, 0), "k11": ("changed", "rows", 1, 2)}
+    for sent in (diff.SENT_KEYS, 0):
+        monkeypatch.setattr(diff, "SENT_KEYS", sent)
+        found = diff.snapshot_diff(before, later, "row_id", 1)  # one bucket: every row lies in a bucket that differs
+        assert changes(found) == expected and "LeftSemi" in plan(found)
+    two = before.select(F.when(F.col("a") > 3, F.col("a")).alias("p"), F.when(F.col("a") <= 3, F.col("a")).alias("q"), "b")
+    assert diff.snapshot_diff(two, two.withColumn("b", F.when(F.col("q") == 2, "y").otherwise("x")), ["p", "q"], 4).count() == 1
+
+
 # --- audit beside the write ----------------------------------------------
 
 
