@@ -35,6 +35,17 @@ def plan(df):
         conf.unset("spark.sql.debug.maxToStringFields")
 
 
+def executed(spark, job):
+    """Final physical plans of what ``job`` runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(20_000)
+    before = store.executionsList().size()
+    job()
+    bus.waitUntilEmpty(20_000)
+    listed = store.executionsList()
+    return [listed.apply(i).physicalPlanDescription() for i in range(before, listed.size())]
+
+
 def same(a, b):
     return a.count() == b.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
@@ -101,6 +112,19 @@ def test_digests_see_moved_values_and_types(spark):
     assert digest("select 1 k, a from values (1), (1), (2) t(a)") != digest("select 1 k, a from values (2), (1), (2) t(a)")
 
 
+def test_refresh_reads_its_rows_twice(spark, quarters):
+    path = shared_path(spark, "master")
+    files.refresh_master(quarters, path)
+    source = shared_path(spark, "source")
+    changed = quarters.withColumn("clicks", F.when(F.col("row_id") == "R2", 77).otherwise(F.col("clicks")).cast("long"))
+    changed.write.parquet(source)
+    rows = spark.read.schema(quarters.schema).parquet(source)
+    plans = executed(spark, lambda: files.refresh_master(rows, path, rebalance=False))
+    assert sum(p.count(source.rsplit("/", 1)[-1]) for p in plans) == 2
+    assert not any("REBALANCE" in p for p in plans) and same(files.read_master(spark, path, quarters.schema), rows)
+    assert files.changed_partitions(rows, path, ("year", "quarter")) == ([], [])
+
+
 # --- diff of snapshots ---------------------------------------------------
 
 
@@ -281,6 +305,17 @@ def test_merge_in_any_order_equals_keep_first(spark):
         assert same(done, expected)
 
 
+def test_merge_collapses_whole_rows_once(spark):
+    path = shared_path(spark, "merged")
+    rows = spark.range(200).select(F.col("id").alias("k"), (F.col("id") + 1000).alias("p"), F.lit("wide").alias("t"))
+    arrivals.merge_arrivals(rows, path, "k", "p", buckets=4)
+    batch = rows.filter("k % 3 = 0").withColumn("p", F.col("p") - 500).unionByName(rows.withColumn("k", F.col("k") + 150))
+    plans = executed(spark, lambda: arrivals.merge_arrivals(batch, path, "k", "p", buckets=4))
+    # Keys and their smallest p first; whole rows only where they are written.
+    assert [("_first" in p or "_missing" in p) for p in plans if "Aggregate" in p].count(True) == 1
+    assert same(arrivals.stored_rows(spark, path, rows.columns), model.keep_first(rows.unionByName(batch), "k", "p"))
+
+
 # --- star in buckets -----------------------------------------------------
 
 
