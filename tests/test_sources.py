@@ -1,8 +1,11 @@
+import re
+
 import pytest
 
 from hand import SF, facts_rows, flat_rows
 from spendlens import catalog
-from spendlens.operators import clean, master
+from spendlens.operators import clean, master, profile
+from spendlens.plans import rollup
 from spendlens.schemas import RAW
 from spendlens.session import shared_path
 from spendlens.sources import bound, files
@@ -86,3 +89,30 @@ def test_stored_flat_keeps_narrow_rows_only(spark, monkeypatch):
     assert not {"spend", "campaign_name", "net_profit"} & set(spark.table(name).columns)
     described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
     assert int(described["Num Buckets"]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize(
+    "step",
+    [
+        lambda raw, facts: raw,
+        lambda raw, facts: clean.clean(raw),
+        lambda raw, facts: clean.violations(clean.impute_mean(raw)),
+        lambda raw, facts: profile.sketch(raw),
+        lambda raw, facts: rollup.states(facts),
+    ],
+    ids=["raw", "clean", "violations", "profile", "rollup"],
+)
+def test_the_jvm_compiles_the_code_of_the_campaign_rows(spark, raw, facts, step, capsys):
+    """Under any session's settings: no method of whole-stage code passes the 8000 bytecodes of the JVM."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.maxPlanStringLength": str(1 << 29)}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        capsys.readouterr()
+        step(raw, facts).select("*").explain("codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+    assert sizes and 0 < min(sizes) and max(sizes) <= 8000
