@@ -107,3 +107,10 @@ def test_rows_without_an_id_are_no_duplicates(spark):
     rows = flat_rows(spark, {"row_id": "A"}, {"row_id": "B_dup"}).select("row_id", "spend")
     rows = rows.unionByName(rows.limit(1).withColumn("row_id", F.lit(None).cast("string")))
     assert sorted(str(r.row_id) for r in clean.drop_tagged_dups(rows).collect()) == ["A", "None"]
+
+
+def test_violations_are_filtered_where_the_rules_are_computed(spark, raw):
+    """Pushed further down, the rules would be computed twice, from the source columns spelled out."""
+    plan = clean.violations(clean.impute_mean(raw))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert any("broken_rules" in line for line in filters) and not any("hold_below_hook" in line for line in filters)
