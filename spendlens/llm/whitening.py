@@ -122,12 +122,13 @@ def _summed(fit: DataFrame, product) -> dict[int, np.ndarray]:
 
     parts = fit.select("x").mapInArrow(partial, "size long, at long, value double")
     out: dict[int, np.ndarray] = {}
-    entries: dict[int, list[tuple[int, float]]] = {}
-    for row in parts.groupBy("size", "at").agg(F.sum("value").alias("value")).toLocalIterator():
-        entries.setdefault(row["size"], []).append((row["at"], row["value"]))
-    for size, found in entries.items():
-        values = np.empty(len(found))
-        values[[at for at, _ in found]] = [value for _, value in found]
+    # At once: an iterator would run a job of its own for every shuffle partition.
+    found = parts.groupBy("size", "at").agg(F.sum("value").alias("value")).toArrow()
+    sizes, at, value = (found.column(c).to_numpy() for c in ("size", "at", "value"))
+    for size in np.unique(sizes).tolist():
+        here = sizes == size
+        values = np.empty(int(here.sum()))
+        values[at[here]] = value[here]
         width = int(round(len(values) ** 0.5))
         out[size] = values.reshape(width, width)
     return out
@@ -146,7 +147,7 @@ def _counted(fit: DataFrame) -> dict[int, Whitening]:
     parts = fit.select("x").mapInArrow(partial, "size long, at long, n long, high long, low long")
     whole = lambda name: F.sum(F.col(name).cast("decimal(38,0)")).alias(name)
     found: dict[int, dict[int, tuple[int, int]]] = {}
-    for row in parts.groupBy("size", "at").agg(F.sum("n").alias("n"), whole("high"), whole("low")).toLocalIterator():
+    for row in parts.groupBy("size", "at").agg(F.sum("n").alias("n"), whole("high"), whole("low")).collect():
         found.setdefault(row["size"], {})[row["at"]] = (row["n"], (int(row["high"]) << 32) + int(row["low"]))
     return {size: Whitening(sums[0][0], [sums[at][1] for at in range(size)]) for size, sums in found.items()}
 

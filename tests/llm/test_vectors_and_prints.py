@@ -100,6 +100,23 @@ def test_huge_vectors_have_no_exact_deviation(spark):
     assert {r.deviation for r in found if r.id == 1} <= {None, 0}
 
 
+def test_whitening_runs_no_job_for_each_shuffle_partition(spark):
+    pick = random.Random(4)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(40)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        start = jobs()
+        same_whitening(whitening.whiten(vectors(spark, rows)).collect(), rows)
+        assert jobs() - start < 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_whitening_query_on_the_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     found = queries.op11_whitening(spark, SF).withColumnRenamed("vec_id", "id").collect()
