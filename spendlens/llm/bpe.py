@@ -6,9 +6,11 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -175,19 +177,16 @@ def load(path: str) -> tuple[Vocabulary, Memo]:
     return vocabulary, Memo(vocabulary.word, vocabulary.text)
 
 
-@lru_cache(maxsize=2)
-def _counts(path: str) -> Counts:
-    vocabulary = load(path)[0]
-    return Counts(vocabulary.word, vocabulary.text)
-
-
 def n_ids(text: Column, path: str) -> Column:
     """Number of ids of a text; 0 for NULL."""
 
     @F.pandas_udf("long")
-    def counted(texts):
-        counts = _counts(path)
-        return type(texts)([counts.text(t) for t in texts], dtype="int64")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocabulary = load(path)[0]
+        # Remembered for a task, not for the worker, which goes on to other stages with what it holds.
+        counts = Counts(vocabulary.word, vocabulary.text)
+        for texts in batches:
+            yield pd.Series([counts.text(t) for t in texts], dtype="int64")
 
     # So that a filter on the number doesn't encode every text again.
     return counted.asNondeterministic()(text)
