@@ -21,8 +21,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pattern whose matches are the words of a text, with its class \s spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: The same for texts of characters below U+0180, which NFC leaves alone, once in lower case: the classes are short there.
+#: Letters come first, as most words are letters; no other word starts with one.
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xbaß-öø-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+_LATIN_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
 _BEYOND_LATIN = re.compile("[^\x00-\u017f]")
 #: Words that a worker remembers the ids of, and the longest word among them.
 MEMO, MEMO_CHARS = 1_000_000, 48

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -237,3 +238,49 @@ def test_ids_over_16_bits(frame):
     files = id_coder.write_ids(frame([(1, "some words"), (2, None)]), PATH, end_id=end)
     want = {i: zlib.crc32(np.array([*library(t), end], "<u4").tobytes()) for i, t in ((1, "some words"), (2, ""))}
     assert {r.id: r.ids_crc32 for r in id_coder.read_digests(files).collect()} == want
+
+
+def zipf_ids(n, seed):
+    made = np.random.default_rng(seed)
+    return (np.minimum(made.zipf(1.3, n), 7000) * 7 + made.integers(0, 7, n)).astype("<u4")
+
+
+def test_coding_takes_about_a_microsecond_an_id():
+    ids = zipf_ids(400_000, 1)
+    began = time.process_time()
+    assert np.array_equal(id_coder.decode(id_coder.encode(ids)), ids)
+    assert time.process_time() - began < 2e-6 * len(ids)
+
+
+def test_order_0_learns_frequent_ids():
+    # Eight ids, each as likely as the others whatever went before: three bits an id, and little for the start of a block.
+    ids = np.random.default_rng(2).choice(np.arange(8) * 6007 + 11, 2048).astype("<u4")
+    assert len(id_coder.encode(ids)) < 2048 * 3 / 8 + 200
+
+
+@pytest.mark.parametrize("symbols, top", [(4, 65_535), (8, 2**32 - 1)])
+def test_largest_ids_and_blocks_of_all_lengths_come_back(symbols, top):
+    # Copies with changes, so that every order names ids; each length stands alone and beside others.
+    made = np.random.default_rng(symbols)
+    part = made.integers(0, top, 40, endpoint=True)
+    ids = np.concatenate([np.where(made.random(40) < 0.1, top, part) for _ in range(60)]).astype("<u4")
+    pieces = [ids[: made.integers(1, len(ids))] for _ in range(20)]
+    coded = [id_coder.encode(p, int(made.integers(1, 900)), symbols) for p in pieces]
+    assert np.array_equal(id_coder.decode(b"".join(coded)), np.concatenate(pieces))
+    for p, c in zip(pieces, coded):
+        assert np.array_equal(id_coder.decode(c), p)
+
+
+def test_block_of_too_many_ids_is_refused():
+    for block in (0, id_coder.MOST + 1):
+        with pytest.raises(ValueError):
+            id_coder.encode(zipf_ids(10, 3), block)
+    assert np.array_equal(id_coder.decode(id_coder.encode(zipf_ids(9000, 3), id_coder.MOST)), zipf_ids(9000, 3))
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if t])
+def test_words_have_the_ids_of_the_whole_library(text):
+    memo = id_coder._tokens(PATH)
+    assert np.frombuffer(memo.text(text), "<u4").tolist() == library(text)
+    for word in bpe.words(text + " \x00 \x1c\x7f it'll 'x"):
+        assert memo.encode_word(word) == library(word)
