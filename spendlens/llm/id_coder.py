@@ -114,14 +114,17 @@ def _encode_side_by_side(blocks: list[np.ndarray], symbols: int) -> list[tuple[b
     del named, found, one, two, after
 
     # Order 0 counts by the rank of an id among all of its block, so that the decoder's counts, which are sorted by id, are the same.
-    key = np.sort(by_lane.astype(np.uint64) << np.uint64(13) | np.arange(n, dtype=np.uint64), axis=1)
-    fresh = np.zeros((lanes, n), np.int32)
-    fresh[:, 1:] = (key[:, 1:] >> np.uint64(13)) != (key[:, :-1] >> np.uint64(13))
+    wide = np.uint32 if symbols <= 4 else np.uint64
+    key = by_lane.astype(wide) << wide(13)
+    key |= np.arange(n, dtype=wide)
+    key.sort(axis=1)
+    fresh = np.zeros((lanes, n), bool)
+    np.greater(key[:, 1:] ^ key[:, :-1], wide(0x1FFF), out=fresh[:, 1:])
     ranked = np.cumsum(fresh, axis=1, dtype=np.int32)
     ranks = int(ranked[:, -1].max()) + 1
     ranked += np.arange(lanes, dtype=np.int32)[:, None] * np.int32(ranks)
     rank = _unaligned(lanes, n, np.int32)
-    np.put_along_axis(rank, (key & np.uint64(0x1FFF)).view(np.int64), ranked, axis=1)
+    np.put_along_axis(rank, (key & wide(0x1FFF)).astype(np.intp), ranked, axis=1)
     rank = np.ascontiguousarray(rank.T)
     del key, fresh, ranked, by_lane
 
