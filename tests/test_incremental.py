@@ -190,6 +190,26 @@ def test_diff_joins_only_differing_keys(spark, monkeypatch):
     assert diff.snapshot_diff(two, two.withColumn("b", F.when(F.col("q") == 2, "y").otherwise("x")), ["p", "q"], 4).count() == 1
 
 
+def test_differing_keys_shuffle_once(spark):
+    before = spark.range(300).select((F.col("id") % 200).alias("k"), (F.col("id") % 3).alias("a"), F.when(F.col("id") % 2 == 0, 1).alias("b"))
+    # Two copies that both change, a value that becomes NULL, a row that goes.
+    later = before.withColumns({"a": F.when(F.col("k") == 7, 9).otherwise(F.col("a")), "b": F.when(F.col("k") == 8, None).otherwise(F.col("b"))})
+    later = later.filter("k != 150")
+    keys = diff.differing_keys(before, later, ["k"])
+    assert plan(keys.select("_key")).count("Exchange hashpartitioning") == 1
+    assert {r._key for r in keys.collect()} == {r.h for r in spark.range(200).withColumnRenamed("id", "k").filter("k in (7, 8, 150)").select(diff._key_hash(["k"]).alias("h")).collect()}
+
+
+def test_query_of_the_diff_reads_its_first_snapshot(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("the campaigns are written as a snapshot, not stored in buckets before")
+
+    expected = {"removed", "added", "changed"}
+    monkeypatch.setattr(catalog, "stored_flat", none)
+    plans = executed(spark, lambda: expected.difference_update(r.change for r in catalog.QUERIES["M8_snapshot_diff"](spark, SF).collect()))
+    assert sum(len(re.findall(r"Location: [^\n]*lineitem", p)) for p in plans) == 1 and not expected
+
+
 # --- audit beside the write ----------------------------------------------
 
 
