@@ -125,6 +125,24 @@ def test_refresh_reads_its_rows_twice(spark, quarters):
     assert files.changed_partitions(rows, path, ("year", "quarter")) == ([], [])
 
 
+def test_refresh_compares_in_one_job_without_the_writers_layout(spark, quarters):
+    path = shared_path(spark, "master")
+    files.refresh_master(quarters, path)
+    laid = quarters.hint("rebalance", "year", "quarter").sortWithinPartitions("year", "quarter")
+    changed = lambda df: df.withColumn("clicks", F.when(F.col("row_id") == "R2", 77).otherwise(F.col("clicks")).cast("long"))
+    plans = executed(spark, lambda: files.refresh_master(changed(quarters), path, laid=changed(laid)))
+    assert ["REBALANCE" in p for p in plans].count(True) == 1 and ["xxhash64" in p and "REBALANCE" in p for p in plans].count(True) == 0
+    assert same(files.read_master(spark, path, quarters.schema), changed(quarters))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else few rows are joined into one partition
+    spark.sparkContext.setJobGroup("known digests", "")
+    try:
+        files._known_digests(files.partition_digests(quarters, ["year", "quarter"]), ["year", "quarter"])
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("known digests")) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 # --- diff of snapshots ---------------------------------------------------
 
 
