@@ -1,9 +1,11 @@
+import glob
+import os
 import re
 
 import pytest
 
 from hand import SF, facts_rows, flat_rows
-from spendlens import catalog
+from spendlens import catalog, session
 from spendlens.operators import clean, master, profile
 from spendlens.plans import rollup
 from spendlens.schemas import RAW
@@ -116,3 +118,16 @@ def test_the_jvm_compiles_the_code_of_the_campaign_rows(spark, raw, facts, step,
             spark.conf.set(k, v)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
     assert sizes and 0 < min(sizes) and max(sizes) <= 8000
+
+
+def test_compressed_csv_comes_back_whole_in_bounded_files(spark, raw):
+    path, some = shared_path(spark, "csv"), spark.createDataFrame(raw.filter("hook_rate is null").limit(25).collect(), raw.schema).coalesce(1)
+    files.store_csv(some, path, rows=10)
+    names = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert len(names) == 3 and all(n.endswith(".csv.gz") for n in names)
+    back = files.load_raw(spark, path)
+    assert all(r._bad is None for r in back.collect())
+    assert sorted(map(str, back.drop("_bad").collect())) == sorted(map(str, some.collect()))
+    catalog.QUERIES["S1_load_raw"](spark, SF)
+    export = max(glob.glob(f"{session.shared_folder(spark)}/raw-csv-*"), key=os.path.getmtime)
+    assert all(n.endswith(".csv.gz") for n in os.listdir(export) if n.startswith("part-"))
