@@ -114,3 +114,19 @@ def test_masters_have_the_published_columns(star):
 def test_combination_is_null_if_a_part_is(spark):
     rows = flat_rows(spark, {"copy_tone": None}, {"has_ugc": None}).select(master.creative_combination().alias("c"))
     assert [r.c for r in rows.collect()] == [None, "Story | Lifestyle | Casual | Video | Non UGC"]
+
+
+@pytest.mark.parametrize("sent", [model.SENT_KEYS, 0])
+def test_keep_first_shuffles_only_repeated_keys(spark, monkeypatch, sent):
+    monkeypatch.setattr(model, "SENT_KEYS", sent)
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 40 != 0, F.col("id") % 300).alias("k"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 101).alias("p"),
+        F.col("id").alias("v"),
+    )
+    rows = rows.unionByName(rows.filter("v % 5 = 0"))
+    found, expected = model.keep_first(rows, "k", "p"), model.collapse(rows, "k", "p")
+    assert found.count() == expected.count() == rows.select("k").distinct().count()
+    assert found.exceptAll(expected).isEmpty()
+    alone, *collapsed = found._jdf.queryExecution().executedPlan().toString().split("Aggregate", 1)
+    assert ("LeftAnti" in alone) == bool(sent) and "Exchange hashpartitioning" not in alone and "Exchange hashpartitioning" in collapsed[0]
