@@ -313,6 +313,19 @@ def test_ids_of_no_rows_and_of_null_keys(spark):
     assert arrivals.continue_ids(rows, path, "n", "P", "k", ["v"]).count() == 4  # the NULL key is new each time
 
 
+def test_a_load_is_written_once_and_older_loads_are_read(spark):
+    path = shared_path(spark, "ids")
+    rows = spark.range(60).select(F.col("id").alias("k"), F.lit("x").alias("t"))
+    model.assign_ids(rows.filter("k < 9"), "n", "P", ["k"]).write.parquet(f"{path}/loads/load=1")  # as loads were stored before
+    spark.range(1).select(F.lit(9).cast("long").alias("last_number")).write.parquet(f"{path}/marks/load=1")
+    assert ids(arrivals.numbered(spark, path)) == {k: f"P{k + 1:06d}" for k in range(9)}
+    handed = len(session._HANDED_OUT[spark.sparkContext.applicationId])
+    for upto in (30, 60):
+        done = arrivals.continue_ids(rows.filter(F.col("k") < upto).repartition(3), path, "n", "P", "k", ["k"])
+        assert ids(done) == {k: f"P{k + 1:06d}" for k in range(upto)} and done.columns == ["n", "k", "t"]
+    assert len(session._HANDED_OUT[spark.sparkContext.applicationId]) == handed  # no copy but the load itself
+
+
 # --- arrivals merged -----------------------------------------------------
 
 

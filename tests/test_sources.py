@@ -89,6 +89,8 @@ def test_stored_flat_keeps_narrow_rows_only(spark, monkeypatch):
     assert stored.exceptAll(flat).count() == 0 and stored.count() == flat.count()
     ((_, name),) = catalog._STORED.values()
     assert not {"spend", "campaign_name", "net_profit"} & set(spark.table(name).columns)
+    shuffled = next(l for l in bound.narrow(spark, SF, 7)._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in l)
+    assert "7)" in shuffled and "concat(C" in shuffled  # the text of the id is not shuffled beside its parts
     described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
     assert int(described["Num Buckets"]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
