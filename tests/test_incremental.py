@@ -367,6 +367,27 @@ def test_merge_collapses_whole_rows_once(spark):
     assert same(arrivals.stored_rows(spark, path, rows.columns), model.keep_first(rows.unionByName(batch), "k", "p"))
 
 
+def test_merge_keeps_the_files_of_buckets_without_a_beaten_row(spark):
+    path = shared_path(spark, "merged")
+    rows = spark.range(400).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") + 1000).alias("p"), F.lit("old").alias("t"))
+    merge = lambda df: arrivals.merge_arrivals(df, path, "k", "p", buckets=8)
+    merge(rows)
+    first = parts(path)
+    batch = rows.filter("p < 1200").unionByName(rows.withColumns({"k": F.concat("k", F.lit("-new")), "t": F.lit("new")}))
+    batch = batch.unionByName(batch.filter("p % 3 = 0").withColumn("p", F.col("p") + 9000))
+    batch = batch.unionByName(spark.createDataFrame([("k7", 5, "beats"), ("k7", 6, "late"), ("k8", None, "none")], "k string, p long, t string"))
+    plans = executed(spark, lambda: merge(batch))
+    assert same(arrivals.stored_rows(spark, path, rows.columns), model.collapse(rows.unionByName(batch), "k", "p"))
+    second = parts(path)
+    (beaten,) = [f"_bucket={r.b}" for r in spark.createDataFrame([("k7",)], "k string").select(arrivals._bucket("k", 8).alias("b")).collect()]
+    assert all(set(first[b].items()) < set(second[b].items()) for b in first if b != beaten) and not set(first[beaten]) & set(second[beaten])
+    # The batch meets the stored keys in the parts of its buckets: whole rows are shuffled once, and laid so.
+    (met,) = [p for p in plans if "direct_shuffle_partition_id" in p and "_arrived" in p]
+    assert "REBALANCE" not in met
+    assert same(merge(batch), model.collapse(rows.unionByName(batch), "k", "p")) and parts(path) == second
+    assert same(merge(batch.limit(0)), model.collapse(rows.unionByName(batch), "k", "p")) and not os.path.exists(f"{path}/_arrived")
+
+
 # --- star in buckets -----------------------------------------------------
 
 
