@@ -388,6 +388,18 @@ def test_merge_keeps_the_files_of_buckets_without_a_beaten_row(spark):
     assert same(merge(batch.limit(0)), model.collapse(rows.unionByName(batch), "k", "p")) and not os.path.exists(f"{path}/_arrived")
 
 
+def test_narrow_rows_are_numbered_as_the_wide_ones(spark, tmp_path):
+    lines, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    other = lines.limit(700).withColumn("l_tax", F.col("l_tax") + 0.01)  # other figures under an id that is there already
+    other.unionByName(lines).unionByName(lines.limit(300)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    plans = executed(spark, lambda: catalog.performance_with_repeats(spark, str(tmp_path)))
+    shuffled = [line for p in plans for line in p.split("\n\n") if "Exchange" in line and "rangepartitioning" in line]
+    assert shuffled and not any("impressions" in line or "cpm" in line for line in shuffled)
+    wide = model.with_performance_id(clean.enrich(bound.raw(spark, str(tmp_path))).select(*catalog.PERFORMANCE_COLUMNS))
+    assert same(catalog.performance_with_repeats(spark, str(tmp_path)), catalog._untagged(wide))
+
+
 # --- star in buckets -----------------------------------------------------
 
 
