@@ -400,6 +400,20 @@ def test_narrow_rows_are_numbered_as_the_wide_ones(spark, tmp_path):
     assert same(catalog.performance_with_repeats(spark, str(tmp_path)), catalog._untagged(wide))
 
 
+def test_merge_collapses_keys_with_very_many_copies_before_they_gather(spark, monkeypatch):
+    path = shared_path(spark, "merged")
+    rows = spark.range(900).select(F.when(F.col("id") > 299, "often").otherwise(F.concat(F.lit("k"), F.col("id") % 200)).alias("k"), (F.col("id") * 7 % 901).alias("p"), "id")
+    monkeypatch.setattr(arrivals, "HEAVY", 100)
+    thin = arrivals._thinned(rows, "k", "p")
+    assert thin.filter("k = 'often'").count() == 1 and thin.filter("k != 'often'").count() == 300
+    for batch in (rows.filter("id % 2 = 0"), rows):
+        done = arrivals.merge_arrivals(batch, path, "k", "p", buckets=4)
+        assert same(done, model.collapse(batch, "k", "p"))
+    monkeypatch.setattr(arrivals, "HEAVY", 1000)
+    whole = plan(arrivals._thinned(rows, "k", "p"))
+    assert "Exchange" not in whole and "Aggregate" not in whole
+
+
 # --- star in buckets -----------------------------------------------------
 
 
